@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, line_dedup, simhash
+from . import bpe, decontaminate, exact_dedup, line_dedup, pii, quality, secrets, simhash, toxicity, url_filter
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), bpe.default_path())
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -27,10 +31,26 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lines_total", "lines_removed", F.length(text).alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.secrets(table(spark, sf_dir, "documents")))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.array_join(F.col("items").cast("array<string>"), ",").alias("items"), F.round(F.coalesce(F.array_max("scores"), F.lit(0.0)), 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op4_exact, op5_lines, op8_decontaminate)}
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_toxicity, op4_exact, op5_lines, op6_secrets, op7_quality, op8_decontaminate, op9_urls, op10_pii)}
 ORACLES = {"op4_exact": exact_dedup.ORACLE}
