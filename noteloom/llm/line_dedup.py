@@ -108,9 +108,10 @@ def windows(docs: DataFrame) -> DataFrame:
 
 def covered_positions(docs: DataFrame) -> DataFrame:
     """(key, at): the first lines of the windows that repeat an earlier one, for each document that has any."""
-    many = windows(docs).groupBy("h1").count().where("count > 1").select("h1")
+    # Written, so that the joins have exchanges of their own on both sides, and AQE can split a very frequent window's rows.
+    many = written(windows(docs).groupBy("h1").count().where("count > 1").select("h1"), "line-repeats")
     found = written(windows(docs).join(many, "h1", "left_semi").withColumn("place", F.struct("id", "key", "pos")).select("h1", "h2", "place"), "line-windows")
-    first = found.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = written(found.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "line-firsts")
     later = found.join(first, ["h1", "h2"]).where("place > first")
     return later.groupBy(F.col("place.key").alias("key")).agg(F.collect_set("place.pos").alias("at"))
 
