@@ -13,7 +13,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,8 +86,8 @@ def window_hashes(text: str, min_window_words: int = 10) -> tuple[np.ndarray, np
     return at.astype(np.int32), h[at] * _MIX[0] + h[at + 1] * _MIX[1] + h[at + 2] * _MIX[2]
 
 
-def _keys(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__key", F.xxhash64(F.coalesce("text", F.lit("")), "__id"))
+def _key(docs: DataFrame) -> Column:
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")), docs["doc_id"].cast("long"))
 
 
 def windows(docs: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def windows(docs: DataFrame) -> DataFrame:
             cols = [b.column("__key").take(pa.array(row)), b.column("__id").take(pa.array(row)), pa.array(np.concatenate([p for p, _ in found])), pa.array(h[:, 0]), pa.array(h[:, 1])]
             yield pa.RecordBatch.from_arrays(cols, ["key", "id", "pos", "h1", "h2"])
 
-    return _keys(docs).select("__key", "__id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "key long, id long, pos int, h1 long, h2 long")
+    return docs.select(_key(docs).alias("__key"), docs["doc_id"].cast("long").alias("__id"), F.coalesce(docs["text"], F.lit("")).alias("text")).mapInArrow(run, "key long, id long, pos int, h1 long, h2 long")
 
 
 def covered_positions(docs: DataFrame) -> DataFrame:
@@ -124,13 +124,14 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """
     docs = docs.drop("lines_total", "lines_removed")
     where = docs.columns.index("text")
-    joined = _keys(docs).join(covered_positions(docs).withColumnRenamed("key", "__c").withColumnRenamed("at", "__at"), F.col("__key") == F.col("__c"), "left").select(*docs.columns, "__at")
+    covered = covered_positions(docs).select(F.col("key").alias("__covered_key"), F.col("at").alias("__covered_at"))
+    joined = docs.join(covered, _key(docs) == covered["__covered_key"], "left").select(*[docs[c] for c in docs.columns], covered["__covered_at"])
     schema = T.StructType([*docs.schema.fields, T.StructField("lines_total", T.IntegerType()), T.StructField("lines_removed", T.IntegerType())])
 
     def run(batches):
         for b in batches:
             texts, total, gone = b.column(where).to_pylist(), [], []
-            for k, at in enumerate(b.column("__at").to_pylist()):
+            for k, at in enumerate(b.column(b.num_columns - 1).to_pylist()):
                 parts = lines_of(texts[k]) if texts[k] else []
                 covered = {p + j for p in at or () for j in range(WINDOW)}
                 total.append(len(parts))
