@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import keyed
 
 DIMS = 1 << 12
+PRIOR = 0.8  # the share of good documents assumed where nothing speaks for or against
+BIAS = math.log(PRIOR / (1 - PRIOR))
 GOOD, BAD, NONE = 1, 0, 2
 _UPPER, _LOWER, _DIGIT = bytes(range(65, 91)), bytes([*range(97, 123), *range(128, 256)]), bytes(range(48, 58))
 _SHAPE = bytes(65 if c in _UPPER else 97 if c in _LOWER else 48 if c in _DIGIT else c for c in range(256))
@@ -70,7 +72,7 @@ def votes(n: int, figures: list[float]) -> list[int]:
     return [NONE if n < least else BAD if bad(x) else GOOD if good and good(x) else NONE for _, least, bad, good in LABELLERS]
 
 
-def posteriors(patterns: np.ndarray, counts: np.ndarray, prior: float = 0.8, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+def posteriors(patterns: np.ndarray, counts: np.ndarray, prior: float = PRIOR, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """P(good) of each pattern, and each labeller's accuracy, by expectation-maximisation.
 
     Accuracy is how often a vote, where one is given, agrees with the truth; an abstention says nothing. It stays between
@@ -104,15 +106,15 @@ def hashed(text: str | None, n: int, figures: list[float]) -> dict[int, float]:
 
 
 def fit_linear(rows: list[tuple[list[int], list[float]]], target: np.ndarray, steps: int = 400, rate: float = 1.0, l2: float = 1e-5) -> np.ndarray:
-    """Logistic regression on soft labels by full gradient steps with momentum; the last weight is the bias."""
+    """Logistic regression on soft labels by full gradient steps with momentum. The last weight, the bias, stays at the prior: a text that shows nothing scores as that."""
     n = [len(i) for i, _ in rows]
     at, of = np.concatenate([np.asarray(i, dtype=np.int64) for i, _ in rows]), np.repeat(np.arange(len(rows)), n)
     x = np.concatenate([np.asarray(v) for _, v in rows])
-    w, move = np.zeros(DIMS + 1), np.zeros(DIMS + 1)
+    w, move = np.append(np.zeros(DIMS), BIAS), np.zeros(DIMS + 1)
     for _ in range(steps):
         z = np.bincount(of, x * w[at], len(rows)) + w[-1]
         err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
-        g = np.append(np.bincount(at, x * err[of], DIMS), err.sum()) / len(rows) + l2 * w
+        g = np.append(np.bincount(at, x * err[of], DIMS) / len(rows) + l2 * w[:-1], 0.0)
         move = 0.9 * move - rate * g
         w = w + move
     return w
@@ -129,7 +131,7 @@ def fit(docs: DataFrame, fit_rows: int = 8000) -> np.ndarray:
 
     counted = docs.select("text").mapInArrow(vote, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     if not counted:
-        return np.append(np.zeros(DIMS), 3.0)
+        return np.append(np.zeros(DIMS), BIAS)
     patterns = np.array([list(r["pattern"].encode("latin-1")) for r in counted], dtype=np.int64)
     counts = np.array([r["n"] for r in counted], dtype=float)
     p = posteriors(patterns, counts)[0]
@@ -151,7 +153,7 @@ def fit(docs: DataFrame, fit_rows: int = 8000) -> np.ndarray:
     rows = sample.mapInArrow(features, "at array<int>, x array<double>, p double").toLocalIterator()
     rows = [(np.array(r["at"], dtype=np.int32), np.array(r["x"], dtype=np.float32), r["p"]) for r in rows]
     if not rows:
-        return np.append(np.zeros(DIMS), 3.0)
+        return np.append(np.zeros(DIMS), BIAS)
     return fit_linear([(a, x) for a, x, _ in rows], np.array([p for *_, p in rows]))
 
 
