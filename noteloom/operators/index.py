@@ -23,7 +23,7 @@ def parse_documents(objects: DataFrame) -> DataFrame:
     cut = objects.where(keys.is_indexable(F.col("key"))).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("__yaml", block).withColumn("body", body)
     cut = cut.withColumn("__front", parse_frontmatter(F.col("__yaml"))).withColumn("headings", text.extract_headings(F.col("body")))
     tally = lambda values, source: F.transform(F.array_distinct(values), lambda t: F.struct(t.alias("tag"), F.lit(source).alias("source"), F.size(F.filter(values, lambda x: x == t)).cast("long").alias("occurrences")))
-    declared, first = text.trim_ws(F.col("__front.title")), F.filter("headings", lambda h: h["level"] == 1)[0]["text"]
+    declared, first = text.trim_ws(F.col("__front.title")), F.get(F.filter("headings", lambda h: h["level"] == 1), 0)["text"]
     return (
         cut.withColumn("content_sha256", F.sha2("text", 256))
         .withColumn("title", F.coalesce(F.when(declared != "", declared), first, keys.strip_extension(keys.basename(F.col("key")))))

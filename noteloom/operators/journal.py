@@ -11,6 +11,20 @@ DEBOUNCE_MS = 30_000
 EVENT = "seq long, mutation_id string, source string, op string, path string, from_path string, etag string, size long, committed_at long"
 
 
+def numbered(rows: DataFrame, order: str, name: str, by: list[str] | None = None, width: int = 1_000_000) -> DataFrame:
+    """Adds a number from 1 in order of a unique whole number, in each group of `by`.
+
+    Rows are numbered inside ranges of `width` of the order, and the ranges' counts are summed up: no task gets a whole group.
+    """
+    by = by or []
+    cut = rows.withColumn("__range", F.floor(F.col(order) / width))
+    counts = cut.groupBy(*by, "__range").agg(F.count("*").alias("__count"))
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*by, "__range", F.coalesce(F.sum("__count").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(*by, "__range").orderBy(order)
+    return cut.withColumn(name, F.row_number().over(inside)).join(starts, [*by, "__range"]).withColumn(name, F.col(name) + F.col("__start")).drop("__range", "__start")
+
+
 def _columns(df: DataFrame) -> dict[str, Column]:
     return {c: F.col(c) for c in df.columns}
 
@@ -26,16 +40,14 @@ def drop_remote_apply(reports: DataFrame) -> DataFrame:
 
 
 def record_mutations(journal: DataFrame, events: DataFrame) -> DataFrame:
-    """The rows to append: first fact of each new id, with the next numbers in order of arrival.
+    """The rows to append: first fact of each new id, with the next numbers in order of arrival (a unique whole number).
 
-    events: as EVENT, with arrival instead of seq. Numbering is one window over the new rows of one batch; back-fills bring
-    their own seq instead.
+    events: as EVENT, with arrival instead of seq.
     """
     first = events.groupBy("mutation_id").agg(F.min_by(F.struct(*[c for c in events.columns if c != "mutation_id"]), "arrival").alias("e")).select("mutation_id", "e.*")
     new = first.join(journal.select("mutation_id"), "mutation_id", "left_anti")
     last = journal.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
-    numbered = new.withColumn("__n", F.row_number().over(Window.orderBy("arrival", "mutation_id")))
-    return numbered.join(F.broadcast(last)).withColumn("seq", F.col("last") + F.col("__n")).drop("last", "__n", "arrival")
+    return numbered(new, "arrival", "__n").join(F.broadcast(last)).withColumn("seq", F.col("last") + F.col("__n")).drop("last", "__n", "arrival")  # one row
 
 
 def sequence_of(journal: DataFrame, events: DataFrame) -> DataFrame:
@@ -151,15 +163,15 @@ def mark_broadcasts(outbox: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def assign_generations(marks: DataFrame) -> DataFrame:
-    """marks: (channel, mutation_id or null, arrival). Adds generation, from 1 in each channel: a repeated id gets its first one again.
+    """marks: (channel, mutation_id or null, arrival, unique in its channel). Adds generation, from 1 in each channel: a repeated id gets its first one again.
 
     The hub of one channel forgets all but its newest 4096 ids; a batch here remembers all of its own.
     """
     ident = F.coalesce(F.concat(F.lit("i"), F.col("mutation_id")), F.concat(F.lit("a"), F.col("arrival").cast("string")))
     rows = marks.withColumn("__id", ident)
     first = rows.groupBy("channel", "__id").agg(F.min("arrival").alias("__first"))
-    numbered = first.withColumn("generation", F.row_number().over(Window.partitionBy("channel").orderBy("__first")).cast("long")).drop("__first")
-    return rows.join(numbered, ["channel", "__id"]).drop("__id")
+    given = numbered(first, "__first", "generation", ["channel"]).drop("__first")
+    return rows.join(given, ["channel", "__id"]).drop("__id")
 
 
 def gateway_changes(events: DataFrame) -> DataFrame:

@@ -74,7 +74,8 @@ def graph_edges(index: Index, prefix: str = "", limit: int = 200, include_dangli
 
 
 def graph_totals(index: Index, prefix: str = "", limit: int = 200) -> DataFrame:
-    edges = graph_edges(index, prefix, limit).agg(F.count("*").alias("edge_count"), F.count_if("dangling").alias("dangling_count"))
+    """Edges are counted over the whole graph, not over the page."""
+    edges = resolve_edges(index, prefix).agg(F.count("*").alias("edge_count"), F.count_if("dangling").alias("dangling_count"))
     nodes = index.documents.where(keys.has_prefix(F.col("key"), prefix)).agg(F.count("*").alias("total_nodes"), F.least(F.count("*"), F.lit(limit)).alias("node_count"))
     return nodes.join(edges)
 

@@ -104,7 +104,7 @@ over_index("degrees", links.degrees, "SELECT * FROM degrees")
 over_index("graph_nodes", lambda x: links.graph_nodes(x, limit=50), "SELECT * FROM degrees ORDER BY key LIMIT 50")
 _PAGE = ", page AS (SELECT key FROM notes ORDER BY key LIMIT 50), e AS (SELECT from_key, link, to_key, dangling FROM edges WHERE from_key IN (SELECT key FROM page) AND (to_key IS NULL OR to_key IN (SELECT key FROM page))) "
 over_index("graph_edges", lambda x: links.graph_edges(x, limit=50), _PAGE + "SELECT * FROM e")
-over_index("graph_totals", lambda x: links.graph_totals(x, limit=50), _PAGE + "SELECT (SELECT count(*) FROM notes) AS total_nodes, (SELECT count(*) FROM page) AS node_count, count(*) AS edge_count, count(*) FILTER (dangling) AS dangling_count FROM e")
+over_index("graph_totals", lambda x: links.graph_totals(x, limit=50), _PAGE + "SELECT (SELECT count(*) FROM notes) AS total_nodes, (SELECT count(*) FROM page) AS node_count, count(*) AS edge_count, count(*) FILTER (dangling) AS dangling_count FROM edges")
 for _mode, _lone in (("isolated", "in_degree = 0 AND out_degree = 0"), ("noIncoming", "in_degree = 0"), ("noOutgoing", "out_degree = 0")):
     over_index(f"orphans_{_mode}", lambda x, m=_mode: links.orphans(x, m), f"SELECT * FROM degrees WHERE {_lone}")
 _BOTH = ", r AS (SELECT DISTINCT a, b FROM (SELECT from_key AS a, to_key AS b FROM edges WHERE to_key IS NOT NULL UNION ALL SELECT to_key, from_key FROM edges WHERE to_key IS NOT NULL) AS u), s AS (SELECT key FROM notes WHERE id < 3), h1 AS (SELECT DISTINCT key AS seed, b AS key FROM s JOIN r ON a = key), h2 AS (SELECT DISTINCT seed, b AS key FROM h1 JOIN r ON a = key) "

@@ -15,7 +15,7 @@ TABLES = ["headings", "front", "tags", "links"]
 def read_objects(spark: SparkSession, path: str) -> DataFrame:
     """The files below a folder: key, etag (MD5 of the bytes), size, modified_ms, content_type, text (UTF-8, null for binaries)."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    root = F.lit(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().rstrip("/") + "/")
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().rstrip("/") + "/"
     key = F.substring_index(F.regexp_replace("path", "^[a-z]+:/*", "/"), root, -1)
     kind = keys.content_type(key)
     return rows.select(
