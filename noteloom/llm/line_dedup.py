@@ -1,7 +1,7 @@
 """Repeated passages, found as windows of three consecutive lines.
 
 A line is a physical line, cut further after the end of a sentence, so that a paragraph written as one line has lines too. A
-sentence of under `min_words` words stays with the next one; one of over `max_words` is cut into parts. Windows of three lines are
+sentence of under `min_words` words stays with the next one; one of over `max_words` is cut into parts at words that hash so. Windows of three lines are
 hashed (128 bits; the first 64 find candidates, all 128 decide), counted over the whole corpus, and every occurrence but the
 first in order of (doc_id, position) is covered. A document's covered positions merge, and those lines go.
 """
@@ -9,6 +9,8 @@ first in order of (doc_id, position) is covered. A document's covered positions
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,18 @@ def _parts(text: str) -> list[str]:
     return text.split("\0")
 
 
+def _pieces(part: str, min_words: int, max_words: int) -> Iterator[tuple[str, int]]:
+    """A long sentence in parts. Words themselves say where to cut (one in eight does), so that a passage is cut alike wherever it begins."""
+    at, n = 0, 0
+    for m in _WORDS.finditer(part):
+        n += 1
+        if n >= max_words or n >= min_words and zlib.crc32(m[0].strip().encode("utf-8", "replace")) % 8 == 0:
+            yield part[at : m.end()], n
+            at, n = m.end(), 0
+    if at < len(part):
+        yield part[at:], max(n, 1)
+
+
 def cut_lines(text: str, min_words: int = 5, max_words: int = 24) -> tuple[list[str], list[int]]:
     """The text cut into lines, and their words (runs between spaces). The lines' concatenation is the text; blank ones stay with the line before."""
     out, counts, held, n = [], [], "", 0
@@ -49,11 +63,9 @@ def cut_lines(text: str, min_words: int = 5, max_words: int = 24) -> tuple[list[
         if held:
             part = held + part
         if n > max_words:
-            cut = [m.end() for m in _WORDS.finditer(part)]
-            cut = [0, *cut[15:-8:16], len(part)]
-            for a, b in zip(cut, cut[1:], strict=False):
-                out.append(part[a:b])
-                counts.append(16)
+            for piece, k in _pieces(part, min_words, max_words):
+                out.append(piece)
+                counts.append(k)
         elif n >= min_words or part[-1] == "\n":
             out.append(part)
             counts.append(n)
