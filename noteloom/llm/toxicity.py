@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed
+from .common import keyed, written
 
 _WORD, _CLAUSE = re.compile(r"\w+"), re.compile(r"[.,;:!?\n|]+")
 # Fixed closed classes of the grammar.
@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, support: flo
     rows = keyed(docs).where(~held_out()).join(known, F.col("doc_id") == F.col("l")).select("doc_id", "text", "y")
     total = known.where(~held_out("l")).count()
     share = min(1.0, fit_rows / max(1, total))
-    rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = written(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))), "toxicity-sample")
     of = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     pos, neg = of.get(1, 0), sum(n for y, n in of.items() if y != 1)
     if not pos or not neg:
