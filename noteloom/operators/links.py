@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteloom.functions import keys
+from noteloom.sources.shared import stored
 
 from .index import Index
 
@@ -87,16 +88,16 @@ def orphans(index: Index, mode: str = "isolated", prefix: str = "", limit: int |
 
 
 def neighbors(index: Index, seeds: DataFrame, depth: int = 1) -> DataFrame:
-    """(seed, key, hops) within 1 to 3 hops, either direction. seeds: one column, key. Every hop keeps what is new only."""
+    """(seed, key, hops) within 1 to 3 hops, either direction. seeds: one column, key. The edges and each hop, of which only what is new is kept, are stored once."""
     if not 1 <= depth <= 3:
         raise ValueError("depth is 1, 2 or 3")
     edges = resolve_edges(index).where("to_key is not null").select(F.col("from_key").alias("a"), F.col("to_key").alias("b"))
-    both = edges.union(edges.select("b", "a")).distinct()
+    both = stored(edges.union(edges.select("b", "a")).distinct(), "edges")
     known = index.documents.join(seeds.select("key").distinct(), "key", "left_semi")
-    seen = front = known.select(F.col("key").alias("seed"), "key", F.lit(0).alias("hops"))
+    seen = front = stored(known.select(F.col("key").alias("seed"), "key", F.lit(0).alias("hops")), "seeds")
     for hop in range(1, depth + 1):
         reached = front.join(both, front["key"] == both["a"]).select("seed", F.col("b").alias("key")).distinct()
-        front = reached.join(seen.select("seed", "key"), ["seed", "key"], "left_anti").select("seed", "key", F.lit(hop).alias("hops"))
+        front = stored(reached.join(seen.select("seed", "key"), ["seed", "key"], "left_anti").select("seed", "key", F.lit(hop).alias("hops")), "frontier")
         seen = seen.union(front)
     return seen
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from noteloom.functions import keys, text
 from noteloom.operators import audit, index, recovery, vectors
 from noteloom.operators import journal as J
-from noteloom.sources.shared import shared_dir
+from noteloom.sources.shared import shared_dir, stored
 from noteloom.streaming import journal as streams
 
 from .derived import BASE, JBASE, journal, vault
@@ -132,7 +132,17 @@ over_objects("publish_vectors", lambda o: vectors.publish_vectors((x := _ledger(
 over_objects("vector_health", lambda o: vectors.vector_health((x := _ledger(o))[0], x[2], x[1]).drop("ledger_chunks"), f" SELECT count(*) FILTER (id % 31 <> 0) AS tracked, count(*) FILTER (id % 31 <> 0 AND id % 17 <> 0 AND id % 37 <> 0) AS ready, count(*) FILTER (id % 31 <> 0 AND id % 17 = 0) AS pending, count(*) FILTER (id % 31 <> 0 AND id % 17 <> 0 AND id % 37 = 0) AS failed, count(*) FILTER ({_STALE}) AS outdated FROM notes")
 over_objects("accept_hits", lambda o: vectors.accept_hits((x := _ledger(o))[1].where("ordinal = 1").select("chunk_id"), x[1], x[2], x[0], "p").select("document_id", "key"), f" SELECT id AS document_id, key FROM notes WHERE starts_with(lower(key), 'p') AND NOT {_STALE} AND id % 29 <> 0")
 over_objects("embed", lambda o: vectors.embed(_chunked(o)[1]).select("chunk_id", F.sha2(F.array_join(F.col("embedding").cast("array<string>"), ","), 256).alias("sha")))
-over_objects("search_semantic", lambda o: vectors.search_semantic(vectors.embed((c := _chunked(o))[1]), [(1, vectors.hash_embedding("today part heading").tolist()), (2, vectors.hash_embedding("the of and").tolist())], *vectors.publish_vectors(c[1].limit(0), _ledger(o)[2].limit(0), c[1]), c[0], "p"))
+
+
+def _semantic(o: DataFrame) -> DataFrame:
+    documents, chunks = (stored(x, "semantic") for x in _chunked(o))
+    ledger, state = chunks.select("chunk_id", "document_id", "content_sha256", "ordinal"), _STATE(chunks)
+    asked = [(k, vectors.hash_embedding(q).tolist()) for k, q in enumerate(("today part heading", "the of and"))]
+    return vectors.search_semantic(vectors.embed(chunks), asked, ledger, state, documents, "p")
+
+
+_STATE = lambda chunks: chunks.groupBy("document_id").agg(F.max("content_sha256").alias("active_sha256"), F.count("*").alias("active_chunks")).select("*", F.lit("ready").alias("status"), F.lit(1).alias("active_chunker"), F.lit(vectors.MODEL).alias("active_model"), F.lit(1).alias("active_version"))
+over_objects("search_semantic", _semantic)
 _EMB = "SELECT vec_id, embedding FROM embeddings"
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -21,3 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
         _own[app] = tempfile.mkdtemp(prefix="noteloom-")
         atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
     return "file://" + _own[app]
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """df written as Parquet into the shared folder and read back: what several branches of a plan read is computed once."""
+    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
