@@ -77,7 +77,7 @@ def tombstone_name(path: Column, etag: Column) -> Column:
 
 
 def chunk_id(document_id: Column, sha: Column, chunker: Column, model: Column, version: Column, ordinal: Column) -> Column:
-    """First 32 characters of the digest over the length-prefixed identity."""
+    """First 32 characters of the digest over the length-prefixed identity, whose first part is a fixed value."""
     part = lambda x: F.concat(F.length(x.cast("string")).cast("string"), F.lit(":"), x.cast("string"))
     return F.substring(base64url(F.sha2(F.concat_ws("|", F.lit("mineral-vector-chunk-v1"), *map(part, (document_id, sha, chunker, model, version, ordinal))), 256)), 1, 32)
 
