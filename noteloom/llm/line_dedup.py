@@ -37,21 +37,21 @@ def _parts(text: str) -> list[str]:
     return text.split("\0")
 
 
-def _pieces(part: str, min_words: int, max_words: int) -> Iterator[tuple[str, int]]:
+def _pieces(part: str, min_words: int, max_words: int) -> Iterator[str]:
     """A long sentence in parts. Words themselves say where to cut (one in eight does), so that a passage is cut alike wherever it begins."""
     at, n = 0, 0
     for m in _WORDS.finditer(part):
         n += 1
         if n >= max_words or n >= min_words and zlib.crc32(m[0].strip().encode("utf-8", "replace")) % 8 == 0:
-            yield part[at : m.end()], n
+            yield part[at : m.end()]
             at, n = m.end(), 0
     if at < len(part):
-        yield part[at:], max(n, 1)
+        yield part[at:]
 
 
 def cut_lines(text: str, min_words: int = 5, max_words: int = 24) -> tuple[list[str], list[int]]:
-    """The text cut into lines, and their words (runs between spaces). The lines' concatenation is the text; blank ones stay with the line before."""
-    out, counts, held, n = [], [], "", 0
+    """The text cut into lines, and their sizes (UTF-8 bytes without blanks at the ends). The lines' concatenation is the text; blank ones stay with the line before."""
+    out, held, n = [], "", 0
     for part in _parts(text):
         if not part or part.isspace():
             if out and not held:
@@ -63,12 +63,9 @@ def cut_lines(text: str, min_words: int = 5, max_words: int = 24) -> tuple[list[
         if held:
             part = held + part
         if n > max_words:
-            for piece, k in _pieces(part, min_words, max_words):
-                out.append(piece)
-                counts.append(k)
+            out += _pieces(part, min_words, max_words)
         elif n >= min_words or part[-1] == "\n":
             out.append(part)
-            counts.append(n)
         else:
             held = part
             continue
@@ -76,25 +73,22 @@ def cut_lines(text: str, min_words: int = 5, max_words: int = 24) -> tuple[list[
     if held:
         if n or not out:
             out.append(held)
-            counts.append(n)
         else:
             out[-1] += held
-    return out, counts
+    return out, [len(x.strip().encode("utf-8", "replace")) for x in out]
 
 
 def lines_of(text: str) -> list[str]:
     return cut_lines(text)[0]
 
 
-def window_hashes(text: str, min_window_words: int = 10) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the windows and their hashes (n, 2); windows of fewer words are left out."""
-    lines, counts = cut_lines(text)
+def window_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the windows and their hashes (n, 2): every three consecutive lines, however short."""
+    lines = lines_of(text)
     if len(lines) < WINDOW:
         return np.empty(0, np.int32), np.empty((0, 2), np.uint64)
     h = np.frombuffer(b"".join([_digest(x.strip().encode("utf-8", "replace")) for x in lines]), dtype="<u8").reshape(-1, 2)
-    n = np.array(counts)
-    m = len(lines) - WINDOW + 1
-    at = np.flatnonzero(n[:m] + n[1 : m + 1] + n[2 : m + 2] >= min_window_words)
+    at = np.arange(len(lines) - WINDOW + 1)
     return at.astype(np.int32), h[at] * _MIX[0] + h[at + 1] * _MIX[1] + h[at + 2] * _MIX[2]
 
 

@@ -173,6 +173,14 @@ def test_line_dedup(docs):
     assert PASSAGE in want[9] and SENTENCES[2] not in want[10] and SENTENCES[3] not in want[11] and "end of its own" in want[10]
 
 
+def test_short_lines_repeat_too(spark):
+    """Blocks of three short lines, and of lines without spaces between words, go like any other."""
+    blocks = ["Home\nNews\nContact\n", "今日は天気がとても良いので散歩に行きました\n明日は雨が降るでしょう\n傘を忘れないでください\n", "สวัสดีตอนเช้า\nยินดีต้อนรับ\nขอบคุณมาก\n", "a\tb\tc\td\ne\tf\tg\th\ni\tj\tk\tl\n"]
+    texts = [f"{block}Only document {at} of the {k}th ends so.\n" for k, block in enumerate(blocks) for at in ("one", "two")]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(table(spark, texts)).collect()}
+    assert got == {k + 1: t if k % 2 == 0 else t[len(blocks[k // 2]) :] for k, t in enumerate(texts)}
+
+
 def test_lines_cover_the_text():
     for t in [*filter(None, TEXTS), "a\0b. c\n\n d! e", "x" * 300, "\n\nA b c d e.\n"]:
         assert "".join(line_dedup.lines_of(t)) == t
