@@ -1,16 +1,15 @@
 """Repeated passages, found as windows of three consecutive lines.
 
 A line is a physical line, cut further after the end of a sentence, so that a paragraph written as one line has lines too. A
-sentence of under `min_words` words stays with the next one; one of over `max_words` is cut into parts at words that hash so. Windows of three lines are
-hashed (128 bits; the first 64 find candidates, all 128 decide), counted over the whole corpus, and every occurrence but the
-first in order of (doc_id, position) is covered. A document's covered positions merge, and those lines go.
+sentence of under SHORT units (words; characters where words aren't spaced) stays with the next one; one of over WHOLE units is cut where its words
+themselves say so, at most 2 * NEAR - 1 units apart. Every cut depends on what is near it only, so a passage of over 50 words is cut alike wherever it
+begins and ends. Windows of three lines are hashed (128 bits; the first 64 find candidates, all 128 decide), counted over the
+whole corpus, and every occurrence but the first in order of (doc_id, position) is covered. A document's covered positions merge, and those lines go.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,73 +20,140 @@ from pyspark.sql import types as T
 
 from .common import written
 
-_ENDS = re.compile(r"(?<=\n)|(?<=[.!?] )")
-_WORDS = re.compile(r"\S+\s*")
 _digest = xxhash.xxh3_128_digest
 WINDOW = 3
+STEP = 1 << 18
+SHORT, WHOLE, NEAR = 5, 9, 4
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
+_NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
+_BLANKS = bytes([*range(9, 14), *range(28, 33)])
+_BLANK, _STOP = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_BLANK[list(_BLANKS)], _STOP[list(b".!?")] = True, True
+_BYTE = np.arange(1, 257, dtype=np.uint64) * _MIX[0]
+_BYTE = np.where(_BLANK, np.uint64(0), (_BYTE ^ _BYTE >> np.uint64(29)) * _MIX[1])
+_WIDE_BLANKS = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_WIDE_STOPS = re.compile(rb"\xe3\x80\x82|\xef\xbc[\x81\x9f]")
+
+
+def _chosen(score: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """Places among the free ones, NEAR or more apart and with no free one left between: the least score around goes first."""
+    out, n = np.zeros(len(score), dtype=bool), len(score)
+    s = np.full(n + 2 * NEAR, _NEVER)
+    for _ in range(12):
+        at = np.flatnonzero(free)
+        if not len(at):
+            return out
+        s[NEAR : NEAR + n] = np.where(free, score, _NEVER)
+        mid, now = score[at], np.ones(len(at), dtype=bool)
+        for k in range(1, NEAR):
+            now &= (mid < s[at + NEAR - k]) & (mid <= s[at + NEAR + k])
+        at = at[now]
+        out[at] = True
+        for k in range(1 - NEAR, NEAR):
+            free[at + k] = False  # free places keep NEAR - 1 from both ends
+    last = -NEAR
+    for at in np.flatnonzero(free):  # long runs of few words
+        if at - last >= NEAR:
+            out[at], last = True, at
+    return out
+
+
+def _unit_cuts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where units begin, in bytes, and whether a line ends with them."""
+    stops = np.empty(0, dtype=np.int64)
+    if not raw.isascii():
+        raw = _WIDE_BLANKS.sub(lambda m: b" " * len(m[0]), raw)
+        stops = np.array([m.start() for m in _WIDE_STOPS.finditer(raw)], dtype=np.int64)
+    x = np.frombuffer(raw, dtype=np.uint8)
+    blank = _BLANK[x]
+    first = ~blank
+    first[1:] &= blank[:-1]
+    if not raw.isascii():
+        wide = (x >= 0xE3) & (x <= 0xE9)
+        wide[:-1] |= (x[:-1] == 0xE0) & (x[1:] >= 0xB8) & (x[1:] <= 0xBB)
+        wide[stops] = False
+        after = stops[stops + 3 < len(x)] + 3
+        wide[after] |= ~blank[after]
+        wide[stops] = False
+        first |= wide
+    at = np.flatnonzero(first)
+    n = len(at)
+    if not n:
+        return at, np.zeros(0, dtype=bool)
+    unit = lambda places: np.searchsorted(at, places, "right") - 1
+    newline, mark = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+    newline[(k := unit(np.flatnonzero(x == 10)))[k >= 0]] = True
+    mark[unit(np.flatnonzero(_STOP[x[:-1]] & (x[1:] == 32)))] = True
+    mark[unit(stops)] = True
+    newline[-1] = True
+    ends = np.flatnonzero(mark | newline)
+    ends = ends[newline[ends] | (np.diff(ends, prepend=-1) >= SHORT)]
+    size = np.diff(ends, prepend=-1)
+    cut = np.zeros(n, dtype=bool)
+    if (size > WHOLE).any():
+        sizes = np.repeat(size, size)
+        place = np.arange(n) - np.repeat(ends - size + 1, size)
+        free = (sizes > WHOLE) & (place >= NEAR - 1) & (place < sizes - NEAR)
+        h = np.add.reduceat(_BYTE[x], at)
+        score = h * _MIX[0] + np.roll(h, -1) * _MIX[1]
+        cut = _chosen((score ^ score >> np.uint64(31)) * _MIX[2], free)
+    cut[ends] = True
+    return at, cut
+
+
+def _line_starts(raws: list[bytes]) -> list[np.ndarray]:
+    """Where the lines of each text begin, in bytes. Blanks stay with the line before; blanks alone are one line.
+
+    Texts are cut together, joined by newlines, as short ones would cost a call each; about STEP bytes at a time.
+    """
+    out, group, held = [], [], 0
+    for k, raw in enumerate(raws):
+        group.append(raw)
+        held += len(raw)
+        if held < STEP and k + 1 < len(raws):
+            continue
+        begins = np.cumsum([0, *[len(r) + 1 for r in group]])
+        at, cut = _unit_cuts(b"\n".join(group))
+        lines = at[np.flatnonzero(np.append(True, cut[:-1]))] if len(at) else at
+        places = np.searchsorted(lines, begins).tolist()
+        for r, begin, lo, hi in zip(group, begins.tolist(), places, places[1:]):
+            starts = lines[lo:hi] - begin if hi > lo else np.zeros(min(len(r), 1), dtype=np.int64)
+            starts[:1] = 0
+            out.append(starts)
+        group, held = [], 0
+    return out
 
 
-def _parts(text: str) -> list[str]:
-    """Cut after each newline, and after each space that follows a full stop, exclamation or question mark."""
-    if "\0" in text:
-        return _ENDS.split(text)
-    for end in ("\n", ". ", "! ", "? "):
-        text = text.replace(end, end + "\0")
-    return text.split("\0")
+def _bytes_of(text: str) -> bytes:
+    return text.encode("utf-8", "replace")
 
 
-def _pieces(part: str, min_words: int, max_words: int) -> Iterator[str]:
-    """A long sentence in parts. Words themselves say where to cut (one in eight does), so that a passage is cut alike wherever it begins."""
-    at, n = 0, 0
-    for m in _WORDS.finditer(part):
-        n += 1
-        if n >= max_words or n >= min_words and zlib.crc32(m[0].strip().encode("utf-8", "replace")) % 8 == 0:
-            yield part[at : m.end()]
-            at, n = m.end(), 0
-    if at < len(part):
-        yield part[at:]
+def _slices(raw: bytes, starts: np.ndarray) -> list[bytes]:
+    s = [*starts.tolist(), len(raw)]
+    return [raw[a:b] for a, b in zip(s, s[1:])]
 
 
-def cut_lines(text: str, min_words: int = 5, max_words: int = 24) -> tuple[list[str], list[int]]:
+def cut_lines(text: str) -> tuple[list[str], list[int]]:
     """The text cut into lines, and their sizes (UTF-8 bytes without blanks at the ends). The lines' concatenation is the text; blank ones stay with the line before."""
-    out, held, n = [], "", 0
-    for part in _parts(text):
-        if not part or part.isspace():
-            if out and not held:
-                out[-1] += part
-            else:
-                held += part
-            continue
-        n += part.count(" ") + (part[-1] != " ")
-        if held:
-            part = held + part
-        if n > max_words:
-            out += _pieces(part, min_words, max_words)
-        elif n >= min_words or part[-1] == "\n":
-            out.append(part)
-        else:
-            held = part
-            continue
-        held, n = "", 0
-    if held:
-        if n or not out:
-            out.append(held)
-        else:
-            out[-1] += held
-    return out, [len(x.strip().encode("utf-8", "replace")) for x in out]
+    raw = _bytes_of(text)
+    out = [x.decode() for x in _slices(raw, _line_starts([raw])[0])]
+    return out, [len(_bytes_of(x.strip())) for x in out]
 
 
 def lines_of(text: str) -> list[str]:
     return cut_lines(text)[0]
 
 
-def window_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
+def window_hashes(raw: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the windows and their hashes (n, 2): every three consecutive lines, however short."""
-    lines = lines_of(text)
-    if len(lines) < WINDOW:
+    if len(starts) < WINDOW:
         return np.empty(0, np.int32), np.empty((0, 2), np.uint64)
-    h = np.frombuffer(b"".join([_digest(x.strip().encode("utf-8", "replace")) for x in lines]), dtype="<u8").reshape(-1, 2)
+    lines = _slices(raw, starts)
+    if raw.isascii() or not _WIDE_BLANKS.search(raw):
+        lines = [x.strip(_BLANKS) for x in lines]
+    else:
+        lines = [_bytes_of(x.decode().strip()) for x in lines]
+    h = np.frombuffer(b"".join(map(_digest, lines)), dtype="<u8").reshape(-1, 2)
     at = np.arange(len(lines) - WINDOW + 1)
     return at.astype(np.int32), h[at] * _MIX[0] + h[at + 1] * _MIX[1] + h[at + 2] * _MIX[2]
 
@@ -101,7 +167,8 @@ def windows(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            found = [window_hashes(t) for t in b.column("text").to_pylist()]
+            raws = [_bytes_of(t) for t in b.column("text").to_pylist()]
+            found = [window_hashes(r, s) for r, s in zip(raws, _line_starts(raws))]
             n = [len(p) for p, _ in found]
             if not sum(n):
                 continue
@@ -136,14 +203,15 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts, total, gone = b.column(where).to_pylist(), [], []
+            texts, gone = b.column(where).to_pylist(), []
+            raws = [_bytes_of(t or "") for t in texts]
+            starts = _line_starts(raws)
+            total = [len(s) for s in starts]
             for k, at in enumerate(b.column(b.num_columns - 1).to_pylist()):
-                parts = lines_of(texts[k]) if texts[k] else []
                 covered = {p + j for p in at or () for j in range(WINDOW)}
-                total.append(len(parts))
                 gone.append(len(covered))
                 if covered:
-                    texts[k] = "".join(x for j, x in enumerate(parts) if j not in covered)
+                    texts[k] = b"".join([x for j, x in enumerate(_slices(raws[k], starts[k])) if j not in covered]).decode()
             cols = [pa.array(texts, pa.string()) if k == where else b.column(k) for k in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int32()), pa.array(gone, pa.int32())], schema.fieldNames())
 

@@ -181,6 +181,29 @@ def test_short_lines_repeat_too(spark):
     assert got == {k + 1: t if k % 2 == 0 else t[len(blocks[k // 2]) :] for k, t in enumerate(texts)}
 
 
+@pytest.mark.parametrize("shortest, longest", [(18, 24), (15, 24), (60, 90), (5, 12), (1, 4)])
+def test_passages_share_a_window_wherever_they_begin(shortest, longest):
+    """Passages of 51 to 75 words that begin and end inside sentences, each planted in two hosts."""
+    rng = np.random.default_rng(11)
+
+    def prose(n):
+        out = []
+        while len(out) < n:
+            out += [f"w{k}" for k in rng.integers(0, 3000, rng.integers(shortest, longest + 1))]
+            out[-1] += "."
+        return out[:n]
+
+    def windows(t):
+        lines = [x.strip() for x in line_dedup.lines_of(t)]
+        return set(zip(lines, lines[1:], lines[2:]))
+
+    for n in [51, 55, 60, 65, 75] * 40:
+        at = rng.integers(0, 90)
+        passage = prose(n + 100)[at : at + n]
+        a, b = (" ".join([*prose(rng.integers(10, 60)), *passage, *prose(rng.integers(10, 60))]) for _ in range(2))
+        assert windows(a) & windows(b)
+
+
 def test_lines_cover_the_text():
     for t in [*filter(None, TEXTS), "a\0b. c\n\n d! e", "x" * 300, "\n\nA b c d e.\n"]:
         assert "".join(line_dedup.lines_of(t)) == t
