@@ -55,14 +55,23 @@ def sequence_of(journal: DataFrame, events: DataFrame) -> DataFrame:
     return events.select("mutation_id").join(journal.select("mutation_id", "seq"), "mutation_id")
 
 
-def verify_reports(reports: DataFrame, objects: DataFrame, journal: DataFrame) -> DataFrame:
-    """Adds verdict: duplicate (before all else), accepted, or state-mismatch."""
+def verify_reports(reports: DataFrame, objects: DataFrame, journal: DataFrame, order: str | None = None) -> DataFrame:
+    """Adds verdict: duplicate (before all else), accepted, or state-mismatch.
+
+    A report is a duplicate if its id is in the journal, or if one before it in the batch was accepted under that id: what was not
+    accepted is not recorded. order names a unique column (seq, where there is one); without it rows count in the order they are read in.
+    """
+    order = order or ("seq" if "seq" in reports.columns else None)
+    reports = reports.withColumn("__at", F.col(order) if order else F.monotonically_increasing_id())
     known = journal.select("mutation_id").distinct().withColumn("__known", F.lit(True))
     now = objects.select(F.col("key").alias("path"), F.col("etag").alias("__now"))
     joined = reports.join(known, "mutation_id", "left").join(now, "path", "left")
     claimed, found = keys.normalize_etag(F.col("etag")), keys.normalize_etag(F.col("__now"))
     holds = F.when(F.col("op") == "delete", F.col("__now").isNull()).otherwise(F.coalesce(claimed == found, F.lit(False)))
-    return joined.withColumn("verdict", F.when(F.col("__known"), "duplicate").when(holds, "accepted").otherwise("state-mismatch")).drop("__known", "__now")
+    taken = joined.withColumn("__holds", holds).withColumn("__first", F.min(F.when(F.col("__holds"), F.col("__at"))).over(Window.partitionBy("mutation_id")))
+    again = F.col("mutation_id").isNotNull() & (F.col("__at") > F.col("__first"))
+    verdict = F.when(F.col("__known") | again, "duplicate").when(F.col("__holds"), "accepted").otherwise("state-mismatch")
+    return taken.withColumn("verdict", verdict).drop("__known", "__now", "__at", "__holds", "__first")
 
 
 def intents_for(events: DataFrame) -> DataFrame:
@@ -154,8 +163,11 @@ def pending_broadcasts(outbox: DataFrame, limit: int = 8) -> DataFrame:
 
 
 def mark_broadcasts(outbox: DataFrame, results: DataFrame) -> DataFrame:
-    """results: (mutation_id, generation or null). A published row keeps its first generation; a failure touches pending rows only."""
-    r = results.select(F.col("mutation_id").alias("__m"), F.col("generation").alias("__g"))
+    """results: (mutation_id, generation or null). A published row keeps its first generation; a failure touches pending rows only.
+
+    An id reported more than once in a batch is one attempt; it is published if any report says so, under the least generation.
+    """
+    r = results.groupBy(F.col("mutation_id").alias("__m")).agg(F.min("generation").alias("__g"))
     joined = outbox.join(r, F.col("mutation_id") == F.col("__m"), "left")
     tried = F.col("__m").isNotNull() & (F.col("broadcast") == "pending")
     sent = tried & F.col("__g").isNotNull()

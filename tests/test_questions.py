@@ -109,6 +109,23 @@ def test_verdicts(spark):
     assert {x.mutation_id: x.verdict for x in J.verify_reports(r, o, j).collect()} == {"m1": "accepted", "m2": "state-mismatch", "m3": "accepted", "m4": "state-mismatch", "m0": "duplicate"}
 
 
+def test_verdicts_of_repeats_in_one_batch(spark):
+    rows = [(1, "m1", "a", "e9"), (2, "m1", "a", "e1"), (3, "m1", "a", "e1"), (4, "m1", "a", "e9"), (5, "m2", "a", "e9"), (6, "m2", "a", "e9"), (7, "m0", "a", "e1"), (8, None, "a", "e1"), (9, None, "a", "e1")]
+    r = spark.createDataFrame(rows, "seq long, mutation_id string, path string, etag string").withColumn("op", F.lit("put")).repartition(3)
+    o, j = spark.createDataFrame([("a", "e1")], "key string, etag string"), spark.createDataFrame([("m0",)], "mutation_id string")
+    got = J.verify_reports(r, o, j)
+    assert set(got.columns) == {*r.columns, "verdict"}
+    verdicts = ["state-mismatch", "accepted", "duplicate", "duplicate", "state-mismatch", "state-mismatch", "duplicate", "accepted", "accepted"]
+    assert [x.verdict for x in got.orderBy("seq").collect()] == verdicts
+
+
+def test_broadcasts_reported_twice(spark):
+    o = spark.createDataFrame([(1, "m1", "pending", None, 1), (2, "m2", "pending", None, 1), (3, "m3", "published", 5, 1), (4, "m4", "pending", None, 1)], "seq long, mutation_id string, broadcast string, generation long, attempts int")
+    r = spark.createDataFrame([("m1", None), ("m1", 8), ("m1", 9), ("m2", None), ("m2", None), ("m3", 7), ("m3", 6)], "mutation_id string, generation long")
+    got = [tuple(x) for x in J.mark_broadcasts(o, r).orderBy("seq").select("seq", "broadcast", "generation", "attempts").collect()]
+    assert got == [(1, "published", 8, 2), (2, "pending", None, 2), (3, "published", 5, 1), (4, "pending", None, 1)]
+
+
 def test_cursor(spark):
     rows = lambda xs: spark.createDataFrame([("c", x) for x in xs], "client string, generation string")
     got = J.fold_cursor(rows(["9007199254740993", "9007199254740992", "junk", "-1", "007", None]), rows(["9007199254740992"])).first()
