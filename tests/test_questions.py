@@ -1,10 +1,11 @@
 """Search, graph, journal, audit and recovery on the small cases that fix their rules."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_parsing import objects
 
-from noteloom.operators import audit, index, links, recovery, search, stats, tags
+from noteloom.operators import audit, index, links, recovery, search, stats, tags, vectors
 from noteloom.operators import edits as E
 from noteloom.operators import journal as J
 from noteloom.sources import io
@@ -126,6 +127,22 @@ def test_broadcasts_reported_twice(spark):
     assert got == [(1, "published", 8, 2), (2, "pending", None, 2), (3, "published", 5, 1), (4, "pending", None, 1)]
 
 
+def test_top_k_takes_a_table_of_queries(spark):
+    """Every 20th vector asks, in several blocks against several parts; zero vectors and ties stay in order of the key."""
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(400, 8)), 2)
+    x[7] = 0
+    x[50] = x[51]
+    v = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<float>")
+    asked = v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    f = x.astype(np.float32).astype(np.float64)
+    n = np.linalg.norm(f, axis=1, keepdims=True)
+    s = np.round((f / np.maximum(n, 1e-300)) @ (f / np.maximum(n, 1e-300)).T, 9)
+    want = {(q, int(i), r + 1) for q in range(0, 400, 20) for r, i in enumerate(np.lexsort((np.arange(400), -s[q]))[:10])}
+    got = vectors.top_k(v, asked, 10, "vec_id", block=6, part=90)
+    assert {(r.query_id, r.vec_id, r["rank"]) for r in got.collect()} == want
+
+
 def test_cursor(spark):
     rows = lambda xs: spark.createDataFrame([("c", x) for x in xs], "client string, generation string")
     got = J.fold_cursor(rows(["9007199254740993", "9007199254740992", "junk", "-1", "007", None]), rows(["9007199254740992"])).first()
