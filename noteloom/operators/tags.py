@@ -44,9 +44,9 @@ def tag_documents(index: Index, tag: str, match: str = "exact", sources: list[st
     return counted.join(_under(index, prefix, "key", "modified_ms"), "document_id").select("key", "modified_ms", "frontmatter_count", "body_count").orderBy(F.desc("modified_ms"), "key").limit(limit)
 
 
-def tag_suggest(index: Index, tag: str, limit: int = 10, candidates: int = 1000) -> DataFrame:
-    """Tags that contain the given one or are contained in it, and whether it exists itself."""
-    known = tag_list(index, limit=candidates)
+def tag_suggest(index: Index, tag: str, limit: int = 10) -> DataFrame:
+    """Of all tags, those that contain the given one or are contained in it, and whether it exists itself."""
+    known = index.tags.select("tag").distinct()
     exists = index.tags.where(F.col("tag") == tag).limit(1).select(F.lit(True).alias("tag_exists"))
     near = known.where((F.col("tag") != tag) & (keys.contains(F.col("tag"), tag) | keys.ascii_fold(F.lit(tag)).contains(keys.ascii_fold(F.col("tag")))))
     return near.select("tag").orderBy("tag").limit(limit).join(exists, how="left").select("tag", F.coalesce("tag_exists", F.lit(False)).alias("tag_exists"))

@@ -143,6 +143,12 @@ def test_top_k_takes_a_table_of_queries(spark):
     assert {(r.query_id, r.vec_id, r["rank"]) for r in got.collect()} == want
 
 
+def test_suggestions_come_from_all_tags(spark):
+    rows = [(k, f"a{k:05d}", "body", 1) for k in range(1500)] + [(1, "zebra", "body", 1), (2, "zebra/foal", "body", 1), (3, "zebra/foal", "body", 1)]
+    x = index.Index(**{f: None for f in index.Index.__dataclass_fields__} | {"tags": spark.createDataFrame(rows, "document_id long, tag string, source string, occurrences long")})
+    assert [tuple(r) for r in tags.tag_suggest(x, "zebra").collect()] == [("zebra/foal", True)]
+
+
 def test_cursor(spark):
     rows = lambda xs: spark.createDataFrame([("c", x) for x in xs], "client string, generation string")
     got = J.fold_cursor(rows(["9007199254740993", "9007199254740992", "junk", "-1", "007", None]), rows(["9007199254740992"])).first()
