@@ -3,7 +3,7 @@
 A line is a physical line, cut further after the end of a sentence, so that a paragraph written as one line has lines too. A
 sentence of under SHORT units (words; characters where words aren't spaced) stays with the next one; one of over WHOLE units is cut where its words
 themselves say so, at most 2 * NEAR - 1 units apart. Every cut depends on what is near it only, so a passage of over 50 words is cut alike wherever it
-begins and ends. Windows of three lines are hashed (128 bits; the first 64 find candidates, all 128 decide), counted over the
+begins and ends. Windows of three lines are hashed (96 bits; the first 64 find candidates, all of them decide), counted over the
 whole corpus, and every occurrence but the first in order of (doc_id, position) is covered. A document's covered positions merge, and those lines go.
 """
 
@@ -13,12 +13,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import dropped, written
 
 _digest = xxhash.xxh3_128_digest
 WINDOW = 3
@@ -144,75 +145,111 @@ def lines_of(text: str) -> list[str]:
     return cut_lines(text)[0]
 
 
-def window_hashes(raw: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the windows and their hashes (n, 2): every three consecutive lines, however short."""
-    if len(starts) < WINDOW:
-        return np.empty(0, np.int32), np.empty((0, 2), np.uint64)
+def window_hashes(raw: bytes, starts: np.ndarray) -> np.ndarray:
+    """Hashes (n, 2) of the windows, by their first line: every three consecutive lines, however short."""
+    n = len(starts) - WINDOW + 1
+    if n < 1:
+        return np.empty((0, 2), np.uint64)
     lines = _slices(raw, starts)
     if raw.isascii() or not _WIDE_BLANKS.search(raw):
         lines = [x.strip(_BLANKS) for x in lines]
     else:
         lines = [_bytes_of(x.decode().strip()) for x in lines]
     h = np.frombuffer(b"".join(map(_digest, lines)), dtype="<u8").reshape(-1, 2)
-    at = np.arange(len(lines) - WINDOW + 1)
-    return at.astype(np.int32), h[at] * _MIX[0] + h[at + 1] * _MIX[1] + h[at + 2] * _MIX[2]
+    return h[:n] * _MIX[0] + h[1 : n + 1] * _MIX[1] + h[2 : n + 2] * _MIX[2]
 
 
-def _key(docs: DataFrame) -> Column:
-    return F.xxhash64(F.coalesce(docs["text"], F.lit("")), docs["doc_id"].cast("long"))
+WHO = ["id", "k"]
+
+
+def _identity(docs: DataFrame) -> list[Column]:
+    """A document is its id and 32 bits of its text, which tell the few rows that share an id apart. Without an id, 64 other bits of the text stand for it, in the order of documents too."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    return [F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(text)), F.hash(text)]
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """(key, id, pos, h1, h2) for each window of each document."""
+    """(id, k, h1, h2, pos, starts): a row for each window of each document, and one more a document that has the places of its lines alone."""
 
     def run(batches):
         for b in batches:
             raws = [_bytes_of(t) for t in b.column("text").to_pylist()]
-            found = [window_hashes(r, s) for r, s in zip(raws, _line_starts(raws))]
-            n = [len(p) for p, _ in found]
-            if not sum(n):
+            starts = _line_starts(raws)
+            hashes = [window_hashes(r, s) for r, s in zip(raws, starts)]
+            n, m = [len(h) for h in hashes], len(raws)
+            if not m:
                 continue
-            row, h = np.repeat(np.arange(len(n)), n), np.concatenate([x for _, x in found]).view(np.int64)
-            cols = [b.column("__key").take(pa.array(row)), b.column("__id").take(pa.array(row)), pa.array(np.concatenate([p for p, _ in found])), pa.array(h[:, 0]), pa.array(h[:, 1])]
-            yield pa.RecordBatch.from_arrays(cols, ["key", "id", "pos", "h1", "h2"])
+            total, one = sum(n), pa.array(np.concatenate([np.repeat(np.arange(m), n), np.arange(m)]))
+            own = np.arange(total + m) >= total
+            h = np.concatenate([*hashes, np.zeros((m, 2), np.uint64)]).view(np.int64)
+            pos = np.concatenate([*map(np.arange, n), np.zeros(m, np.int64)]).astype(np.int32)
+            ends = np.concatenate([np.zeros(total + 1, np.int64), np.cumsum(list(map(len, starts)))]).astype(np.int32)
+            places = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~own, False)), pa.array(np.concatenate(starts).astype(np.int32)))
+            cols = [*(b.column(c).take(one) for c in WHO), pa.array(h[:, 0], mask=own), pa.array(h[:, 1].astype(np.int32), mask=own), pa.array(pos, mask=own), places]
+            yield pa.RecordBatch.from_arrays(cols, [*WHO, "h1", "h2", "pos", "starts"])
+
+    rows = docs.select(*[c.alias(n) for c, n in zip(_identity(docs), WHO, strict=True)], F.coalesce(docs["text"], F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "id long, k int, h1 long, h2 int, pos int, starts array<int>")
+
+
+def covered_lines(docs: DataFrame) -> DataFrame:
+    """(id, k, starts, at) for each document: where its lines begin, and the first lines of its windows that repeat an earlier one."""
+    # All tables are written: texts are cut and hashed once, and the joins have exchanges of their own on both sides, so that AQE can split a very frequent window's rows.
+    every = written(windows(docs), "line-hashes")
+    own = written(every.where("h1 is null").select(*WHO, "starts", F.lit(None).cast("int").alias("pos")), "line-starts")
+    many = written(every.where("h1 is not null").groupBy("h1").count().where("count > 1").select("h1"), "line-repeats")
+    found = written(every.where("h1 is not null").select("h1", "h2", *WHO, "pos").join(many, "h1", "left_semi"), "line-windows").withColumn("place", F.struct(*WHO, "pos")).select("h1", "h2", "place")
+    dropped(every)
+    dropped(many)
+    first = written(found.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "line-firsts")
+    later = found.join(first, ["h1", "h2"]).where("place > first").select(*[f"place.{c}" for c in WHO], F.lit(None).cast("array<int>").alias("starts"), "place.pos")
+    return later.unionByName(own).groupBy(*WHO).agg(F.first("starts", True).alias("starts"), F.collect_set("pos").alias("at"))
 
-    return docs.select(_key(docs).alias("__key"), docs["doc_id"].cast("long").alias("__id"), F.coalesce(docs["text"], F.lit("")).alias("text")).mapInArrow(run, "key long, id long, pos int, h1 long, h2 long")
 
+def count_names(columns: list[str]) -> list[str]:
+    """What the two added columns are called: a name that the table has already gets underscores."""
+    out = []
+    for name in ("lines_total", "lines_removed"):
+        while name.lower() in map(str.lower, columns):
+            name += "_"
+        out.append(name)
+    return out
 
-def covered_positions(docs: DataFrame) -> DataFrame:
-    """(key, at): the first lines of the windows that repeat an earlier one, for each document that has any."""
-    # Written, so that the joins have exchanges of their own on both sides, and AQE can split a very frequent window's rows.
-    many = written(windows(docs).groupBy("h1").count().where("count > 1").select("h1"), "line-repeats")
-    found = written(windows(docs).join(many, "h1", "left_semi").withColumn("place", F.struct("id", "key", "pos")).select("h1", "h2", "place"), "line-windows")
-    first = written(found.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "line-firsts")
-    later = found.join(first, ["h1", "h2"]).where("place > first")
-    return later.groupBy(F.col("place.key").alias("key")).agg(F.collect_set("place.pos").alias("at"))
+
+def _without(raw: bytes, starts: np.ndarray, at: np.ndarray) -> tuple[bytes, int]:
+    """The bytes outside of the windows that begin at these lines, and how many lines the windows hold."""
+    gone = np.zeros(len(starts), dtype=bool)
+    for k in range(WINDOW):
+        gone[at + k] = True
+    edge = np.flatnonzero(np.diff(gone, prepend=True, append=True))  # where what stays begins and ends, in turn
+    cut = np.append(starts, len(raw))[edge].tolist()
+    return b"".join(raw[a:b] for a, b in zip(cut[::2], cut[1::2])), int(gone.sum())
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """All rows and columns of docs, text without its later repeats, and two columns more: lines_total, lines_removed.
+    """All rows and columns of docs, text without its later repeats, and two columns more: lines_total, lines_removed (see count_names for clashes).
 
-    A null text stays null with 0 lines; rows alike in doc_id and text count as one document. Documents of under three
-    lines have no window and stay as they are. A text whose every line repeats an earlier one becomes empty.
+    A null text stays null with 0 lines; rows alike in doc_id and text count as one document, so all of them keep or lose the same lines; a row
+    without an id is placed by a hash of its text. Documents of under three lines, empty ones too, have no window and stay as they are. A text whose every line repeats an
+    earlier one becomes empty. A very long text is cut in one task, as all its windows are its own. An empty table gives an empty one.
     """
-    docs = docs.drop("lines_total", "lines_removed")
-    where = docs.columns.index("text")
-    covered = covered_positions(docs).select(F.col("key").alias("__covered_key"), F.col("at").alias("__covered_at"))
-    joined = docs.join(covered, _key(docs) == covered["__covered_key"], "left").select(*[docs[c] for c in docs.columns], covered["__covered_at"])
-    schema = T.StructType([*docs.schema.fields, T.StructField("lines_total", T.IntegerType()), T.StructField("lines_removed", T.IntegerType())])
+    where, names = docs.columns.index("text"), count_names(docs.columns)
+    covered = covered_lines(docs).select(*[F.col(c).alias(f"__covered_{c}") for c in [*WHO, "starts", "at"]])
+    same = [one == covered[f"__covered_{c}"] for one, c in zip(_identity(docs), WHO, strict=True)]
+    joined = docs.join(covered, same, "left").select(*[docs[c] for c in docs.columns], covered["__covered_starts"], covered["__covered_at"])
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.IntegerType()) for n in names]])
 
     def run(batches):
         for b in batches:
-            texts, gone = b.column(where).to_pylist(), []
-            raws = [_bytes_of(t or "") for t in texts]
-            starts = _line_starts(raws)
-            total = [len(s) for s in starts]
-            for k, at in enumerate(b.column(b.num_columns - 1).to_pylist()):
-                covered = {p + j for p in at or () for j in range(WINDOW)}
-                gone.append(len(covered))
-                if covered:
-                    texts[k] = b"".join([x for j, x in enumerate(_slices(raws[k], starts[k])) if j not in covered]).decode()
-            cols = [pa.array(texts, pa.string()) if k == where else b.column(k) for k in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int32()), pa.array(gone, pa.int32())], schema.fieldNames())
+            text, starts, at = b.column(where), b.column(b.num_columns - 2), b.column(b.num_columns - 1)
+            total, n = (pc.fill_null(pc.list_value_length(x), 0) for x in (starts, at))
+            gone, fresh = np.zeros(len(n), dtype=np.int32), []
+            for k in np.flatnonzero(n):
+                left, gone[k] = _without(_bytes_of(text[k].as_py()), *(x[k].values.to_numpy() for x in (starts, at)))
+                fresh.append(left.decode())
+            if fresh:
+                text = pc.replace_with_mask(text, pc.greater(n, 0), pa.array(fresh, text.type))
+            cols = [text if k == where else b.column(k) for k in range(b.num_columns - 2)]
+            yield pa.RecordBatch.from_arrays([*cols, total.cast(pa.int32()), pa.array(gone)], schema.fieldNames())
 
     return joined.mapInArrow(run, schema)
