@@ -1,7 +1,8 @@
-"""Secrets: base patterns, and tokens that only their owner has. Column expressions only.
+"""Secrets: base patterns, and a verdict on every candidate value by who has it. Column expressions only.
 
-High-entropy tokens are candidates. Over the whole corpus, each candidate's hash is counted by distinct repositories and
-distinct owners. What many of them share is an example that was copied around; what one or two have is taken for live.
+Candidates are the values that the base patterns caught, and wider tokens: quoted or assigned ones of 16 and more characters, and bare
+random-looking ones of 24 and more. Over the whole corpus, each candidate's hash is counted by distinct owners and distinct repositories.
+What many of them share is an example that was copied around; what one or two have is taken for live, and its place is added as a span.
 """
 
 from __future__ import annotations
@@ -9,48 +10,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import IDENTITY, identity, same_identity, written
 from .spans import NO_SPANS, clear_of, count_of, entropy, joined, matches
 
-KINDS = ["assign", "access", "hex", "token"]
+KINDS = ["assign", "access", "hex", "token", "live"]
+ASSIGNED, ACCESSED, HEXED, TOKENS, LIVE = range(5)
 # Fixed patterns of the contract, with possessive runs.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"[0-9a-f]{32,}+"
-TOKEN = r"(?:\G|(?<![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{24,}+"
+# The wider tokens: after a quote, "=" or ":", and bare.
+TOLD = r"""(?<=["'=:]|[=:]\x20)[A-Za-z0-9+/_=-]{16,}+"""
+BARE = r"(?:\G|(?<![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{24,}+"
 
 
 def base_spans(text: Column) -> Column:
-    assign = F.filter(matches(text, ASSIGN, 0), lambda s: F.length(F.regexp_extract(s["found"], ASSIGN, 1)) >= 8)
-    return F.array_sort(F.concat(assign, matches(text, ACCESS, 1, text.contains("AKIA")), matches(text, HEX, 2)))
+    assign = F.filter(matches(text, ASSIGN, ASSIGNED), lambda s: F.length(F.regexp_extract(s["found"], ASSIGN, 1)) >= 8)
+    return F.array_sort(F.concat(assign, matches(text, ACCESS, ACCESSED, text.contains("AKIA")), matches(text, HEX, HEXED)))
 
 
-def candidates(text: Column, least_entropy: float = 3.5) -> Column:
-    """Tokens of 24 and more characters that mix letters and digits and look random."""
-    return F.filter(matches(text, TOKEN, 3), lambda s: s["found"].rlike("[0-9]") & s["found"].rlike("[A-Za-z]") & (entropy(s["found"]) >= least_entropy))
+def _values(base: Column) -> Column:
+    """The value inside each base span: of an assignment what is assigned, else the whole match."""
+    value = lambda s: F.when(s["kind"] == ASSIGNED, F.regexp_extract(s["found"], ASSIGN, 1)).otherwise(s["found"])
+    return F.transform(base, lambda s: F.struct((s["end"] - F.length(value(s))).alias("start"), F.lit(LIVE).alias("kind"), s["end"].alias("end"), value(s).alias("found")))
 
 
-def secrets(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, owners: int = 2) -> DataFrame:
-    """One row for each row of docs: doc_id, base spans, added spans (arrays of structs), all spans.
+def wide_tokens(text: Column, least_entropy: float = 3.0) -> Column:
+    """Tokens beside the base patterns that mix letters and digits and look random: bits a character, over all characters."""
+    mixed = lambda s: s["found"].rlike("[0-9]") & s["found"].rlike("[A-Za-z]") & (entropy(s["found"]) >= least_entropy)
+    told, bare = F.filter(matches(text, TOLD, TOKENS), mixed), F.filter(matches(text, BARE, TOKENS), mixed)
+    return F.array_distinct(F.concat(told, clear_of(bare, told)))
+
+
+def secrets(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, owners: int = 2, repositories: int = 2) -> DataFrame:
+    """One row for each row of docs: doc_id, base spans, found (every candidate value: its span, n_owners, n_repositories, live), added spans, all spans.
 
     owner and repository default to the source, and the source with the language; a column that docs lacks counts as null, and null
-    owners count as one. A candidate is added if at most `owners` owners and as many repositories have it. Null texts have none.
+    owners count as one. A candidate is live if at most `owners` owners and `repositories` repositories have its value, wherever in the corpus.
+    Live candidates are added: the values of base spans as kind live, wider tokens, which overlap no base span, as kind token.
+    Null and empty texts have no spans; rows that repeat a doc_id and text each get all spans; two spans of one value are two candidates.
+    An empty table gives an empty one; columns other than doc_id, text and those of owner and repository are never read. Patterns take time in
+    proportion to a text's length, so very long ones are read whole.
     """
     has = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
-    owner = has("source") if owner is None else owner
-    repository = F.concat_ws("/", has("source"), has("lang")) if repository is None else repository
+    owner = has("source") if owner is None else F.coalesce(owner, F.lit(""))
+    repository = F.concat_ws("/", has("source"), has("lang")) if repository is None else F.coalesce(repository, F.lit(""))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), owner.alias("owner"), repository.alias("repository"))
-    rows = rows.select("doc_id", F.xxhash64("text", "doc_id").alias("key"), "owner", "repository", base_spans(F.col("text")).alias("base"), candidates(F.col("text")).alias("maybe"))
-    found = written(rows.withColumn("maybe", clear_of(F.col("maybe"), F.col("base"))), "secrets")
-    each = found.where("size(maybe) > 0").select("key", "owner", "repository", F.explode("maybe").alias("span")).withColumn("hash", F.sha2("span.found", 256))
+    rows = docs.select(*identity(docs), text.alias("text"), owner.alias("owner"), repository.alias("repository"))
+    rows = rows.select(*IDENTITY, "owner", "repository", base_spans(F.col("text")).alias("base"), wide_tokens(F.col("text")).alias("wide"))
+    found = written(rows.withColumn("maybe", F.array_distinct(F.concat(_values(F.col("base")), clear_of(F.col("wide"), F.col("base"))))).drop("wide"), "secrets")
+    each = found.where("size(maybe) > 0").select(*IDENTITY, "owner", "repository", F.explode("maybe").alias("span")).withColumn("hash", F.sha2("span.found", 256))
     once = each.select("hash", "owner", "repository").distinct()
-    copied = once.groupBy("hash").agg(F.count_distinct("owner").alias("o"), F.count_distinct("repository").alias("r"))
-    live = each.join(copied.where(f"o <= {owners} and r <= {owners}").select("hash"), "hash", "left_semi").groupBy("key").agg(F.collect_set("span").alias("added"))
-    out = found.select("doc_id", "key", "base").join(live.withColumnRenamed("key", "k"), F.col("key") == F.col("k"), "left")
-    return out.select("doc_id", "base", F.coalesce("added", F.array().cast(NO_SPANS)).alias("added")).withColumn("spans", F.array_sort(F.concat("base", "added")))
+    # Written, so that the join has an exchange of its own on both sides and AQE can split a value that a great many texts hold.
+    known = written(once.groupBy("hash").agg(F.count_distinct("owner").alias("n_owners"), F.count_distinct("repository").alias("n_repositories")), "secret-owners")
+    verdict = F.struct("span", "n_owners", "n_repositories", ((F.col("n_owners") <= owners) & (F.col("n_repositories") <= repositories)).alias("live"))
+    told = each.join(known, "hash").groupBy(*IDENTITY).agg(F.collect_set(verdict).alias("f")).select(*[F.col(c).alias(f"t_{c}") for c in IDENTITY], F.array_sort("f").alias("found"))
+    out = found.drop("owner", "repository", "maybe").join(told, same_identity("t_"), "left")
+    nothing = F.array().cast(f"array<struct<span:{NO_SPANS[6:-1]},n_owners:bigint,n_repositories:bigint,live:boolean>>")
+    out = out.select("doc_id", "base", F.coalesce("found", nothing).alias("found"))
+    return out.withColumn("added", F.transform(F.filter("found", lambda f: f["live"]), lambda f: f["span"])).withColumn("spans", F.array_sort(F.concat("base", "added")))
 
 
 def digests(found: DataFrame) -> DataFrame:
     counts = [count_of(F.col("base"), k).alias(f"n_{name}") for k, name in enumerate(KINDS[:3])]
-    return found.select("doc_id", *counts, F.sha2(joined(F.col("base"), KINDS), 256).alias("base_sha256"), joined(F.col("spans"), KINDS).alias("spans"))
+    verdicts = [F.size(F.filter("found", test)).cast("long").alias(name) for name, test in (("n_live", lambda f: f["live"]), ("n_copied", lambda f: ~f["live"]))]
+    return found.select("doc_id", *counts, *verdicts, F.sha2(joined(F.col("base"), KINDS), 256).alias("base_sha256"), joined(F.col("spans"), KINDS).alias("spans"))

@@ -12,14 +12,17 @@ from pyspark.sql import functions as F
 NO_SPANS = "array<struct<start:int,kind:int,end:int,found:string>>"
 
 
+STEP = 256
+
+
 def matches(text: Column, pattern: str, kind: int, only_if: Column | None = None) -> Column:
     """All leftmost matches, none overlapping. kind is the number that breaks ties in order.
 
-    Pieces between matches and the matches themselves give the places: their lengths add up.
+    Pieces between matches and the matches themselves give the places: their lengths add up. They are added up STEP at a time, so
+    that a text with very many matches doesn't copy all found so far for each one more.
     """
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(between.alias("b"), found.alias("f"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(NO_SPANS).alias("out"))
+    pairs = F.arrays_zip(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    none = F.array().cast(NO_SPANS)
 
     def step(acc: Column, x: Column) -> Column:
         at = acc["at"] + F.length(x["0"])
@@ -27,8 +30,14 @@ def matches(text: Column, pattern: str, kind: int, only_if: Column | None = None
         span = F.struct(at.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["1"].alias("found"))
         return F.struct(F.coalesce(end, at).alias("at"), F.when(x["1"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
 
+    def block(acc: Column, first: Column, all_: Column) -> Column:
+        part = F.aggregate(F.slice(all_, first, F.lit(STEP)), F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return F.struct(part["at"].alias("at"), F.concat(acc["out"], F.array(part["out"])).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{NO_SPANS}>").alias("out"))
+    found = F.transform(F.array(pairs), lambda p: F.flatten(F.aggregate(F.sequence(F.lit(1), F.size(p), F.lit(STEP)), start, lambda acc, k: block(acc, k, p), lambda acc: acc["out"])))[0]
     hit = text.rlike(pattern) if only_if is None else only_if & text.rlike(pattern)
-    return F.when(hit, F.aggregate(F.arrays_zip(between, found), start, step, lambda acc: acc["out"])).otherwise(F.array().cast(NO_SPANS))
+    return F.when(hit, found).otherwise(none)
 
 
 def joined(spans: Column, kinds: list[str]) -> Column:
