@@ -1,10 +1,10 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Transducers for insults, threats, targets, negations and reported speech run over the words of a clause and compose into
-one: a clause's state holds what was read so far, and each insult or threat is paid out at the weight of its arc, changed by the
-state it is reached in. Insult arcs (whole words, and stems of three to eight letters) and their weights are learned from labelled
-documents, as log-odds; the small closed classes are fixed. Clauses are scored, not words; a document's score is a
-logistic function of its strongest clause and of all of them, fitted on the same labels.
+A lexicon transducer reads the letters of a word and writes what it can be: an insult or a threat, at the weight of its arcs, a target, a negation, reported speech,
+or just a word. Three transducers read what it writes, a clause at a time: negation damps what comes within three words, reported speech damps its whole
+clause, a target makes threats count and insults count more. They are composed into one machine, whose best accepted path is the clause's score. Insult arcs (whole
+words, and stems of three to eight letters) and their weights are learned from labelled documents, as log-odds; the closed classes are fixed.
+Clauses are scored, not words; a document's score is a logistic function of its strongest clause and of all of them, fitted on the same labels.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +21,15 @@ from pyspark.sql import functions as F
 
 from .common import keyed, written
 
-_WORD, _CLAUSE = re.compile(r"\w+"), re.compile(r"[.,;:!?\n|]+")
-# Fixed closed classes of the grammar.
-TARGETS = frozenset("you your yours yourself u he she they them him her his their tu toi vous votre du dich dir ihr euch usted ustedes te ti".split())
-NEGATIONS = frozenset("not never isn aren wasn don doesn didn nicht kein keine nie jamais nunca".split())
-REPORTS = frozenset("said says claimed called calls quoted reported wrote sagte schrieb dijo escribió disait".split())
-THREATS = frozenset("kill hurt destroy stab shoot strangle".split())
-THREAT_WEIGHT, ARCS = 2.5, 2000
+_WORD, _CLAUSE = re.compile(r"\w+"), re.compile(r"[.,;:!?\n|。！？，；]+")
+# Fixed closed classes of the grammar: English, French, German, Spanish. Threats are stems.
+TARGETS = frozenset("you your yours yourself u he she they them him her his their tu toi te vous votre vos il elle ils elles du dich dir ihr euch sie usted ustedes ti vosotros ellos".split())
+NEGATIONS = frozenset("not never no isn aren wasn don doesn didn won nicht kein keine nie niemals pas jamais ne nunca jamás".split())
+REPORTS = frozenset("said says saying claimed called calls quoted reported wrote writes sagte sagt schrieb schreibt behauptete dit disait écrit dijo dice escribió".split())
+THREATS = frozenset("kill killing kills killed hurt destroy stab shoot strangle tuer tuerai frapper étrangler égorger töten umbringen erschießen erwürgen verprügeln matar mataré golpear apuñalar estrangular".split())
+THREAT_WEIGHT, NEGATED, REPORTED, AIMED = 2.5, 0.4, 0.6, 1.2
+SIZES = range(3, 9)
+WORD, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -34,85 +37,154 @@ def held_out(key: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(4)) == 2
 
 
-SIZES, LEVELS = range(3, 9), 4
+@dataclass
+class Transducer:
+    """arcs[state][label] = (next state, label written, factor of its weight); a label without an arc has no path. Several starts are several guesses."""
+
+    starts: list
+    finals: set
+    arcs: dict[object, dict[int, tuple[object, int, float]]] = field(default_factory=dict)
+
+    def composed(self, after: Transducer) -> Transducer:
+        """What this one writes, the other reads; factors multiply. Only states that can be reached are built."""
+        out = Transducer([(a, b) for a in self.starts for b in after.starts], set())
+        todo = list(out.starts)
+        while todo:
+            a, b = state = todo.pop()
+            if state in out.arcs:
+                continue
+            out.arcs[state] = {}
+            if a in self.finals and b in after.finals:
+                out.finals.add(state)
+            for label, (to, middle, factor) in self.arcs[a].items():
+                if found := after.arcs[b].get(middle):
+                    out.arcs[state][label] = ((to, found[0]), found[1], factor * found[2])
+                    todo.append((to, found[0]))
+        return out
+
+
+def _same(state, change: dict | None = None, factors: dict | None = None) -> dict[int, tuple[object, int, float]]:
+    """Arcs that write what they read: to the state named for a label, else back; with the factor named for it, else 1. None as a state is no arc."""
+    change, factors = change or {}, factors or {}
+    return {k: (change.get(k, state), k, factors.get(k, 1.0)) for k in range(6) if change.get(k, state) is not None}
+
+
+def negation() -> Transducer:
+    """States are the words that a negation still covers."""
+    low = {INSULT: NEGATED, THREAT: NEGATED}
+    return Transducer([0], {0, 1, 2, 3}, {k: _same(max(0, k - 1), {NEGATION: 3}, low if k else {}) for k in range(4)})
+
+
+def reported() -> Transducer:
+    """Two guesses: no reporting word in the clause, or one that comes."""
+    low = {INSULT: REPORTED, THREAT: REPORTED}
+    return Transducer(["plain", "to come"], {"plain", "seen"}, {"plain": _same("plain", {REPORT: None}), "to come": _same("to come", {REPORT: "seen"}, low), "seen": _same("seen", factors=low)})
+
+
+def target() -> Transducer:
+    """Two guesses: no target in the clause, so that threats don't count, or one that comes."""
+    more = {INSULT: AIMED, THREAT: AIMED}
+    return Transducer(["none", "to come"], {"none", "seen"}, {"none": _same("none", {TARGET: None}, {THREAT: 0.0}), "to come": _same("to come", {TARGET: "seen"}, more), "seen": _same("seen", factors=more)})
+
+
+class Lexicon:
+    """A trie: at its end a word's own readings, on the way those of stems. A reading is (label, weight)."""
+
+    def __init__(self, words: dict[str, float], stems: dict[str, float]):
+        self.next: list[dict[str, int]] = [{}]
+        self.ends: dict[int, list[tuple[int, float]]] = {}
+        self.passes: dict[int, tuple[int, float]] = {}
+        for label, weight, found in ((TARGET, 0.0, TARGETS), (NEGATION, 0.0, NEGATIONS), (REPORT, 0.0, REPORTS), (THREAT, THREAT_WEIGHT, THREATS)):
+            for w in sorted(found):
+                self.ends.setdefault(self._path(w), []).append((label, weight))
+        for w, x in words.items():
+            self.ends.setdefault(self._path(w), []).append((INSULT, x))
+        for w, x in stems.items():
+            self.passes[self._path(w)] = (INSULT, x)
+
+    def _path(self, word: str) -> int:
+        at = 0
+        for c in word:
+            at = self.next[at].setdefault(c, len(self.next))
+            if at == len(self.next):
+                self.next.append({})
+        return at
+
+    def read(self, word: str) -> list[tuple[int, float]]:
+        """What the word can be. A word of a closed class is nothing else beside insults and threats."""
+        at, out = 0, []
+        for k, c in enumerate(word):
+            at = self.next[at].get(c)
+            if at is None:
+                break
+            if at in self.passes and k + 1 < len(word):
+                out.append(self.passes[at])
+        else:
+            out += self.ends.get(at, ())
+        return out if any(label in (TARGET, NEGATION, REPORT) for label, _ in out) else [*out, (WORD, 0.0)]
 
 
 class Grammar:
-    """arcs: word -> weight; (stem, level) -> weight for words that begin with a stem which so many words of the text begin with.
-
-    fit: bias and the two factors of the score. Levels matter where a stem is also an ordinary beginning: then one word with
-    it says little, and several do.
-    """
-
-    def __init__(self, words: dict[str, float], stems: dict[tuple[str, int], float], fit: tuple[float, float, float] = (-4.0, 1.0, 1.0)):
-        self.words, self.stems, self.fit = words, stems, fit
-        self.by_size = [(n, found) for n in SIZES if (found := {s for s, _ in stems if len(s) == n})]
-
-    def arcs(self, words: list[str]) -> dict[str, float]:
-        """The weight of each word of a text that an insult arc takes."""
-        counted, reached = Counter(words), Counter()
-        starts: dict[str, list[str]] = {}
-        for n, stems in self.by_size:
-            for w, k in counted.items():
-                if w[:n] in stems and len(w) > n:
-                    reached[w[:n]] += k
-                    starts.setdefault(w, []).append(w[:n])
-        pays = {s: max((self.stems.get((s, k), 0.0) for k in range(1, min(LEVELS, n) + 1)), default=0.0) for s, n in reached.items()}
-        out = {w: max(pays[s] for s in found) for w, found in starts.items()}
-        for w in counted.keys() & self.words.keys():
-            out[w] = max(out.get(w, 0.0), self.words[w])
-        return {w: x for w, x in out.items() if x > 0}
-
-    def clause(self, words: list[str], arcs: dict[str, float]) -> float:
-        """Weight of the best reading. State: words since a negation, whether reported, whether a target was read."""
-        total, negated, reported, target, threat = 0.0, 9, False, False, 0.0
-        for w in words:
-            negated += 1
-            if w in NEGATIONS:
-                negated = 0
-            elif w in REPORTS:
-                reported = True
-            elif w in TARGETS:
-                target = True
-                total, threat = total + threat, 0.0
-            elif w in THREATS:
-                if target:
-                    total += THREAT_WEIGHT * (0.4 if negated <= 3 else 1.0)
-                else:
-                    threat = THREAT_WEIGHT * (0.4 if negated <= 3 else 1.0)
-            elif x := arcs.get(w):
-                total += x * (0.4 if negated <= 3 else 1.0)
-        return total * (0.6 if reported else 1.0) * (1.2 if target else 1.0)
-
-    def features(self, text: str | None) -> tuple[float, float]:
-        """The strongest clause and the log of all clauses' sum. Clauses are only read in texts with a word that pays out."""
-        low = (text or "").lower()
-        words = _WORD.findall(low)
-        arcs = self.arcs(words)
-        if not arcs and THREATS.isdisjoint(words):
-            return 0.0, 0.0
-        each = [s for c in _CLAUSE.split(low) if (s := self.clause(_WORD.findall(c), arcs))]
-        return (min(12.0, max(each)), math.log1p(sum(each))) if each else (0.0, 0.0)
+    """words and stems: the insult arcs and their weights. fit: bias and the factors of the features."""
+
+    CACHED = 1 << 17
+
+    def __init__(self, words: dict[str, float], stems: dict[str, float], fit: tuple[float, ...] = (-4.0, 1.0, 1.0, 0.0)):
+        self.lexicon, self.fit = Lexicon(words, stems), fit
+        self.machine = negation().composed(reported()).composed(target())
+        self.seen: dict[str, list[tuple[int, float]]] = {}
+
+    def readings(self, word: str) -> list[tuple[int, float]]:
+        if (out := self.seen.get(word)) is None:
+            if len(self.seen) >= self.CACHED:
+                self.seen.clear()
+            out = self.seen[word] = self.lexicon.read(word)
+        return out
+
+    def clause(self, words: list[list[tuple[int, float]]]) -> float:
+        """The weight of the best path that ends in a final state."""
+        best = {s: 0.0 for s in self.machine.starts}
+        for readings in words:
+            after: dict = {}
+            for state, total in best.items():
+                for label, weight in readings:
+                    if (arc := self.machine.arcs[state].get(label)) and (x := total + weight * arc[2]) > after.get(arc[0], -1.0):
+                        after[arc[0]] = x
+            best = after
+        return max((x for s, x in best.items() if s in self.machine.finals), default=0.0)
+
+    def clauses(self, text: str | None) -> list[float]:
+        """The scores above 0. Only clauses with a word that can pay are run."""
+        out, low = [], (text or "").lower()
+        pays = lambda w: any(x for _, x in self.readings(w))
+        if any(map(pays, set(_WORD.findall(low)))):
+            for c in _CLAUSE.split(low):
+                words = _WORD.findall(c)
+                if any(map(pays, words)) and (x := self.clause([self.readings(w) for w in words])):
+                    out.append(x)
+        return out
+
+    def features(self, text: str | None) -> tuple[float, float, float]:
+        """Logs of the strongest clause, of all clauses' sum, and of the words they are spread over; zeros if no clause scores."""
+        each = self.clauses(text)
+        return (math.log1p(max(each)), math.log1p(sum(each)), math.log1p(len(_WORD.findall(text.lower())))) if each else (0.0, 0.0, 0.0)
 
     def score(self, text: str | None) -> float:
-        a, (x, y) = self.fit, self.features(text)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a[0] + a[1] * x + a[2] * y))))
+        z = self.fit[0] + sum(a * x for a, x in zip(self.fit[1:], self.features(text), strict=True))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
 def _grams(text: str) -> set[str]:
-    """Whole words, and stems followed by the levels they reach; each counts once in a document."""
-    words = Counter(_WORD.findall(text.lower()))
-    stems = Counter()
-    for w, k in words.items():
-        for n in SIZES:
-            if len(w) <= n:
-                break
-            stems[w[:n]] += k
-    return {w for w in words if len(w) > 2} | {f"{s} {k}" for s, n in stems.items() for k in range(1, min(LEVELS, n) + 1)}
+    """Whole words, and stems followed by a blank; each counts once in a document."""
+    words = set(_WORD.findall(text.lower()))
+    return {w for w in words if len(w) > 2} | {w[:n] + " " for w in words for n in SIZES if len(w) > n}
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, support: float = 0.03, least: int = 5, odds: float = 2.0) -> Grammar:
-    """Learn arcs and the final logistic from labelled rows that are not held out; fit_rows bounds (about) how many."""
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, support: float = 0.02, least: int = 5, odds: float = 2.0) -> Grammar:
+    """Learn arcs and the final logistic from labelled rows that are not held out; fit_rows bounds (about) how many.
+
+    An arc is learned from `least` toxic rows on, and a share `support` of them; so there are at most the sample's words over that many. A document with several labels is toxic if one says so.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("l"), F.col("toxic").cast("int").alias("y")).where("l is not null and y is not null").groupBy("l").agg(F.max("y").alias("y"))
     rows = keyed(docs).where(~held_out()).join(known, F.col("doc_id") == F.col("l")).select("doc_id", "text", "y")
     total = known.where(~held_out("l")).count()
@@ -132,21 +204,21 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, support: flo
 
     grams = rows.select("text", "y").mapInArrow(count, "gram string, toxic boolean").groupBy("gram").agg(F.sum(F.col("toxic").cast("long")).alias("p"), F.sum((~F.col("toxic")).cast("long")).alias("n"))
     weight = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("n") + 3) / (neg + 3))
-    found = grams.where(F.col("p") >= max(least, support * pos)).withColumn("w", weight).where(f"w >= {odds} and p >= 12 * n").orderBy(F.desc("w"), "gram").limit(ARCS).collect()
-    grammar = Grammar({r["gram"]: r["w"] for r in found if " " not in r["gram"]}, {(r["gram"].split(" ")[0], int(r["gram"].split(" ")[1])): r["w"] for r in found if " " in r["gram"]})
+    found = grams.where(F.col("p") >= max(least, support * pos)).withColumn("w", weight).where(F.col("w") >= odds).collect()
+    grammar = Grammar({r["gram"]: r["w"] for r in found if " " not in r["gram"]}, {r["gram"].strip(): r["w"] for r in found if " " in r["gram"]})
     sent = docs.sparkSession.sparkContext.broadcast(grammar)
 
     def features(batches):
         for b in batches:
             f = [sent.value.features(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in f], pa.float64()), pa.array([x[1] for x in f], pa.float64()), b.column("y")], ["x", "s", "y"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in f], pa.float64()) for k in range(3)), b.column("y")], ["top", "sum", "size", "y"])
 
-    seen = rows.select("text", "y").mapInArrow(features, "x double, s double, y int").groupBy(F.round("x", 1).alias("x"), F.round("s", 1).alias("s"), F.col("y")).count().collect()
-    grammar.fit = _logistic(np.array([[1.0, r["x"], r["s"]] for r in seen]), np.array([float(r["y"] == 1) for r in seen]), np.array([float(r["count"]) for r in seen]))
+    seen = rows.select("text", "y").mapInArrow(features, "top double, sum double, size double, y int").groupBy(*[F.round(c, 1).alias(c) for c in ("top", "sum", "size")], "y").count().collect()
+    grammar.fit = _logistic(np.array([[1.0, r["top"], r["sum"], r["size"]] for r in seen]), np.array([float(r["y"] == 1) for r in seen]), np.array([float(r["count"]) for r in seen]))
     return grammar
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -> tuple[float, float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -156,7 +228,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit_rows: int = 20_000) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row. Null and empty texts score as a text without toxic clauses does."""
+    """(doc_id, held_out, score, predicted) for every row. Null and empty texts score as a text without toxic clauses does.
+
+    Rows that repeat a doc_id are scored each by its text; a null id is not held out and has no label. Very long texts are read whole, clause by
+    clause. Without labels of both classes there are no insult arcs, and the logistic keeps its initial weights. An empty table gives an empty one; other columns are never read.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, fit_rows))
 
     def run(batches):
