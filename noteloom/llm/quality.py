@@ -157,29 +157,42 @@ def fit(docs: DataFrame, fit_rows: int = 8000) -> np.ndarray:
     return fit_linear([(a, x) for a, x, _ in rows], np.array([p for *_, p in rows]))
 
 
+def score(texts: list[str | None], w: np.ndarray) -> np.ndarray:
+    """The probability of good of each text. One without words has the score of the bias."""
+    z = []
+    for t in texts:
+        n, figures = ratios(t)
+        z.append(w[-1] + (sum(w[k] * x for k, x in hashed(t, n, figures).items()) if n else 0.0))
+    return 1 / (1 + np.exp(-np.clip(np.array(z, dtype=float), -30, 30)))
+
+
 def scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(doc_id, score): the probability of good, for every row. A text without words has the score of the bias."""
+    """(doc_id, score) for every row."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
-        w = sent.value
         for b in batches:
-            z = []
-            for t in b.column("text").to_pylist():
-                n, figures = ratios(t)
-                z.append(w[-1] + (sum(w[k] * x for k, x in hashed(t, n, figures).items()) if n else 0.0))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(np.array(z, dtype=float), -30, 30))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score(b.column("text").to_pylist(), sent.value))], ["doc_id", "score"])
 
     return keyed(docs).mapInArrow(run, "doc_id long, score double")
 
 
 def classify(docs: DataFrame, threshold: float = 0.5, fit_rows: int = 8000) -> DataFrame:
-    """(doc_id, score, kept) for every row. Null and empty texts have no word to vote on and are kept."""
+    """(doc_id, score, kept) for every row. Null and empty texts have no word to vote on and are kept.
+
+    Each row is judged by its own text, whatever its id; rows alike get one verdict each. Very long texts are read whole, in time in proportion to their length. An empty table gives
+    an empty one; ties at the threshold are kept; other columns are never read.
+    """
     out = scores(docs, fit(docs, fit_rows))
     return out.select("doc_id", "score", (F.col("score") >= threshold).alias("kept"))
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are not rejected; rows without a doc_id stay, as do all columns."""
-    bad = classify(docs).where("not kept").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["__bad"], "left_anti")
+def keep_good(docs: DataFrame, threshold: float = 0.5, fit_rows: int = 8000) -> DataFrame:
+    """The rows of docs that are not rejected, with all columns: each is judged by its own text, so repeated and missing ids change nothing. Nothing is shuffled."""
+    sent, where = docs.sparkSession.sparkContext.broadcast(fit(docs, fit_rows)), docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(score(b.column(where).to_pylist(), sent.value) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
