@@ -67,13 +67,11 @@ def plain_pipeline(spark):
     rows = {i: t for i, t in rows.items() if good(t)}
     seen, out = set(), {}
     for i in sorted(rows):
-        lines, counts = line_dedup.cut_lines(rows[i] or "")
-        drop = set()
+        lines, drop = line_dedup.lines_of(rows[i] or ""), set()
         for p in range(len(lines) - 2):
-            if sum(counts[p : p + 3]) >= 10:
-                w = tuple(x.strip() for x in lines[p : p + 3])
-                drop |= set(range(p, p + 3)) if w in seen else set()
-                seen.add(w)
+            w = tuple(x.strip() for x in lines[p : p + 3])
+            drop |= set(range(p, p + 3)) if w in seen else set()
+            seen.add(w)
         text = "".join(x for k, x in enumerate(lines) if k not in drop) if drop else rows[i]
         if not drop or text.strip(" "):
             out[i] = text
