@@ -22,6 +22,8 @@ def parse_documents(objects: DataFrame) -> DataFrame:
     block, body = text.split_frontmatter(F.col("text"))
     cut = objects.where(keys.is_indexable(F.col("key"))).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("__yaml", block).withColumn("body", body)
     cut = cut.withColumn("__front", parse_frontmatter(F.col("__yaml"))).withColumn("headings", text.extract_headings(F.col("body")))
+    # Named first, so that the fold over distinct tags reads what was found and doesn't search the text for each of them.
+    cut = cut.withColumn("__told", text.frontmatter_tags(F.coalesce("__front.tags", F.array().cast("array<string>")))).withColumn("__said", text.extract_body_tags(F.col("body")))
     tally = lambda values, source: F.transform(F.array_distinct(values), lambda t: F.struct(t.alias("tag"), F.lit(source).alias("source"), F.size(F.filter(values, lambda x: x == t)).cast("long").alias("occurrences")))
     declared, first = text.trim_ws(F.col("__front.title")), F.get(F.filter("headings", lambda h: h["level"] == 1), 0)["text"]
     return (
@@ -30,30 +32,36 @@ def parse_documents(objects: DataFrame) -> DataFrame:
         .withColumn("front", F.col("__front.json"))
         .withColumn("heading_text", F.array_join(F.transform("headings", lambda h: h["text"]), "\n"))
         .withColumn("links", text.extract_wikilinks(F.col("body")))
-        .withColumn("tags", F.concat(tally(text.frontmatter_tags(F.coalesce("__front.tags", F.array().cast("array<string>"))), "frontmatter"), tally(text.extract_body_tags(F.col("body")), "body")))
+        .withColumn("tags", F.concat(tally(F.col("__told"), "frontmatter"), tally(F.col("__said"), "body")))
         .withColumn("tag_text", F.array_join(F.transform("tags", lambda t: t["tag"]), " "))
-        .drop("__yaml", "__front")
+        .drop("__yaml", "__front", "__told", "__said")
     )
 
 
 @dataclass
 class Index:
-    """The index tables of one state of the vault."""
+    """The index tables of one state of the vault. postings: (document_id, column, token, n, positions), where they are stored."""
 
     documents: DataFrame
     headings: DataFrame
     front: DataFrame
     tags: DataFrame
     links: DataFrame
+    postings: DataFrame | None = None
 
 
-def build_index(objects: DataFrame) -> Index:
+def build_index(objects: DataFrame, indexed_at: int | None = None) -> Index:
+    """The index tables as views of one parse; publish() of sources.io stores them, for more than one question."""
+    return index_of(parse_documents(objects), indexed_at)
+
+
+def index_of(parsed: DataFrame, indexed_at: int | None = None) -> Index:
     """Child tables carry document_id and nothing of the text; documents folds the searched columns in."""
-    parsed = parse_documents(objects)
     one = F.col("id").alias("document_id")
     documents = parsed.select(
         "id", "key", F.col("etag").alias("indexed_etag"), "content_sha256", "title", keys.content_type(F.col("key")).alias("content_type"), "modified_ms", "size",
-        F.lit(INDEX_VERSION).alias("index_version"), "body", "heading_text", "tag_text",
+        F.lit(INDEX_VERSION).alias("index_version"), F.lit(indexed_at).cast("long").alias("indexed_at"), "body", "heading_text", "tag_text",
+        sum((F.size(text.tokenize(F.coalesce(c, F.lit("")))) for c in ("title", "heading_text", "tag_text", "body")), F.lit(0)).alias("length"),
     )
     headings = parsed.select(one, F.posexplode("headings").alias("ordinal", "h")).select("document_id", "ordinal", "h.level", "h.text", "h.line")
     front = parsed.select(one, F.explode(F.from_json("front", "map<string,string>")).alias("field", "value")).withColumn("value", F.coalesce("value", F.lit("null")))
@@ -85,5 +93,6 @@ def search_frontmatter(index: Index, field: str, value: str | None = None, conta
 
 
 def index_freshness(index: Index, version: int = INDEX_VERSION) -> DataFrame:
+    """One row: documents, those of another version, whether some or all are current, and when the newest was indexed."""
     stale = F.count_if(F.col("index_version") != version)
-    return index.documents.agg(F.count("*").alias("documents"), stale.alias("stale"), ((stale > 0) & (stale < F.count("*"))).alias("partial"), ((F.count("*") > 0) & (stale == 0)).alias("ready"))
+    return index.documents.agg(F.count("*").alias("documents"), stale.alias("stale"), ((stale > 0) & (stale < F.count("*"))).alias("partial"), ((F.count("*") > 0) & (stale == 0)).alias("ready"), F.max("indexed_at").alias("indexed_at"))

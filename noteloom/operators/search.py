@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,10 +92,31 @@ def plan_text_query(query: str) -> Plan:
 
 
 def build_postings(index: Index) -> DataFrame:
-    """(document_id, column, token, n, positions): the tokens of one column of a document are grouped inside its row, before any explode."""
-    cols = F.array(*[F.struct(F.lit(name).alias("column"), text.tokenize(F.coalesce(F.col(c), F.lit(""))).alias("tokens")) for name, c in COLUMNS.items()])
-    rows = index.documents.select(F.col("id").alias("document_id"), F.explode(cols).alias("c")).select("document_id", "c.column", F.posexplode("c.tokens").alias("position", "token"))
-    return rows.groupBy("document_id", "column", "token").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("position")).alias("positions"))
+    """(document_id, column, token, n, positions): the tokens of one column of a document are grouped inside its row, so nothing is shuffled."""
+    rows = index.documents.select(F.col("id").alias("document_id"), *[text.tokenize(F.coalesce(F.col(c), F.lit(""))).alias(n) for n, c in COLUMNS.items()])
+    names = list(COLUMNS)
+
+    def run(batches):
+        for b in batches:
+            ids, out = b.column("document_id").to_pylist(), []
+            for name in names:
+                for i, tokens in zip(ids, b.column(name).to_pylist(), strict=True):
+                    at: dict[str, list[int]] = {}
+                    for k, t in enumerate(tokens):
+                        at.setdefault(t, []).append(k)
+                    out += [(i, name, t, len(p), p) for t, p in at.items()]
+                    if len(out) > 1 << 16:
+                        yield _batch(out)
+                        out = []
+            if out:
+                yield _batch(out)
+
+    return rows.mapInArrow(run, "document_id long, column string, token string, n long, positions array<int>")
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32())]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["document_id", "column", "token", "n", "positions"])
 
 
 def _occurrences(tokens: Column, term: tuple[str, ...]) -> Column:
@@ -104,35 +127,56 @@ def _occurrences(tokens: Column, term: tuple[str, ...]) -> Column:
     return F.size(F.filter(tokens, hit))
 
 
+def _counts(postings: DataFrame, terms: list[tuple[str, ...]]) -> DataFrame:
+    """(document_id, w0, w1, ...): weighted counts of each term (a token, or tokens in a row) in every document that has any. Only the terms' tokens are read."""
+    rows = postings.where(F.col("token").isin(sorted({t for term in terms for t in term})))
+    places = lambda t: F.coalesce(F.max(F.when(F.col("token") == t, F.col("positions"))), F.array().cast("array<int>"))
+    tokens = sorted({t for term in terms for t in term})
+    name = {t: f"p{k}" for k, t in enumerate(tokens)}
+    by_column = rows.groupBy("document_id", "column").agg(*[places(t).alias(name[t]) for t in tokens])
+
+    def times(term: tuple[str, ...]) -> Column:
+        if len(term) == 1:
+            return F.size(name[term[0]])
+        follows = lambda p: reduce(lambda a, b: a & b, [F.array_contains(F.col(name[t]), p + k) for k, t in enumerate(term) if k])
+        return F.size(F.filter(F.col(name[term[0]]), follows))
+
+    weight = F.element_at(F.create_map(*[F.lit(x) for n, w in WEIGHTS.items() for x in (n, float(w))]), F.col("column"))
+    return by_column.groupBy("document_id").agg(*[F.sum(weight * times(t)).alias(f"w{k}") for k, t in enumerate(terms)])
+
+
+def _of_prefix(index: Index, prefix: str) -> DataFrame:
+    return index.documents.where(keys.has_prefix(F.col("key"), prefix)).select(F.col("id").alias("document_id"), "key", "title", "modified_ms", "size", "length")
+
+
 def search_bm25(index: Index, query: str, prefix: str = "", limit: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, title, score), smaller scores first: ranked columns weigh 10, 4, 2 and 1, and the sum of all is negated.
+    """(key, title, modified_ms, size, score, snippet), smaller scores first: ranked columns weigh 10, 4, 2 and 1, and the sum of all is negated.
 
-    Term counts are taken inside each row; only rows that match leave the scan. Statistics (documents, mean length, documents
-    by term) are one small aggregate over all documents, whatever the prefix.
+    Of the postings only those of the query's tokens are read. Statistics are those of all documents, whatever the prefix. Bodies are read for the results alone.
     """
     plan = plan_text_query(query)
     terms = plan.terms()
     if not terms:
-        return index.documents.select("key", "title", F.lit(0.0).alias("score")).limit(0)
-    rows = index.documents.select("key", "title", *[text.tokenize(F.coalesce(F.col(c), F.lit(""))).alias(f"t_{n}") for n, c in COLUMNS.items()])
-    counts = [sum((F.lit(w) * _occurrences(F.col(f"t_{n}"), t) for n, w in WEIGHTS.items()), F.lit(0.0)).alias(f"w{k}") for k, t in enumerate(terms)]
-    rows = rows.select("key", "title", sum((F.size(f"t_{n}") for n in COLUMNS), F.lit(0)).alias("length"), *counts)
-    any_ = F.lit(False)
-    for k in range(len(terms)):
-        any_ = any_ | (F.col(f"w{k}") > 0)
-    few = rows.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"w{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
+        return index.documents.select("key", "title", "modified_ms", "size", F.lit(0.0).alias("score"), F.lit("").alias("snippet")).limit(0)
+    postings = build_postings(index) if index.postings is None else index.postings
+    counts = _counts(postings, terms)
     place = {t: k for k, t in enumerate(terms)}
     wanted = plan.predicate(lambda t: F.col(f"w{place[t]}") > 0 if t in place else F.lit(False))
-    hits = rows.where(any_ & wanted & keys.has_prefix(F.col("key"), prefix)).join(F.broadcast(few))  # one row
+    df = counts.agg(*[F.count_if(F.col(f"w{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
+    few = df.join(index.documents.agg(F.count("*").alias("docs"), F.avg("length").alias("mean")))  # rows of one
+    hits = counts.where(wanted).join(_of_prefix(index, prefix), "document_id").join(F.broadcast(few))
     score = F.lit(0.0)
     for k in range(len(terms)):
         idf = F.greatest(F.log((F.col("docs") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5)), F.lit(1e-6))
         score = score + idf * F.col(f"w{k}") * (k1 + 1) / (F.col(f"w{k}") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    return hits.select("key", "title", (-score).alias("score")).orderBy("score", "key").limit(limit)
+    best = hits.select("document_id", "key", "title", "modified_ms", "size", (-score).alias("score")).orderBy("score", "key").limit(limit)
+    bodies = index.documents.select(F.col("id").alias("document_id"), F.coalesce("body", F.lit("")).alias("body"))
+    shown = term_snippet(F.col("body"), [t[0] for t in terms])
+    return bodies.join(F.broadcast(best), "document_id").select("key", "title", "modified_ms", "size", "score", shown.alias("snippet")).orderBy("score", "key")
 
 
 def search_phrase(index: Index, query: str, prefix: str = "", limit: int = 20) -> DataFrame:
-    """(key, title, score, snippet) for CJK queries: every run is a substring somewhere; words of other scripts must match too."""
+    """(key, title, modified_ms, size, score, snippet) for CJK queries: every run is a substring somewhere; words of other scripts must match too."""
     plan = plan_text_query(query)
     if not plan.runs:
         raise ValueError("a phrase search needs a CJK run")
@@ -147,7 +191,7 @@ def search_phrase(index: Index, query: str, prefix: str = "", limit: int = 20) -
     at = lambda x, points: F.when(x.contains(a), points).otherwise(0)
     times = (F.length(body) - F.length(F.replace(body, F.lit(a), F.lit("")))).cast("int") / len(a)
     score = at(title, 100) + at(heads, 40) + at(tags, 30) + at(body, 10) + times.cast("int")
-    return docs.select("key", "title", score.cast("long").alias("score"), phrase_snippet(body, a).alias("snippet"), "modified_ms").orderBy(F.desc("score"), F.desc("modified_ms"), "key").limit(limit).select("key", "title", "score", "snippet")
+    return docs.select("key", "title", "modified_ms", "size", score.cast("long").alias("score"), phrase_snippet(body, a).alias("snippet")).orderBy(F.desc("score"), F.desc("modified_ms"), "key").limit(limit)
 
 
 def phrase_snippet(body: Column, phrase: str) -> Column:
@@ -188,13 +232,18 @@ def tier_of(quality: Column, in_content: Column) -> tuple[Column, Column]:
     return F.coalesce(F.least(name, body), F.lit(CONTENT_TIER)), both
 
 
-def merge_search(content: DataFrame, names: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """One row a key with both signals. content: (key, place), names: (key, place), places from 1 in each one's own order."""
+def _merged(content: DataFrame, names: DataFrame, query: str, limit: int) -> tuple[DataFrame, list[Column]]:
     a, b = content.select("key", F.col("place").alias("c")), names.select("key", F.col("place").alias("n"))
     both = a.join(b, "key", "full_outer")
     quality = F.when(F.col("n").isNotNull(), F.coalesce(name_quality(F.col("key"), query), F.lit("path")))
     tier, matched = tier_of(quality, F.col("c").isNotNull())
-    return both.select("key", tier.alias("tier"), matched.alias("matched"), quality.alias("quality"), F.col("c").isNull().alias("__n"), F.coalesce("c", "n").alias("__p")).orderBy("tier", "__n", "__p", "key").limit(limit).select("key", "tier", "matched", "quality")
+    order = ["tier", "__n", "__p", "key"]
+    return both.select("key", tier.alias("tier"), matched.alias("matched"), quality.alias("quality"), F.col("c").isNull().alias("__n"), F.coalesce("c", "n").alias("__p")).orderBy(*order).limit(limit), order
+
+
+def merge_search(content: DataFrame, names: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """One row a key with both signals. content: (key, place), names: (key, place), places from 1 in each one's own order."""
+    return _merged(content, names, query, limit)[0].select("key", "tier", "matched", "quality")
 
 
 def placed(rows: DataFrame, *order: Column) -> DataFrame:
@@ -205,8 +254,11 @@ def placed(rows: DataFrame, *order: Column) -> DataFrame:
 
 
 def search(index: Index, query: str, prefix: str = "", limit: int = 20) -> DataFrame:
-    """Content and names in one ranking."""
+    """Content and names in one ranking: (key, tier, matched, quality, title, modified_ms, size, snippet); what only a name finds has no snippet."""
     plan = plan_text_query(query)
-    hits = search_phrase(index, query, prefix, limit) if plan.runs else search_bm25(index, query, prefix, limit)
-    hits = placed(hits, F.desc("score") if plan.runs else F.asc("score"), F.asc("key"))
-    return merge_search(hits, placed(search_filename(index, query, prefix, limit), F.desc("modified_ms"), F.asc("key")), query, limit)
+    found = search_phrase(index, query, prefix, limit) if plan.runs else search_bm25(index, query, prefix, limit)
+    order = [F.desc("score"), F.desc("modified_ms")] if plan.runs else [F.asc("score")]
+    merged, rank = _merged(placed(found, *order, F.asc("key")), placed(search_filename(index, query, prefix, limit), F.desc("modified_ms"), F.asc("key")), query, limit)
+    known = index.documents.select("key", "title", "modified_ms", "size")
+    rows = known.join(F.broadcast(merged), "key").join(F.broadcast(found.select("key", "snippet")), "key", "left")  # at most `limit` rows each
+    return rows.orderBy(*rank).drop("__n", "__p")

@@ -62,12 +62,12 @@ headings AS (SELECT id AS document_id, CAST(row_number() OVER (PARTITION BY id O
   FROM fenced WHERE NOT f AND n % 2 = 0 AND regexp_matches(x, {_HEAD})),
 front AS (SELECT id AS document_id, f.field, CASE f.field WHEN 'tags' THEN '["' || replace(regexp_extract(yaml, '(?m)^tags: \[(.*)\]$', 1), ', ', '","') || '"]' ELSE regexp_extract(yaml, '(?m)^' || f.field || ': (.*)$', 1) END AS value
   FROM notes, (VALUES ('title'), ('tags'), ('status'), ('rank')) AS f(field) WHERE yaml IS NOT NULL),
-tags AS (SELECT document_id, tag, source, count(*) AS occurrences FROM (
-  SELECT id AS document_id, unnest(string_split(regexp_extract(yaml, '(?m)^tags: \[(.*)\]$', 1), ', ')) AS tag, 'frontmatter' AS source FROM notes WHERE yaml IS NOT NULL
-  UNION ALL SELECT id, ltrim(unnest(regexp_extract_all(body, '(?:^|\s)(#[\w一-龥/-]+)', 1)), '#'), 'body' FROM notes) AS t WHERE tag <> '' GROUP BY ALL),
+tags AS (SELECT document_id, tag, source, count(*) AS occurrences, min(o) AS o FROM (
+  SELECT document_id, unnest(ts) AS tag, source, generate_subscripts(ts, 1) AS o FROM (SELECT id AS document_id, string_split(regexp_extract(yaml, '(?m)^tags: \[(.*)\]$', 1), ', ') AS ts, 'frontmatter' AS source FROM notes WHERE yaml IS NOT NULL
+  UNION ALL SELECT id, list_transform(regexp_extract_all(body, '(?:^|\s)(#[\w一-龥/-]+)', 1), lambda t: ltrim(t, '#')), 'body' FROM notes) AS l) AS t WHERE tag <> '' GROUP BY document_id, tag, source),
 links AS (SELECT DISTINCT document_id, to_key FROM (SELECT id AS document_id, trim(unnest(regexp_extract_all(body, '\[\[([^\]\n|#]+)(?:[#|][^\]\n]*)?\]\]', 1))) AS to_key FROM notes) AS l),
 documents_ AS (SELECT n.*, coalesce(nullif(trim(regexp_extract(yaml, '(?m)^title: (.*)$', 1)), ''), (SELECT min_by(h.text, h.ordinal) FROM headings h WHERE h.document_id = n.id AND h.level = 1), regexp_extract(bare, '([^/]*)$', 1)) AS title,
-  coalesce((SELECT string_agg(h.text, chr(10) ORDER BY h.ordinal) FROM headings h WHERE h.document_id = n.id), '') AS heading_text, coalesce((SELECT string_agg(t.tag, ' ') FROM tags t WHERE t.document_id = n.id), '') AS tag_text FROM notes n),
+  coalesce((SELECT string_agg(h.text, chr(10) ORDER BY h.ordinal) FROM headings h WHERE h.document_id = n.id), '') AS heading_text, coalesce((SELECT string_agg(t.tag, ' ' ORDER BY t.source DESC, t.o) FROM tags t WHERE t.document_id = n.id), '') AS tag_text FROM notes n),
 names AS (SELECT DISTINCT key, alias FROM (SELECT key, key AS alias FROM notes UNION ALL SELECT key, bare FROM notes UNION ALL SELECT key, regexp_extract(bare, '([^/]*)$', 1) FROM notes) AS a),
 aliases AS (SELECT alias, max(key) AS key FROM names GROUP BY alias),
 edges AS (SELECT n.key AS from_key, l.to_key AS link, coalesce(a.key, b.key) AS to_key, a.key IS NULL AS dangling, coalesce(a.key, b.key) IS NULL AS unresolved FROM links l JOIN notes n ON n.id = l.document_id

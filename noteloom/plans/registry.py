@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from noteloom.functions import keys
 from noteloom.operators import edits, index, links, search, stats, tags
 from noteloom.sources import io
+from noteloom.sources.shared import shared_dir
 
 from .derived import BASE, journal, vault
 
@@ -29,8 +31,23 @@ def query(name: str, sql: str | None = None, base: str = BASE):
     return add
 
 
+INDEXED_AT = 1704067200000 + 9_000_000_000
+_published: dict[tuple, index.Index] = {}
+
+
+def stored_index(spark: SparkSession, sf: str) -> index.Index:
+    """The index of the vault below a folder, published on the first question and read by all others of the session; anew when the table's files change."""
+    source = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/documents.parquet")
+    at = source.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(source)
+    stamp = (spark.sparkContext.applicationId, sf, at.getLength(), at.getFileCount())
+    if stamp not in _published:
+        _published[stamp] = io.publish(vault(spark, sf), f"{shared_dir(spark)}/index-{uuid.uuid4().hex[:12]}", "1", INDEXED_AT)
+    return _published[stamp]
+
+
 def over_index(name: str, f: Callable[[index.Index], DataFrame], sql: str | None = None) -> None:
-    query(name, sql)(lambda spark, sf: f(index.build_index(vault(spark, sf))))
+    """A question to the stored index."""
+    query(name, sql)(lambda spark, sf: f(stored_index(spark, sf)))
 
 
 def over_objects(name: str, f: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
@@ -77,12 +94,12 @@ over_objects("apply_writes_append", _write("append"), _E + "SELECT key, sha256(C
 over_objects("parse_documents", lambda o: index.parse_documents(o).select("id", "key", "content_sha256", "title", "heading_text", F.sha2("body", 256).alias("body_sha256")), "SELECT id, key, content_sha256, title, heading_text, sha256(body) AS body_sha256 FROM documents_")
 over_index("document_headings", lambda x: x.headings, "SELECT * FROM headings")
 over_index("frontmatter_rows", lambda x: x.front, "SELECT * FROM front")
-over_index("tag_counts", lambda x: x.tags, "SELECT * FROM tags")
+over_index("tag_counts", lambda x: x.tags, "SELECT document_id, tag, source, occurrences FROM tags")
 over_index("extract_wikilinks", lambda x: x.links, "SELECT * FROM links")
 over_index("heading_outline", lambda x: index.heading_outline(x, "p0/n1.md"), "SELECT ordinal, level, h.text, line FROM headings h JOIN notes n ON n.id = h.document_id WHERE n.key = 'p0/n1.md'")
 over_objects("read_parsed", lambda o: index.read_parsed(o, "p0/n1.md").select("key", "front", F.sha2("body", 256).alias("body_sha256"), F.array_join("tags", ",").alias("tags"), F.array_join("links", ",").alias("links")), "SELECT key, '{\"title\":\"Note 1\",\"tags\":[\"alpha\",\"t1\",\"area/a1\"],\"status\":\"done\",\"rank\":1}' AS front, sha256(body) AS body_sha256, 't1,Beta' AS tags, 'p0/n7,n3,missing1,p0/n1.md' AS links FROM notes WHERE key = 'p0/n1.md'")
 over_index("search_frontmatter", lambda x: index.search_frontmatter(x, "status", "draft", prefix="p"), "SELECT n.key, value, modified_ms FROM front f JOIN notes n ON n.id = f.document_id WHERE field = 'status' AND value = 'draft' AND starts_with(lower(n.key), 'p') ORDER BY modified_ms DESC, n.key LIMIT 100")
-over_index("index_freshness", index.index_freshness, "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS stale, FALSE AS partial, TRUE AS ready FROM notes")
+over_index("index_freshness", index.index_freshness, "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS stale, FALSE AS partial, TRUE AS ready, CAST(1713067200000 AS BIGINT) AS indexed_at FROM notes")
 
 # Tags
 _BY = "sum(occurrences) FILTER (source = '{}')"
@@ -144,9 +161,22 @@ _T = ", t AS (SELECT id, key, title, modified_ms, " + ", ".join(f"{_TOKENS.forma
 _C = "len(list_filter({c}, lambda x: x = '{t}'))"
 _W = lambda t: "(10.0 * " + _C.format(c="ti", t=t) + " + 4.0 * " + _C.format(c="he", t=t) + " + 2.0 * " + _C.format(c="ta", t=t) + " + " + _C.format(c="bo", t=t) + ")"
 _S = lambda k: f"greatest(ln(((SELECT count(*) FROM w) - (SELECT count(*) FROM w WHERE w{k} > 0) + 0.5) / ((SELECT count(*) FROM w WHERE w{k} > 0) + 0.5)), 1e-6) * w{k} * 2.2 / (w{k} + 1.2 * (0.25 + 0.75 * n / (SELECT avg(n) FROM w)))"
-over_index("build_postings", lambda x: search.build_postings(x).select("document_id", "column", "token", "n", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions")))
-over_index("search_bm25", lambda x: search.search_bm25(x, "part alpha NOT t3", limit=40).select("key", "title", F.round("score", 6).alias("score")), _T + f", w AS (SELECT key, title, len(ti) + len(he) + len(ta) + len(bo) AS n, {_W('part')} AS w0, {_W('alpha')} AS w1, {_W('t3')} AS w2 FROM t) SELECT key, title, round(-({_S(0)} + {_S(1)} + {_S(2)}), 6) AS score FROM w WHERE w0 > 0 AND w1 > 0 AND NOT w2 > 0 ORDER BY ({_S(0)} + {_S(1)} + {_S(2)}) DESC, key LIMIT 40")
-over_index("search_phrase", lambda x: search.search_phrase(x, "心率 徒步", limit=50), "SELECT key, title, CAST(10 + (length(body) - length(replace(body, '心率', ''))) // 2 AS BIGINT) AS score, CASE WHEN instr(body, '心率') > 60 THEN '…' ELSE '' END || substr(body, greatest(1, instr(body, '心率') - 60), 150) AS snippet FROM documents_ WHERE contains(body, '心率') AND contains(body, '徒步') ORDER BY score DESC, modified_ms DESC, key LIMIT 50")
+_ROWS = ", u AS (SELECT id AS document_id, 'title' AS \"column\", ti AS xs FROM t UNION ALL SELECT id, 'headings', he FROM t UNION ALL SELECT id, 'tags', ta FROM t UNION ALL SELECT id, 'body', bo FROM t) "
+over_index(
+    "build_postings", lambda x: x.postings.select("document_id", "column", "token", "n", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions")),
+    _T + _ROWS + "SELECT document_id, \"column\", token, count(*) AS n, string_agg(CAST(k - 1 AS VARCHAR), ',' ORDER BY k) AS positions FROM (SELECT document_id, \"column\", unnest(xs) AS token, generate_subscripts(xs, 1) AS k FROM u) AS p GROUP BY ALL",
+)
+_WORDS = "list_filter(string_split_regex(coalesce(body, ''), '\\s+'), lambda x: x <> '')"
+
+
+def _shown(terms: str) -> str:
+    """The snippet of `body` as a scalar subquery."""
+    return f"(SELECT CASE WHEN s > 1 THEN '…' ELSE '' END || array_to_string(ws[s:s + 11], ' ') || CASE WHEN len(ws) > s + 11 THEN '…' ELSE '' END FROM (SELECT ws, greatest(coalesce(list_position(list_transform(ws, lambda x: regexp_matches(lower(x), '^[^a-z0-9]*(?:{terms})\\b')), TRUE), 0) - 6, 1) AS s FROM (SELECT {_WORDS} AS ws) AS y) AS z)"
+
+
+_BM = f"SELECT key, title, modified_ms, size, len(ti) + len(he) + len(ta) + len(bo) AS n, {_W('part')} AS w0, {_W('alpha')} AS w1, {_W('t3')} AS w2, body FROM t JOIN (SELECT id, size, body FROM documents_) d USING (id)"
+over_index("search_bm25", lambda x: search.search_bm25(x, "part alpha NOT t3", limit=40).withColumn("score", F.round("score", 6)), _T + f", w AS ({_BM}) SELECT key, title, modified_ms, size, round(-({_S(0)} + {_S(1)} + {_S(2)}), 6) AS score, {_shown('part|alpha|t3')} AS snippet FROM w WHERE w0 > 0 AND w1 > 0 AND NOT w2 > 0 ORDER BY ({_S(0)} + {_S(1)} + {_S(2)}) DESC, key LIMIT 40")
+over_index("search_phrase", lambda x: search.search_phrase(x, "心率 徒步", limit=50), "SELECT key, title, modified_ms, size, CAST(10 + (length(body) - length(replace(body, '心率', ''))) // 2 AS BIGINT) AS score, CASE WHEN instr(body, '心率') > 60 THEN '…' ELSE '' END || substr(body, greatest(1, instr(body, '心率') - 60), 150) AS snippet FROM documents_ WHERE contains(body, '心率') AND contains(body, '徒步') ORDER BY score DESC, modified_ms DESC, key LIMIT 50")
 over_index("search_filename", lambda x: search.search_filename(x, "N17"), "SELECT key, modified_ms FROM notes WHERE contains(lower(key), 'n17') ORDER BY modified_ms DESC, key LIMIT 20")
 _Q = "CASE WHEN stem = 'n1' OR base = 'n1' THEN 'exact' WHEN starts_with(base, 'n1') THEN 'prefix' WHEN contains(base, 'n1') THEN 'substring' WHEN contains(lower(key), 'n1') THEN 'path' END AS quality"
 _B = ", b AS (SELECT key, modified_ms, body, title, lower(regexp_extract(key, '([^/]*)$', 1)) AS base, lower(regexp_extract(bare, '([^/]*)$', 1)) AS stem FROM documents_) "
@@ -166,8 +196,17 @@ m AS (SELECT coalesce(c.key, n.key) AS key, quality, c.p AS cp, n.p AS np, CASE
 SELECT key, CAST(least(coalesce(nt, 9), CASE WHEN cp IS NULL THEN 9 ELSE 2 END) AS INTEGER) AS tier, CASE WHEN nt IS NULL THEN 'content' WHEN cp IS NULL THEN 'name' WHEN nt < 2 THEN 'name,content' ELSE 'content,name' END AS matched, quality
 FROM m ORDER BY 2, cp IS NULL, coalesce(cp, np), key LIMIT 50""",
 )
-over_index("search", lambda x: search.search(x, "心率 n1"))
-over_index("term_snippet", lambda x: x.documents.select("key", search.term_snippet(F.col("body"), ["part"]).alias("snippet")))
+over_index(
+    "search", lambda x: search.search(x, "n1", limit=40),
+    _T + f""", b AS (SELECT id, key, size, body, bare, lower(regexp_extract(key, '([^/]*)$', 1)) AS base, lower(regexp_extract(bare, '([^/]*)$', 1)) AS stem FROM documents_),
+w AS (SELECT key, title, modified_ms, size, len(ti) + len(he) + len(ta) + len(bo) AS n, {_W('n1')} AS w0, body FROM t JOIN (SELECT id, size, body FROM documents_) d USING (id)),
+c AS (SELECT *, row_number() OVER (ORDER BY score, key) AS p FROM (SELECT key, -({_S(0)}) AS score, {_shown('n1')} AS snippet FROM w WHERE w0 > 0 ORDER BY 2, key LIMIT 40) AS s),
+n AS (SELECT key, quality, row_number() OVER (ORDER BY modified_ms DESC, key) AS p FROM (SELECT b.key, modified_ms, {_Q.replace('lower(key)', 'lower(b.key)')} FROM b JOIN t USING (id) WHERE contains(lower(b.key), 'n1') ORDER BY modified_ms DESC, b.key LIMIT 40) AS s),
+m AS (SELECT coalesce(c.key, n.key) AS key, quality, c.p AS cp, n.p AS np, c.snippet, CASE quality WHEN 'exact' THEN 0 WHEN 'prefix' THEN 1 WHEN 'substring' THEN 3 WHEN 'path' THEN 4 END AS nt FROM c FULL JOIN n ON c.key = n.key),
+r AS (SELECT key, CAST(least(coalesce(nt, 9), CASE WHEN cp IS NULL THEN 9 ELSE 2 END) AS INTEGER) AS tier, CASE WHEN nt IS NULL THEN 'content' WHEN cp IS NULL THEN 'name' WHEN nt < 2 THEN 'name,content' ELSE 'content,name' END AS matched, quality, snippet FROM m ORDER BY 2, cp IS NULL, coalesce(cp, np), key LIMIT 40)
+SELECT r.key, tier, matched, quality, w.title, w.modified_ms, w.size, r.snippet FROM r JOIN w ON w.key = r.key""",
+)
+over_index("term_snippet", lambda x: x.documents.select("key", search.term_snippet(F.col("body"), ["part"]).alias("snippet")), f"SELECT key, {_shown('part')} AS snippet FROM documents_")
 
 from . import registry_work  # noqa: E402, F401  (registers the rest)
 

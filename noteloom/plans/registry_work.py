@@ -100,9 +100,22 @@ def _apply(spark: SparkSession, sf: str) -> DataFrame:
 
 # Chunks and vectors
 over_objects("path_digests", lambda o: o.select("key", text.path_digest(F.col("key")).alias("path_digest"), text.tombstone_name(F.col("key"), F.col("etag")).alias("tombstone")), " SELECT key, rtrim(replace(replace(to_base64(unhex(substr(sha256(key), 1, 16))), '+', '-'), '/', '_'), '=') AS path_digest, rtrim(replace(replace(to_base64(unhex(sha256(key || chr(0) || etag))), '+', '-'), '/', '_'), '=') AS tombstone FROM objects")
-over_objects("chunk_ids", lambda o: vectors.chunk_documents(index.parse_documents(o)).where("ordinal = 0").select("document_id", "chunk_id"), " SELECT id AS document_id, substr(replace(replace(to_base64(unhex(sha256('mineral-vector-chunk-v1|' || length(CAST(id AS VARCHAR)) || ':' || id || '|64:' || content_sha256 || '|1:1|10:hash-embed|1:1|1:0'))), '+', '-'), '/', '_'), 1, 32) AS chunk_id FROM notes")
-over_objects("chunk_documents", lambda o: vectors.chunk_documents(index.parse_documents(o)).drop("tags"))
-over_objects("embedding_text", lambda o: vectors.chunk_documents(index.parse_documents(o)).select("chunk_id", F.sha2(vectors.embedding_text(F.col("title"), F.col("heading"), F.col("tags"), F.col("text")), 256).alias("sha")))
+#: Chunks, by the rules of the chunker: sections between headings, paragraphs, windows of long ones, packs.
+_CH = r""", marks AS (SELECT id AS document_id, 0 AS line, title AS heading FROM documents_ UNION ALL SELECT document_id, line, text FROM headings),
+spans_ AS (SELECT *, coalesce(lead(line) OVER (PARTITION BY document_id ORDER BY line), 1000000000) AS after FROM marks),
+sections AS (SELECT s.document_id, s.line, heading, string_agg(l.x, chr(10) ORDER BY l.k) AS t FROM spans_ s JOIN lines l ON l.id = s.document_id AND l.k > s.line AND l.k < s.after GROUP BY 1, 2, 3),
+paragraphs AS (SELECT document_id, line, heading, list_filter(list_transform(string_split_regex(regexp_replace(t, '^\s+|\s+$', '', 'g'), '\n\s*\n'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS ps FROM sections),
+pieces AS (SELECT document_id, line, heading, flatten(list_transform(ps, lambda p: CASE WHEN length(p) <= 1500 THEN [p] ELSE list_transform(range(0, length(p), 1350), lambda i: substr(p, CAST(i AS BIGINT) + 1, 1500)) END)) AS ps FROM paragraphs WHERE len(ps) > 0),
+packs AS (SELECT document_id, line, heading, list_reduce(list_transform(ps, lambda p: {'done': CAST([] AS VARCHAR[]), 'open': p}), lambda a, b: CASE WHEN length(a.open) + 2 + length(b.open) > 1000
+  THEN {'done': list_append(a.done, a.open), 'open': substr(right(a.open, 150) || chr(10) || chr(10) || b.open, 1, 1500)} ELSE {'done': a.done, 'open': a.open || chr(10) || chr(10) || b.open} END) AS r FROM pieces),
+cut AS (SELECT document_id, line, heading, i, regexp_replace(list_append(r.done, r.open)[i], '^\s+|\s+$', '', 'g') AS text FROM packs, unnest(range(1, len(r.done) + 2)) AS u(i)),
+numbered AS (SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY line, i) - 1 AS INTEGER) AS ordinal, heading, text FROM cut WHERE text <> ''
+  UNION ALL SELECT id, 0, title, title FROM documents_ WHERE id NOT IN (SELECT document_id FROM cut WHERE text <> '')),
+chunks AS (SELECT substr(replace(replace(to_base64(unhex(sha256('mineral-vector-chunk-v1|' || length(CAST(id AS VARCHAR)) || ':' || id || '|64:' || content_sha256 || '|1:1|10:hash-embed|1:1|' || length(CAST(ordinal AS VARCHAR)) || ':' || ordinal))), '+', '-'), '/', '_'), 1, 32) AS chunk_id,
+  document_id, content_sha256, ordinal, heading, c.text, title FROM numbered c JOIN documents_ d ON d.id = c.document_id) """
+over_objects("chunk_ids", lambda o: vectors.chunk_documents(index.parse_documents(o)).select("document_id", "ordinal", "chunk_id"), _CH + "SELECT document_id, ordinal, chunk_id FROM chunks")
+over_objects("chunk_documents", lambda o: vectors.chunk_documents(index.parse_documents(o)).drop("tags"), _CH + "SELECT * FROM chunks")
+over_objects("embedding_text", lambda o: vectors.chunk_documents(index.parse_documents(o)).select("chunk_id", F.sha2(vectors.embedding_text(F.col("title"), F.col("heading"), F.array_sort("tags"), F.col("text")), 256).alias("sha")), _CH + r", named AS (SELECT document_id, string_agg(DISTINCT tag, ', ' ORDER BY tag) AS tags FROM tags GROUP BY 1) SELECT chunk_id, sha256('Title: ' || title || chr(10) || 'Heading: ' || heading || chr(10) || coalesce('Tags: ' || tags || chr(10), '') || chr(10) || text) AS sha FROM chunks LEFT JOIN named USING (document_id)")
 
 
 def _chunked(o: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -119,26 +132,33 @@ def _ledger(o: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     state = documents.where("id % 31 <> 0").join(counted, F.col("id") == F.col("document_id")).select(
         "document_id", F.when(F.col("id") % 17 == 0, "pending").when(F.col("id") % 37 == 0, "failed").otherwise("ready").alias("status"), F.when(F.col("id") % 23 == 0, "old").otherwise(F.col("content_sha256")).alias("active_sha256"),
         F.when(F.col("id") % 19 == 0, 0).otherwise(1).alias("active_chunker"), F.lit(vectors.MODEL).alias("active_model"), F.lit(1).alias("active_version"), "active_chunks",
+        F.when((F.col("id") % 17 != 0) & (F.col("id") % 37 == 0), F.concat(F.lit("model timed out on "), "id")).alias("last_error"), (F.col("id") * 7 % 1000).alias("updated_at"),
     )
-    return documents, ledger.select("chunk_id", "document_id", "content_sha256", "ordinal"), state
+    return documents, ledger.select("chunk_id", "document_id", "content_sha256", "ordinal", "heading", "text"), state
 
 
 _STALE = "(id % 31 = 0 OR id % 17 = 0 OR id % 37 = 0 OR id % 23 = 0 OR id % 19 = 0)"
 over_objects("stale_vectors", lambda o: vectors.stale_vectors((x := _ledger(o))[0], x[2]), f" SELECT id, key FROM notes WHERE {_STALE}")
-over_objects("stale_ledger", lambda o: vectors.stale_ledger((x := _ledger(o))[1], x[2]).select("document_id").distinct(), " SELECT id AS document_id FROM notes WHERE id % 31 = 0")
-over_objects("collect_garbage", lambda o: vectors.collect_garbage((x := _ledger(o))[1], x[2]).groupBy("document_id").agg(F.count("*").alias("rows")))
+_LEDGER = _CH + """, ledger AS (SELECT chunk_id, document_id, CASE WHEN document_id % 23 = 0 THEN 'old' ELSE content_sha256 END AS content_sha256, ordinal, heading, text FROM chunks WHERE NOT (document_id % 29 = 0 AND ordinal = 0)) """
+_PLACE = "chunk_id, document_id, content_sha256, ordinal"
+_placed = lambda df: df.select("chunk_id", "document_id", "content_sha256", "ordinal")
+over_objects("stale_ledger", lambda o: _placed(vectors.stale_ledger((x := _ledger(o))[1], x[2])), _LEDGER + f"SELECT {_PLACE} FROM ledger WHERE document_id % 31 = 0")
+over_objects("collect_garbage", lambda o: _placed(vectors.collect_garbage((x := _ledger(o))[1], x[2])), _LEDGER + f"SELECT {_PLACE} FROM ledger WHERE document_id % 31 <> 0")
 over_objects("plan_vector_publish", lambda o: vectors.plan_vector_publish(o.select(F.col("key").alias("path"), F.when(F.col("id") % 13 == 0, "remove").otherwise("upsert").alias("action"), F.when(F.col("id") % 7 == 0, "moved").otherwise(F.col("etag")).alias("target_etag")), *(x := _ledger(o))[::2]), f" SELECT o.key AS path, CASE WHEN o.id % 13 = 0 THEN 'removed' WHEN n.key IS NULL OR o.id % 7 = 0 THEN 'deferred' WHEN NOT {_STALE.replace('id %', 'o.id %')} THEN 'noop' ELSE 'published' END AS outcome FROM objects o LEFT JOIN notes n ON n.key = o.key")
-over_objects("publish_vectors", lambda o: vectors.publish_vectors((x := _ledger(o))[1], x[2], _chunked(o)[1].where("document_id % 5 = 0"))[1].groupBy("status", "active_chunker").agg(F.count("*").alias("documents")))
-over_objects("vector_health", lambda o: vectors.vector_health((x := _ledger(o))[0], x[2], x[1]).drop("ledger_chunks"), f" SELECT count(*) FILTER (id % 31 <> 0) AS tracked, count(*) FILTER (id % 31 <> 0 AND id % 17 <> 0 AND id % 37 <> 0) AS ready, count(*) FILTER (id % 31 <> 0 AND id % 17 = 0) AS pending, count(*) FILTER (id % 31 <> 0 AND id % 17 <> 0 AND id % 37 = 0) AS failed, count(*) FILTER ({_STALE}) AS outdated FROM notes")
-over_objects("accept_hits", lambda o: vectors.accept_hits((x := _ledger(o))[1].where("ordinal = 1").select("chunk_id"), x[1], x[2], x[0], "p").select("document_id", "key"), f" SELECT id AS document_id, key FROM notes WHERE starts_with(lower(key), 'p') AND NOT {_STALE} AND id % 29 <> 0")
+_published = lambda o: vectors.publish_vectors((x := _ledger(o))[1], x[2], _chunked(o)[1].where("document_id % 5 = 0"))  # noqa: E731  (what is published is the operator's argument)
+over_objects("publish_vectors", lambda o: _published(o)[1].drop("last_error", "updated_at"), _CH + "SELECT document_id, CASE WHEN document_id % 5 <> 0 AND document_id % 17 = 0 THEN 'pending' WHEN document_id % 5 <> 0 AND document_id % 37 = 0 THEN 'failed' ELSE 'ready' END AS status, CASE WHEN document_id % 5 <> 0 AND document_id % 23 = 0 THEN 'old' ELSE max(content_sha256) END AS active_sha256, CASE WHEN document_id % 5 <> 0 AND document_id % 19 = 0 THEN 0 ELSE 1 END AS active_chunker, 'hash-embed' AS active_model, 1 AS active_version, count(*) AS active_chunks FROM chunks WHERE document_id % 5 = 0 OR document_id % 31 <> 0 GROUP BY document_id")
+over_objects("publish_ledger", lambda o: _placed(_published(o)[0]), _LEDGER + f"SELECT {_PLACE} FROM ledger WHERE document_id % 5 <> 0 UNION ALL SELECT {_PLACE} FROM chunks WHERE document_id % 5 = 0")
+over_objects("vector_health", lambda o: vectors.vector_health((x := _ledger(o))[0], x[2], x[1]), _LEDGER + f"SELECT count(*) FILTER (id % 31 <> 0) AS tracked, count(*) FILTER (id % 31 <> 0 AND id % 17 <> 0 AND id % 37 <> 0) AS ready, count(*) FILTER (id % 31 <> 0 AND id % 17 = 0) AS pending, count(*) FILTER (id % 31 <> 0 AND id % 17 <> 0 AND id % 37 = 0) AS failed, count(*) FILTER ({_STALE}) AS outdated, (SELECT count(*) FROM ledger) AS ledger_chunks, 'model timed out on ' || arg_max(id, (id * 7 % 1000) * 1000000 + id) FILTER (id % 31 <> 0 AND id % 17 <> 0 AND id % 37 = 0) AS last_error FROM notes")
+over_objects("accept_hits", lambda o: vectors.accept_hits((x := _ledger(o))[1].select("chunk_id"), x[1], x[2], x[0], "p").select("document_id", "ordinal", "chunk_id", "key", "title"), _LEDGER + f"SELECT document_id, ordinal, chunk_id, d.key, d.title FROM ledger l JOIN documents_ d ON d.id = l.document_id WHERE starts_with(lower(d.key), 'p') AND NOT {_STALE.replace('id %', 'd.id %')} AND d.id % 29 <> 0")
 over_objects("embed", lambda o: vectors.embed(_chunked(o)[1]).select("chunk_id", F.sha2(F.array_join(F.col("embedding").cast("array<string>"), ","), 256).alias("sha")))
 
 
 def _semantic(o: DataFrame) -> DataFrame:
     documents, chunks = (stored(x, "semantic") for x in _chunked(o))
-    ledger, state = chunks.select("chunk_id", "document_id", "content_sha256", "ordinal"), _STATE(chunks)
-    asked = [(k, vectors.hash_embedding(q).tolist()) for k, q in enumerate(("today part heading", "the of and"))]
-    return vectors.search_semantic(vectors.embed(chunks), asked, ledger, state, documents, "p")
+    ledger, state = chunks.select("chunk_id", "document_id", "content_sha256", "ordinal", "heading", "text"), _STATE(chunks)
+    embedded = stored(vectors.embed(chunks), "vectors")  # the stored vectors that every question is asked of
+    asked = embedded.where("document_id % 20 = 0 and ordinal = 0").select(F.col("document_id").alias("query_id"), "embedding")
+    return vectors.search_semantic(embedded, asked, ledger, state, documents, "p")
 
 
 _STATE = lambda chunks: chunks.groupBy("document_id").agg(F.max("content_sha256").alias("active_sha256"), F.count("*").alias("active_chunks")).select("*", F.lit("ready").alias("status"), F.lit(1).alias("active_chunker"), F.lit(vectors.MODEL).alias("active_model"), F.lit(1).alias("active_version"))
@@ -195,10 +215,17 @@ def version_store(o: DataFrame) -> DataFrame:
 
 over_store = lambda name, f, sql=None: over_objects(name, lambda o: f(version_store(o)), sql)
 _VKIND = "CASE WHEN id % 7 = 0 OR id % 5 = 0 OR id % 11 = 0 THEN 'invalid' ELSE 'version' END"
-over_store("version_inventory", lambda s: recovery.version_inventory(s).select("kind", "key", "path", "state", "error"), f" SELECT {_VKIND} AS kind, '.mineral/versions/w' || id || '/manifest.toml' AS key, CASE WHEN {_VKIND} = 'version' THEN key ELSE 'w' || id END AS path, CASE WHEN {_VKIND} = 'invalid' THEN 'invalid' WHEN id % 3 = 0 THEN 'delete-pending' ELSE 'backup' END AS state, CASE WHEN id % 7 = 0 THEN 'malformed manifest' WHEN {_VKIND} = 'invalid' THEN 'content and manifest differ' END AS error FROM notes WHERE id % 8 = 0")
-_STONE = ", s AS (SELECT *, CASE WHEN id % 5 = 0 THEN '.mineral-sync/tombstones/' ELSE '.mineral/tombstones/' END || rtrim(replace(replace(to_base64(unhex(sha256(key || chr(0) || CASE WHEN id % 24 = 0 THEN etag ELSE 'earlier' END))), '+', '-'), '/', '_'), '=') || '.json' AS name, id % 36 <> 0 AS ok, id % 24 = 0 AND id % 8 = 0 AND NOT (id % 7 = 0 OR id % 5 = 0 OR id % 11 = 0) AS kept FROM notes WHERE id % 12 = 0) "
-over_store("tombstone_inventory", lambda s: recovery.tombstone_inventory(s).select("kind", "key", "path", "recoverable", "state"), _STONE + "SELECT CASE WHEN ok THEN 'tombstone' ELSE 'invalid' END AS kind, name AS key, CASE WHEN ok THEN key ELSE name END AS path, ok AND NOT kept AND id % 24 = 0 AS recoverable, CASE WHEN NOT ok THEN 'invalid' WHEN id % 5 = 0 THEN 'legacy-read-only' ELSE 'tombstone' END AS state FROM s")
-over_store("recovery_list", recovery.recovery_list)
+_MANIFEST = """concat('version_id = "w', id, '"', chr(10), 'path = "', key, '"', chr(10), 'created_at = "2026-01-02T03:04:05.000Z"', chr(10), 'deleted_etag = "', etag, '"', chr(10), 'content_etag = "', CASE WHEN id % 5 = 0 THEN 'wrong' ELSE etag END, '"', chr(10), 'content_type = "text/markdown"', chr(10), 'size = ', size, chr(10), 'original_modified = "2026-01-01T00:00:00.000Z"', chr(10),
+  'reason = "', CASE WHEN id % 3 = 0 THEN 'delete' ELSE 'backup' END, '"', chr(10), 'state = "', CASE WHEN id % 3 = 0 THEN 'delete-pending' ELSE 'backup' END, '"', chr(10), 'original_metadata_json = "{}"', chr(10), 'original_http_metadata_json = "{}"', chr(10), 'anomaly = ""', chr(10), CASE WHEN id % 7 = 0 THEN 'size = x' || chr(10) ELSE '' END)"""
+_VERSIONS = f""", mf AS (SELECT *, {_MANIFEST} AS manifest FROM notes WHERE id % 8 = 0), vi AS (SELECT {_VKIND} AS kind, '.mineral/versions/w' || id || '/manifest.toml' AS key, md5(manifest) AS etag, CASE WHEN {_VKIND} = 'version' THEN key ELSE 'w' || id END AS path,
+  CASE WHEN {_VKIND} = 'version' THEN '2026-01-02T03:04:05.000Z' ELSE strftime(make_timestamp(modified_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' END AS created_at, CASE WHEN {_VKIND} = 'version' THEN size ELSE CAST(bit_length(manifest) / 8 AS BIGINT) + CASE WHEN id % 11 <> 0 THEN size ELSE 0 END END AS size,
+  CASE WHEN {_VKIND} <> 'version' THEN 'migration' WHEN id % 3 = 0 THEN 'delete' ELSE 'backup' END AS reason, CASE WHEN {_VKIND} = 'invalid' THEN 'invalid' WHEN id % 3 = 0 THEN 'delete-pending' ELSE 'backup' END AS state, CASE WHEN {_VKIND} = 'version' THEN etag END AS deleted_etag,
+  CASE WHEN id % 7 = 0 THEN 'malformed manifest' WHEN {_VKIND} = 'invalid' THEN 'content and manifest differ' END AS error FROM mf) """
+over_store("version_inventory", recovery.version_inventory, _VERSIONS + "SELECT * FROM vi")
+_STONE = ", s AS (SELECT *, CASE WHEN id % 5 = 0 THEN '.mineral-sync/tombstones/' ELSE '.mineral/tombstones/' END || rtrim(replace(replace(to_base64(unhex(sha256(key || chr(0) || gone))), '+', '-'), '/', '_'), '=') || '.json' AS name, '{\"protocol\":' || CASE WHEN id % 36 = 0 THEN 2 ELSE 1 END || ',\"path\":\"' || key || '\",\"deletedRemoteETag\":\"' || gone || '\",\"createdAt\":\"2026-02-03T04:05:06.000Z\"}' AS record, id % 36 <> 0 AS ok, id % 24 = 0 AND id % 8 = 0 AND NOT (id % 7 = 0 OR id % 5 = 0 OR id % 11 = 0) AS kept FROM (SELECT *, CASE WHEN id % 24 = 0 THEN etag ELSE 'earlier' END AS gone FROM notes WHERE id % 12 = 0) AS g) "
+_STONES = _STONE + ", ti AS (SELECT CASE WHEN ok THEN 'tombstone' ELSE 'invalid' END AS kind, name AS key, md5(record) AS etag, CASE WHEN ok THEN key ELSE name END AS path, CASE WHEN ok THEN '2026-02-03T04:05:06.000Z' END AS created_at, CASE WHEN NOT ok THEN CAST(bit_length(record) / 8 AS BIGINT) WHEN id % 24 = 0 THEN size ELSE -1 END AS size, ok AND NOT kept AND id % 24 = 0 AS recoverable, CASE WHEN NOT ok THEN 'invalid' WHEN id % 5 = 0 THEN 'legacy-read-only' ELSE 'tombstone' END AS state FROM s) "
+over_store("tombstone_inventory", recovery.tombstone_inventory, _STONES + "SELECT * FROM ti")
+over_store("recovery_list", recovery.recovery_list, _VERSIONS + _STONES + "SELECT kind, key, etag, path, created_at, size, state FROM vi UNION ALL SELECT kind, key, etag, path, created_at, size, state FROM ti")
 over_store("read_tombstones", lambda s: recovery.read_tombstones(s).select("key", "valid"), _STONE + "SELECT name AS key, ok AS valid FROM s")
 over_store("read_manifests", lambda s: recovery.read_manifests(s).select("key", F.col("m").isNotNull().alias("valid")), " SELECT '.mineral/versions/w' || id || '/manifest.toml' AS key, id % 7 <> 0 AS valid FROM notes WHERE id % 8 = 0")
 over_store("logically_deleted", lambda s: recovery.logically_deleted(s).select("key"), " SELECT key FROM notes WHERE id % 24 = 0 AND id % 36 <> 0")

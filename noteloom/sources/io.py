@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.functions import keys
-from noteloom.operators.index import Index
+from noteloom.operators import search
+from noteloom.operators.index import Index, index_of, parse_documents
 from noteloom.operators.journal import EVENT
 
-TABLES = ["headings", "front", "tags", "links"]
+TABLES = ["headings", "front", "tags", "links", "postings"]
 
 
 def read_objects(spark: SparkSession, path: str) -> DataFrame:
@@ -38,15 +39,30 @@ def journal_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -
 
 
 def write_index(index: Index, path: str, revision: str) -> None:
-    """Children first, documents last: a revision exists once its documents do, and readers go through them."""
+    """Children first, documents last: a revision exists once its documents do, and readers go through them. Postings lie in order of their tokens, so that a token reads few of their row groups."""
     for name in TABLES:
-        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}/revision={revision}")
+        rows = getattr(index, name)
+        if rows is None and name == "postings":
+            rows = search.build_postings(index)
+        if name == "postings":
+            rows = rows.repartitionByRange("token", "document_id").sortWithinPartitions("token", "document_id")
+        rows.write.mode("overwrite").parquet(f"{path}/{name}/revision={revision}")
     index.documents.write.mode("overwrite").parquet(f"{path}/documents/revision={revision}")
 
 
-def read_index(spark: SparkSession, path: str, revision: str) -> Index:
-    """A published revision; children of documents that aren't there are never seen."""
+def publish(objects: DataFrame, path: str, revision: str, indexed_at: int | None = None) -> Index:
+    """Parse the objects once, store every index table, and return the stored index."""
+    spark, parsed = objects.sparkSession, f"{path}/parsed/revision={revision}"
+    parse_documents(objects).drop("text").write.mode("overwrite").parquet(parsed)
+    write_index(index_of(spark.read.parquet(parsed), indexed_at), path, revision)
+    return read_index(spark, path, revision)
+
+
+def read_index(spark: SparkSession, path: str, revision: str, complete: bool = True) -> Index:
+    """A published revision. complete: it was written to its end, so children need no look at whether their documents are there; else those of missing documents are left out."""
     documents = spark.read.parquet(f"{path}/documents/revision={revision}")
-    ids = documents.select(F.col("id").alias("document_id"))
-    rest = {n: spark.read.parquet(f"{path}/{n}/revision={revision}").join(ids, "document_id", "left_semi") for n in TABLES}
+    rest = {n: spark.read.parquet(f"{path}/{n}/revision={revision}") for n in TABLES}
+    if not complete:
+        ids = documents.select(F.col("id").alias("document_id"))
+        rest = {n: t.join(ids, "document_id", "left_semi") for n, t in rest.items()}
     return Index(documents, **rest)

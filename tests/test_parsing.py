@@ -1,5 +1,9 @@
 """Keys, paths and note parsing on the small cases that fix their rules."""
 
+import re
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,13 +72,35 @@ def test_derived_rows(spark):
     assert x.documents.where("key = 'b.md'").first().body == "body"
 
 
-def test_chunks():
-    assert vectors.cut_chunks("T", "intro\n\n# A\ntext a\n\n# B\n```\n# no\n```\n") == [("T", "intro"), ("A", "text a"), ("B", "```\n# no\n```")]
-    assert vectors.cut_chunks("T", "  \n") == [("T", "T")]
-    long = vectors.cut_chunks("T", "x" * 4000)
-    assert len(long) > 1 and all(len(t) <= 1500 for _, t in long)
-    many = vectors.cut_chunks("T", "\n\n".join(f"p{k} " + "y" * 300 for k in range(9)))
-    assert len(many) > 2 and all(b[1].startswith(a[1][-150:].strip()[:20]) or a[1][-150:] in b[1] for a, b in zip(many, many[1:], strict=False))
+def chunked(spark, texts):
+    rows = vectors.chunk_documents(index.parse_documents(objects(spark, texts))).collect()
+    ids = {r.id: r.key for r in objects(spark, texts).collect()}
+    out = {k: [] for k in texts}
+    for r in sorted(rows, key=lambda r: (r.document_id, r.ordinal)):
+        assert r.ordinal == len(out[ids[r.document_id]])
+        out[ids[r.document_id]].append((r.heading, r.text))
+    return out
+
+
+def test_chunks(spark):
+    pages = {"T.md": "intro\n\n## A\ntext a\n\n## B\n```\n# no\n```\n", "E.md": "  \n", "L.md": "x" * 4000, "P.md": "\n\n".join(f"p{k} " + "y" * 300 for k in range(9)), "H.md": "# Only\n"}
+    got = chunked(spark, pages)
+    assert got["T.md"] == [("T", "intro"), ("A", "text a"), ("B", "```\n# no\n```")]
+    assert got["E.md"] == [("E", "E")] and got["H.md"] == [("Only", "Only")]
+    assert len(got["L.md"]) > 1 and all(len(t) <= 1500 for _, t in got["L.md"])
+    assert len(got["P.md"]) > 2 and all(a[1][-150:] in b[1] for a, b in zip(got["P.md"], got["P.md"][1:], strict=False))
+
+
+def test_chunks_cover_the_text(spark):
+    """Whatever is in a section's paragraphs is in its chunks, in order, but for what an overlap pushes over the most a chunk may hold."""
+    import random
+
+    rng = random.Random(3)
+    pages = {f"n{k}.md": "\n\n".join(" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 120))) for _ in range(rng.randrange(1, 12))) for k in range(20)}
+    for key, got in chunked(spark, pages).items():
+        assert all(len(t) <= 1500 for _, t in got)
+        words = [w for _, t in got for w in t.split()]
+        assert set(pages[key].split()) <= set(words)
 
 
 def test_digests(spark):
@@ -86,6 +112,13 @@ def test_digests(spark):
 def test_hash_embedding():
     a, b, c = (vectors.hash_embedding(x) for x in ("alpha beta gamma", "alpha beta delta", "zeta eta theta"))
     assert a @ b > a @ c and vectors.hash_embedding("").any() and vectors.hash_embedding("心率").any()
+    texts = ["Alpha alpha_1 beta", "", "心率 x", "alpha", "!!!"]
+    for x, got in zip(texts, vectors.hash_embed(texts, 64), strict=True):  # the same, one token at a time; in company or alone
+        want = [0.0] * 64
+        for t in re.findall(r"[a-z0-9_]+|[㐀-鿿]", x.lower()) or [x]:
+            h = int(pd.util.hash_array(np.array([t], dtype=object), categorize=False)[0])
+            want[h % 64] += -1.0 if h >> 63 else 1.0
+        assert got.tolist() == want and vectors.hash_embedding(x, 64).tolist() == want
 
 
 def test_embed_checks_the_model(spark):
