@@ -39,11 +39,14 @@ def audit_diff(objects: DataFrame, documents: DataFrame, started_at: int, includ
     return rows.where("action is not null").withColumn("source", F.lit(SYSTEM_SOURCE)).withColumn("not_before", F.lit(started_at).cast("long"))
 
 
-def audit_report(objects: DataFrame, documents: DataFrame, started_at: int, page: int = 200) -> DataFrame:
-    """One row: pages and notes scanned, upserts and removals enqueued."""
+def audit_report(objects: DataFrame, documents: DataFrame, started_at: int, page: int = 200, worked: DataFrame | None = None) -> DataFrame:
+    """One row: pages and notes scanned, upserts and removals enqueued, and of these those applied and those left. worked: (path) of the intents worked since the audit began."""
     scanned = objects.agg(F.ceil(F.count("*") / page).alias("pages"), F.count_if(keys.is_indexable(F.col("key"))).alias("scanned"))
-    queued = audit_diff(objects, documents, started_at).agg(F.count_if(F.col("action") == "upsert").alias("enqueued"), F.count_if(F.col("action") == "remove").alias("removed"))
-    return scanned.join(queued)
+    queued, done = audit_diff(objects, documents, started_at), F.lit(False)
+    if worked is not None:
+        queued, done = queued.join(worked.select("path", F.lit(True).alias("__done")).distinct(), "path", "left"), F.coalesce("__done", F.lit(False))
+    counts = [F.count_if(F.col("action") == "upsert").alias("enqueued"), F.count_if(F.col("action") == "remove").alias("removed"), F.count_if(done).alias("applied"), F.count_if(~done).alias("pending")]
+    return scanned.join(queued.agg(*counts))
 
 
 def apply_index_intents(intents: DataFrame, objects: DataFrame, documents: DataFrame, version: int = INDEX_VERSION) -> DataFrame:

@@ -97,11 +97,12 @@ def coalesce_intents(intents: DataFrame) -> DataFrame:
 
 
 def merge_dirty(dirty: DataFrame, newer: DataFrame) -> DataFrame:
-    """The dirty set with one more batch of coalesced intents folded in, whatever order batches come in."""
-    both = dirty.unionByName(newer)
-    pick = F.max_by(F.struct("action", "target_etag", "source", "updated_at"), "seq").alias("n")
+    """The dirty set with one more batch of coalesced intents folded in, whatever order batches come in. A newer intent starts with no attempts; the others keep theirs."""
+    both = dirty.unionByName(newer, allowMissingColumns=True)
+    told = "last_error" if "last_error" in both.columns else F.lit(None).cast("string").alias("last_error")
+    pick = F.max_by(F.struct("action", "target_etag", "source", "updated_at", "attempts", told), "seq").alias("n")
     out = both.groupBy("path").agg(pick, F.max("not_before").alias("not_before"), F.min("first_dirty_at").alias("first_dirty_at"), F.max("seq").alias("seq"))
-    return out.select("path", "n.action", "n.target_etag", "n.source", "not_before", "first_dirty_at", "n.updated_at", "seq", F.lit(0).alias("attempts"))
+    return out.select("path", "n.action", "n.target_etag", "n.source", "not_before", "first_dirty_at", "n.updated_at", "seq", "n.attempts", "n.last_error")
 
 
 def pending_summary(dirty: DataFrame, now: int) -> DataFrame:
@@ -111,8 +112,10 @@ def pending_summary(dirty: DataFrame, now: int) -> DataFrame:
     )
 
 
-def due_paths(dirty: DataFrame, now: int, limit: int = 16) -> DataFrame:
-    return dirty.where(F.col("not_before") <= now).orderBy("updated_at", "path").limit(limit)
+def due_paths(dirty: DataFrame, now: int, limit: int | None = 16) -> DataFrame:
+    """The paths whose wait is over, the longest unchanged first; without a limit all of them, in no order."""
+    due = dirty.where(F.col("not_before") <= now)
+    return due if limit is None else due.orderBy("updated_at", "path").limit(limit)
 
 
 def settle_intents(dirty: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -128,7 +131,7 @@ def settle_intents(dirty: DataFrame, outcomes: DataFrame) -> DataFrame:
     kept = joined.where(~(same & F.col("ok")))
     return kept.select(
         "path", "action", "target_etag", "source", F.when(failed, F.greatest("not_before", "retry_at")).otherwise(F.col("not_before")).alias("not_before"),
-        "first_dirty_at", "updated_at", "seq", (F.col("attempts") + failed.cast("int")).alias("attempts"), F.when(failed, F.substring("error", 1, 200)).alias("last_error"),
+        "first_dirty_at", "updated_at", "seq", (F.col("attempts") + failed.cast("int")).alias("attempts"), F.when(failed, F.substring("error", 1, 200)).otherwise(F.col("last_error") if "last_error" in dirty.columns else F.lit(None)).alias("last_error"),
     )
 
 
@@ -174,15 +177,20 @@ def mark_broadcasts(outbox: DataFrame, results: DataFrame) -> DataFrame:
     return joined.withColumn("generation", F.when(sent, F.coalesce("generation", "__g")).otherwise(F.col("generation"))).withColumn("attempts", F.col("attempts") + tried.cast("int")).withColumn("broadcast", F.when(sent, "published").otherwise(F.col("broadcast"))).drop("__m", "__g")
 
 
-def assign_generations(marks: DataFrame) -> DataFrame:
-    """marks: (channel, mutation_id or null, arrival, unique in its channel). Adds generation, from 1 in each channel: a repeated id gets its first one again.
+def assign_generations(marks: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """marks: (channel, mutation_id or null, arrival, unique in its channel). Adds generation: a repeated id gets its first one again.
 
-    The hub of one channel forgets all but its newest 4096 ids; a batch here remembers all of its own.
+    earlier: (channel, mutation_id or null, generation) of marks before these; numbers go on from each channel's highest, else from 1.
+    The hub of one channel forgets all but its newest 4096 ids; here it remembers what earlier holds, and all of its own.
     """
-    ident = F.coalesce(F.concat(F.lit("i"), F.col("mutation_id")), F.concat(F.lit("a"), F.col("arrival").cast("string")))
-    rows = marks.withColumn("__id", ident)
+    rows = marks.withColumn("__id", F.coalesce(F.concat(F.lit("i"), F.col("mutation_id")), F.concat(F.lit("a"), F.col("arrival").cast("string"))))
     first = rows.groupBy("channel", "__id").agg(F.min("arrival").alias("__first"))
-    given = numbered(first, "__first", "generation", ["channel"]).drop("__first")
+    if earlier is None:
+        return rows.join(numbered(first, "__first", "generation", ["channel"]).drop("__first"), ["channel", "__id"]).drop("__id")
+    last = earlier.groupBy("channel").agg(F.max("generation").alias("__last"))
+    known = earlier.where("mutation_id is not null").groupBy("channel", F.concat(F.lit("i"), F.col("mutation_id")).alias("__id")).agg(F.min("generation").alias("generation"))
+    fresh = numbered(first.join(known, ["channel", "__id"], "left_anti"), "__first", "__n", ["channel"]).join(last, "channel", "left")
+    given = fresh.select("channel", "__id", (F.col("__n") + F.coalesce("__last", F.lit(0))).alias("generation")).unionByName(known)
     return rows.join(given, ["channel", "__id"]).drop("__id")
 
 

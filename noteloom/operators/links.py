@@ -26,7 +26,7 @@ def _names(key: Column) -> Column:
 def backlinks(index: Index, key: str | None = None, limit: int | None = None) -> DataFrame:
     """Notes that link to a key, by full key, key without extension, or basename without it; of all keys if none is given.
 
-    The bulk form joins links and names on equality; a target's names are at most three rows.
+    The bulk form is the expanded join, N * M rows for a name that N notes share and M link by; backlink_classes() holds the same in N + M.
     """
     targets = index.documents if key is None else index.documents.where(F.col("key") == key)
     names = targets.select(F.col("key").alias("target"), F.explode(_names(F.col("key"))).alias("to_key"))
@@ -35,6 +35,18 @@ def backlinks(index: Index, key: str | None = None, limit: int | None = None) ->
     return out if limit is None else out.orderBy(F.desc("modified_ms"), "key", "via").limit(limit)
 
 
+def backlink_classes(index: Index) -> tuple[DataFrame, DataFrame]:
+    """Backlinks of all keys, unexpanded: (via, target) for each name that is linked, and (via, key, modified_ms) for each note that links by it.
+
+    N notes that share a basename and M links to it are N + M rows here, N * M in backlinks(); the join on via gives those.
+    """
+    linked = index.links.select(F.col("to_key").alias("via")).distinct()
+    names = index.documents.select(F.col("key").alias("target"), F.explode(_names(F.col("key"))).alias("via"))
+    sources = index.documents.select(F.col("id").alias("document_id"), "key", "modified_ms")
+    by = index.links.join(names.select(F.col("via").alias("to_key")).distinct(), "to_key", "left_semi").join(sources, "document_id")
+    return names.join(linked, "via", "left_semi").select("via", "target"), by.select(F.col("to_key").alias("via"), "key", "modified_ms")
+
+
 def link_aliases(index: Index, prefix: str = "") -> DataFrame:
     """alias -> key, one row an alias: the last key in order wins, so the join on it can't multiply rows."""
     docs = index.documents.where(keys.has_prefix(F.col("key"), prefix))

@@ -54,9 +54,22 @@ over_journal("deletion_page", lambda j: J.deletion_index(j, 8000, "p0/n2", 5), _
 _outbox = lambda j: j.select("seq", "mutation_id", "path", F.when(F.col("seq") % 4 == 0, "published").otherwise("pending").alias("broadcast"), F.when(F.col("seq") % 4 == 0, F.col("seq") * 10).alias("generation"), F.lit(1).alias("attempts"))
 _OUT = ", o AS (SELECT seq, mutation_id, path, CASE WHEN seq % 4 = 0 THEN 'published' ELSE 'pending' END AS broadcast, CASE WHEN seq % 4 = 0 THEN seq * 10 END AS generation, 1 AS attempts FROM journal)"
 over_journal("pending_broadcasts", lambda j: J.pending_broadcasts(_outbox(j)), _OUT + " SELECT * FROM o WHERE broadcast = 'pending' ORDER BY seq LIMIT 8")
-over_journal("mark_broadcasts", lambda j: J.mark_broadcasts(_outbox(j).where("seq % 20 <> 0"), j.where("seq % 20 <> 0 and seq % 3 = 0").select("mutation_id", F.when(F.col("seq") % 2 == 0, F.col("seq") + 7).alias("generation"))), _OUT + " SELECT seq, mutation_id, path, CASE WHEN seq % 3 = 0 AND seq % 2 = 0 THEN 'published' ELSE broadcast END AS broadcast, CASE WHEN seq % 3 = 0 AND seq % 2 = 0 AND broadcast = 'pending' THEN seq + 7 ELSE generation END AS generation, attempts + CASE WHEN seq % 3 = 0 AND broadcast = 'pending' THEN 1 ELSE 0 END AS attempts FROM o WHERE seq % 20 <> 0")
+over_journal("mark_broadcasts", lambda j: J.mark_broadcasts(_outbox(j), j.where("seq % 3 = 0").select("mutation_id", F.when(F.col("seq") % 2 == 0, F.col("seq") + 7).alias("generation"))), _OUT + ", r AS (SELECT mutation_id, min(CASE WHEN seq % 2 = 0 THEN seq + 7 END) AS g FROM journal WHERE seq % 3 = 0 GROUP BY 1), t AS (SELECT o.*, r.mutation_id IS NOT NULL AND broadcast = 'pending' AS tried, g FROM o LEFT JOIN r USING (mutation_id)) SELECT seq, mutation_id, path, CASE WHEN tried AND g IS NOT NULL THEN 'published' ELSE broadcast END AS broadcast, CASE WHEN tried AND g IS NOT NULL THEN coalesce(generation, g) ELSE generation END AS generation, attempts + CASE WHEN tried THEN 1 ELSE 0 END AS attempts FROM t")
 _GEN = ", m AS (SELECT path AS channel, CASE WHEN seq % 13 > 0 THEN mutation_id END AS mutation_id, seq AS arrival FROM journal), k AS (SELECT *, min(arrival) OVER (PARTITION BY channel, coalesce(mutation_id, 'a' || arrival)) AS f FROM m)"
 over_journal("assign_generations", lambda j: J.assign_generations(j.select(F.col("path").alias("channel"), F.when(F.col("seq") % 13 > 0, F.col("mutation_id")).alias("mutation_id"), F.col("seq").alias("arrival"))), _GEN + " SELECT channel, mutation_id, arrival, CAST(dense_rank() OVER (PARTITION BY channel ORDER BY f) AS BIGINT) AS generation FROM k")
+_marks = lambda j: j.select(F.col("path").alias("channel"), F.when(F.col("seq") % 13 > 0, F.col("mutation_id")).alias("mutation_id"), F.col("seq").alias("arrival"))
+
+
+def _generations_later(j: DataFrame) -> DataFrame:
+    """The second half of the marks, after the first half was given its generations."""
+    half = j.agg((F.max("seq") / 2).cast("long").alias("half"))  # one row
+    marks = _marks(j).join(F.broadcast(half))
+    before = J.assign_generations(marks.where("arrival <= half").drop("half"))
+    return J.assign_generations(marks.where("arrival > half").drop("half"), before)
+
+
+over_journal("assign_generations_later", _generations_later, _GEN + " SELECT channel, mutation_id, arrival, generation FROM (SELECT *, CAST(dense_rank() OVER (PARTITION BY channel ORDER BY f) AS BIGINT) AS generation FROM k) AS g WHERE arrival > (SELECT max(seq) // 2 FROM journal)")
+over_journal("valid_report", lambda j: (e := _SPOILED(j)).select("seq", keys.valid_report({c: F.col(c) for c in e.columns}).alias("valid")), " SELECT seq, seq % 31 <> 0 AND seq % 23 <> 0 AND (op <> 'put' OR seq % 19 <> 0) AND op IN ('put', 'delete') AS valid FROM journal")
 over_journal("gateway_changes", J.gateway_changes, " SELECT seq, mutation_id, CASE WHEN op = 'delete' THEN 'delete' ELSE 'put' END AS change, path, CASE WHEN op <> 'delete' THEN etag END AS etag FROM journal")
 _digits = lambda c: F.when(F.col("seq") % 17 == 0, "01").when(F.col("seq") % 19 == 0, "x").otherwise(F.concat(F.lit("9007199254740993"), (F.col("seq") * c % 1000 + 1000).cast("string")))
 _GENS = "CASE WHEN seq % 17 = 0 THEN NULL WHEN seq % 19 = 0 THEN NULL ELSE CAST('9007199254740993' || (seq * {} % 1000 + 1000) AS HUGEINT) END"
@@ -64,12 +77,17 @@ over_journal("fold_cursor", lambda j: J.fold_cursor(j.select(F.col("path").alias
 over_journal("drop_remote_apply", lambda j: J.drop_remote_apply(j.withColumn("origin", F.when(F.col("seq") % 5 == 0, "remote-apply"))).where(keys.ingress_allowed(F.col("source"))).select("seq", "source"), " SELECT seq, source FROM journal WHERE seq % 5 <> 0 AND source IN ('obsidian', 'web')")
 
 
-@query("verify_reports", ", j AS (SELECT * FROM (" + JBASE[len("WITH journal AS (SELECT * FROM (") :].rsplit(") AS j)", 1)[0] + ") AS j0), r AS (SELECT j.seq, j.mutation_id, j.op, j.path, CASE WHEN j.seq % 3 = 0 THEN o.etag ELSE j.etag END AS etag, o.etag AS now FROM j LEFT JOIN objects o ON o.key = j.path WHERE j.op <> 'rename' AND j.seq % 20 <> 0) SELECT seq, CASE WHEN seq <= 2000 THEN 'duplicate' WHEN op = 'delete' THEN CASE WHEN now IS NULL THEN 'accepted' ELSE 'state-mismatch' END WHEN etag = now THEN 'accepted' ELSE 'state-mismatch' END AS verdict FROM r")
+@query(
+    "verify_reports",
+    ", j AS (SELECT * FROM (" + JBASE[len("WITH journal AS (SELECT * FROM (") :].rsplit(") AS j)", 1)[0] + """) AS j0), r AS (SELECT j.seq, j.mutation_id, j.op, CASE WHEN j.seq % 3 = 0 THEN o.etag ELSE j.etag END AS etag, o.etag AS now FROM j LEFT JOIN objects o ON o.key = j.path WHERE j.op <> 'rename'),
+h AS (SELECT *, CASE WHEN op = 'delete' THEN now IS NULL ELSE coalesce(etag = now, FALSE) END AS holds FROM r), f AS (SELECT *, min(CASE WHEN holds THEN seq END) OVER (PARTITION BY mutation_id) AS first_ FROM h)
+SELECT seq, CASE WHEN mutation_id IN (SELECT mutation_id FROM j WHERE seq <= 2000) OR coalesce(seq > first_, FALSE) THEN 'duplicate' WHEN holds THEN 'accepted' ELSE 'state-mismatch' END AS verdict FROM f""",
+)
 def _verify(spark: SparkSession, sf: str) -> DataFrame:
     o, j = vault(spark, sf), journal(spark, sf)
     now = o.select(F.col("key").alias("path"), F.concat(F.lit('"'), "etag", F.lit('"')).alias("quoted"))
-    reports = j.where("op <> 'rename' and seq % 20 <> 0").join(now, "path", "left").withColumn("etag", F.when(F.col("seq") % 3 == 0, F.col("quoted")).otherwise(F.col("etag"))).drop("quoted")
-    return J.verify_reports(reports, o, j.where("seq <= 2000 and seq % 20 <> 0")).select("seq", "verdict")
+    reports = j.where("op <> 'rename'").join(now, "path", "left").withColumn("etag", F.when(F.col("seq") % 3 == 0, F.col("quoted")).otherwise(F.col("etag"))).drop("quoted")
+    return J.verify_reports(reports, o, j.where("seq <= 2000")).select("seq", "verdict")
 
 
 # Audit: an index that has drifted from the listing
@@ -89,7 +107,7 @@ b AS (SELECT coalesce(n.key, d.key) AS key, n.key IS NOT NULL AS listed, d.key I
 u AS (SELECT key AS path, CASE WHEN listed AND (NOT indexed OR etag <> indexed_etag) THEN 'upsert' WHEN NOT listed AND indexed_at < {STARTED} THEN 'remove' END AS action, etag FROM b)"""
 over_objects("freshness_report", lambda o: audit.freshness_report(o, drifted(o)), _DRIFT + " SELECT key, CASE WHEN NOT indexed THEN 'missing' WHEN NOT listed THEN 'absent' WHEN etag <> indexed_etag THEN 'stale' WHEN index_version <> 1 THEN 'outdated' ELSE 'fresh' END AS state FROM b")
 over_objects("audit_diff", lambda o: audit.audit_diff(o, drifted(o), STARTED), _DRIFT + f" SELECT path, action, CASE WHEN action = 'upsert' THEN etag END AS target_etag, 'system' AS source, {STARTED} AS not_before FROM u WHERE action IS NOT NULL")
-over_objects("audit_report", lambda o: audit.audit_report(o, drifted(o), STARTED), _DRIFT + " SELECT CAST(ceil((SELECT count(*) FROM objects) / 200.0) AS BIGINT) AS pages, (SELECT count(*) FROM notes) AS scanned, count(*) FILTER (action = 'upsert') AS enqueued, count(*) FILTER (action = 'remove') AS removed FROM u")
+over_objects("audit_report", lambda o: audit.audit_report(o, drifted(o), STARTED, worked=o.where("id % 3 = 0").select(F.col("key").alias("path"))), _DRIFT + " SELECT CAST(ceil((SELECT count(*) FROM objects) / 200.0) AS BIGINT) AS pages, (SELECT count(*) FROM notes) AS scanned, count(*) FILTER (action = 'upsert') AS enqueued, count(*) FILTER (action = 'remove') AS removed, count(*) FILTER (action IS NOT NULL AND path IN (SELECT key FROM objects WHERE id % 3 = 0)) AS applied, count(*) FILTER (action IS NOT NULL AND path NOT IN (SELECT key FROM objects WHERE id % 3 = 0)) AS pending FROM u")
 
 
 @query("apply_index_intents", _DRIFT + ", j AS (" + JBASE[len("WITH journal AS (SELECT * FROM (") :].rsplit(") AS j)", 1)[0] + "), i AS (SELECT path, max(CASE WHEN op = 'delete' THEN 'remove' ELSE 'upsert' END) AS action FROM j GROUP BY 1) SELECT i.path, i.action, CASE WHEN n.key IS NULL AND d.key IS NULL THEN 'noop' WHEN n.key IS NULL THEN 'removed' WHEN n.etag = d.indexed_etag AND d.index_version = 1 THEN 'noop' ELSE 'indexed' END AS outcome FROM i LEFT JOIN notes n ON n.key = i.path LEFT JOIN d ON d.key = i.path")
@@ -179,10 +197,10 @@ def _similarity(spark: SparkSession, sf: str) -> DataFrame:
     return x.join(y, F.col("b") == F.col("a") + 1).select("a", "b", s("cosine", 5), s("dot", 4), s("euclidean", 4))
 
 
-@query("top_k", "SELECT q AS query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM (SELECT q.vec_id AS q, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id < 5) AS t WHERE rank <= 10", "")
+@query("top_k", "SELECT q AS query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM (SELECT q.vec_id AS q, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0) AS t WHERE rank <= 10", "")
 def _top_k(spark: SparkSession, sf: str) -> DataFrame:
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    asked = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding")
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return vectors.top_k(e, asked, 10, "vec_id").select("query_id", "vec_id", "rank")
 
 
@@ -250,26 +268,55 @@ def _finished(q) -> None:
 _ONCE = JBASE.replace("WITH journal AS (SELECT * FROM (", "WITH journal AS (SELECT * FROM (").rsplit(") AS j)", 1)[0] + ") AS j QUALIFY row_number() OVER (PARTITION BY mutation_id ORDER BY seq) = 1)"
 
 
+def _kept_dirty(spark: SparkSession, sf: str) -> streams.Table:
+    at, stream = _streamed(spark, sf)
+    dirty, seen = streams.dirty_table(spark, f"{at}/dirty"), streams.seen_table(spark, f"{at}/seen")
+    _finished(streams.stream_dirty_set(stream, dirty, seen, f"{at}/checkpoint"))
+    return dirty
+
+
 @query("stream_dirty_set", _DIRTY + " SELECT path, action, target_etag, source, not_before, updated_at, seq FROM dirty", _ONCE)
 def _stream_dirty(spark: SparkSession, sf: str) -> DataFrame:
+    return _kept_dirty(spark, sf).read().select("path", "action", "target_etag", "source", "not_before", "updated_at", "seq")
+
+
+@query("stream_debounce", _DIRTY + f" SELECT path, action, not_before <= {NOW} AS emitted FROM dirty", _ONCE)
+def _stream_debounce(spark: SparkSession, sf: str) -> DataFrame:
+    dirty = _kept_dirty(spark, sf)
+    first = streams.debounced(dirty, NOW, None).select("path", "action", F.lit(True).alias("emitted"))
+    later = streams.debounced(dirty, 1 << 60, None).join(first.select("path"), "path", "left_anti").select("path", "action", F.lit(False))
+    return first.union(later)
+
+
+@query("stream_index", _DIRTY + f" SELECT path, action, target_etag, seq, CASE WHEN not_before <= {NOW} THEN {NOW + 1} ELSE not_before END AS not_before FROM dirty WHERE not_before > {NOW} OR contains(path, '9.')", _ONCE)
+def _stream_index(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of the dirty set when all that was due was worked; paths with a 9 before the dot fail."""
     at, stream = _streamed(spark, sf)
-    dirty, seen = streams.Table(spark, f"{at}/dirty", streams.DIRTY), streams.Table(spark, f"{at}/seen", streams.SEEN)
-    _finished(streams.stream_dirty_set(stream, dirty, seen, f"{at}/checkpoint"))
-    return dirty.read().select("path", "action", "target_etag", "source", "not_before", "updated_at", "seq")
+    o = stored(vault(spark, sf).select("key", "etag"), "listing")
+    dirty, seen = streams.dirty_table(spark, f"{at}/dirty"), streams.seen_table(spark, f"{at}/seen")
+
+    def apply(due: DataFrame, n: int) -> DataFrame:
+        done = audit.apply_index_intents(due, o, drifted(vault(spark, sf)))
+        done.write.mode("overwrite").parquet(f"{at}/outcomes/batch={n}")
+        bad = F.col("path").contains("9.")
+        return due.select("path", "action", "target_etag", F.lit(NOW).cast("long").alias("started_at"), (~bad).alias("ok"), F.when(bad, "no answer").alias("error"), F.lit(NOW + 1).cast("long").alias("retry_at"))
+
+    _finished(streams.stream_index(stream, apply, dirty, seen, f"{at}/checkpoint", NOW))
+    return dirty.read().select("path", "action", "target_etag", "seq", "not_before")
 
 
-@query("stream_deletions", _LAST.format(1 << 60) + " SELECT * FROM d", JBASE)
+@query("stream_deletions", _LAST.format(1 << 60) + " SELECT * FROM d", _ONCE)
 def _stream_deletions(spark: SparkSession, sf: str) -> DataFrame:
     at, stream = _streamed(spark, sf)
-    last = streams.Table(spark, f"{at}/last", streams.LAST)
-    _finished(streams.stream_deletions(stream, last, f"{at}/checkpoint"))
+    last, seen = streams.last_table(spark, f"{at}/last"), streams.seen_table(spark, f"{at}/seen")
+    _finished(streams.stream_deletions(stream, last, seen, f"{at}/checkpoint"))
     return streams.current_deletions(last)
 
 
 @query("stream_outbox", " SELECT seq, mutation_id, CASE WHEN op = 'delete' THEN 'delete' ELSE 'put' END AS change, path, CASE WHEN op <> 'delete' THEN etag END AS etag FROM journal", _ONCE)
 def _stream_outbox(spark: SparkSession, sf: str) -> DataFrame:
     at, stream = _streamed(spark, sf)
-    seen = streams.Table(spark, f"{at}/seen", streams.SEEN)
+    seen = streams.seen_table(spark, f"{at}/seen")
     _finished(streams.stream_outbox(stream, lambda df, n: df.write.mode("overwrite").parquet(f"{at}/sent/batch={n}"), seen, f"{at}/checkpoint"))
     return spark.read.schema(streams.OUTBOX).parquet(f"{at}/sent").select("seq", "mutation_id", "change", "path", "etag")
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from noteloom.operators import journal as J
+from noteloom.sources.shared import stored
 
 
 def stream_dedupe(events: DataFrame, keep: str = "1 hour") -> DataFrame:
@@ -18,43 +19,100 @@ def stream_dedupe(events: DataFrame, keep: str = "1 hour") -> DataFrame:
 
 
 class Table:
-    """A Parquet table that batches replace: each batch writes version n + 1 whole, then points to it. A repeated batch changes nothing."""
+    """State in Parquet, in buckets by the hash of a key. A batch writes only the buckets it touches, as version n of them; a repeated batch changes nothing.
+
+    Kept tables hold a bucket's newest version before the batch; append tables hold all versions of it, and are written together every COMPACT batches.
+    """
+
+    COMPACT = 32
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, buckets: int = 32, append: bool = False):
+        self.spark, self.path, self.schema, self.key, self.buckets, self.append = spark, path.rstrip("/"), schema, key, buckets, append
+        self.names = spark.createDataFrame([], schema).columns
+        self.fs = self._at("").getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _listed(self, name: str) -> list[str]:
+        at = self._at(name)
+        return [s.getPath().getName() for s in self.fs.listStatus(at)] if self.fs.exists(at) else []
+
+    def _versions(self, before: int | None = None) -> dict[int, list[int]]:
+        """Finished versions and the buckets each one has written, newest first."""
+        found = sorted((int(n[2:]) for n in self._listed("") if n.startswith("v=")), reverse=True)
+        within = {v: self._listed(f"v={v}") for v in found if before is None or v < before}
+        return {v: [int(n[7:]) for n in names if n.startswith("touched")] for v, names in within.items() if "finished" in names}
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def touched(self, rows: DataFrame) -> list[int]:
+        """The buckets of some rows; at most as many numbers as there are buckets."""
+        return sorted(r[0] for r in rows.select(self.bucket()).distinct().collect())
+
+    def read(self, before: int | None = None, only: list[int] | None = None) -> DataFrame:
+        paths, known = [], set()
+        for v, own in self._versions(before).items():
+            whole = "base" in self._listed(f"v={v}")
+            for k in own:
+                if k not in known and (only is None or k in only):
+                    if self.fs.exists(self._at(f"v={v}/bucket={k}")):
+                        paths.append(f"{self.path}/v={v}/bucket={k}")
+                    known |= set() if self.append else {k}
+            if self.append and whole:
+                break
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def write(self, rows: DataFrame, version: int, only: list[int]) -> None:
+        """rows: all that these buckets hold from now on; of an append table, what is new in them."""
+        base = self.append and version % self.COMPACT == 0
+        if base:
+            rows, only = self.read(before=version).unionByName(rows.select(*self.names)), list(range(self.buckets))
+        rows.select(*self.names, self.bucket().alias("bucket")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v={version}")
+        for name in [*(f"touched{k}" for k in only), *(["base"] if base else []), "finished"]:
+            self.fs.create(self._at(f"v={version}/{name}"), True).close()
+        self._clean(version)
+
+    def _clean(self, version: int) -> None:
+        """Versions go that neither this batch nor a repeat of it can read."""
+        newest: dict[int, int] = {}
+        for v, own in self._versions(version).items():
+            used = [k for k in own if newest.get(k, 0) < 1]
+            for k in own:
+                newest[k] = newest.get(k, 0) + 1
+            if not used and not self.append:
+                self.fs.delete(self._at(f"v={v}"), True)
+        if self.append:
+            bases = [v for v in self._versions(version) if "base" in self._listed(f"v={v}")]
+            for v in self._versions(bases[0]) if bases else []:
+                self.fs.delete(self._at(f"v={v}"), True)
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        self.fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
-    def _versions(self) -> list[int]:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not self.fs.exists(at):
-            return []
-        names = [s.getPath().getName() for s in self.fs.listStatus(at)]
-        done = [n for n in names if self.fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return sorted(int(n[2:]) for n in done if n.startswith("v="))
+SEEN = "mutation_id string"
+DIRTY = "path string, action string, target_etag string, source string, not_before long, first_dirty_at long, updated_at long, seq long, attempts int, last_error string"
+LAST = "path string, op string, etag string, seq long, committed_at long"
+OUTBOX = "seq long, mutation_id string, change string, path string, etag string"
 
-    def read(self, before: int | None = None) -> DataFrame:
-        known = [v for v in self._versions() if before is None or v < before]
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={known[-1]}") if known else self.spark.createDataFrame([], self.schema)
 
-    def write(self, df: DataFrame, version: int) -> None:
-        df.select(self.spark.createDataFrame([], self.schema).columns).write.mode("overwrite").parquet(f"{self.path}/v={version}")
-        for old in self._versions():
-            if old < version - 1:
-                self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={old}"), True)
+def seen_table(spark: SparkSession, path: str) -> Table:
+    return Table(spark, path, SEEN, "mutation_id", append=True)
 
 
-SEEN = "mutation_id string"
-DIRTY = "path string, action string, target_etag string, source string, not_before long, first_dirty_at long, updated_at long, seq long, attempts int"
-LAST = "path string, op string, etag string, seq long, committed_at long"
-OUTBOX = "seq long, mutation_id string, change string, path string, etag string"
+def dirty_table(spark: SparkSession, path: str) -> Table:
+    return Table(spark, path, DIRTY, "path")
+
+
+def last_table(spark: SparkSession, path: str) -> Table:
+    return Table(spark, path, LAST, "path")
 
 
 def _new(batch: DataFrame, seen: Table, n: int) -> DataFrame:
-    """The batch's first fact of each id that no earlier batch had; the ids are remembered."""
-    first = batch.groupBy("mutation_id").agg(F.min_by(F.struct(*[c for c in batch.columns if c != "mutation_id"]), "seq").alias("e")).select("mutation_id", "e.*")
-    known = seen.read(before=n)
-    new = first.join(known, "mutation_id", "left_anti")
-    seen.write(known.union(new.select("mutation_id")), n)
+    """The batch's first fact of each id that no earlier batch had; the new ids are appended to those seen. Only ids of the touched buckets are read."""
+    first = stored(batch.groupBy("mutation_id").agg(F.min_by(F.struct(*[c for c in batch.columns if c != "mutation_id"]), "seq").alias("e")).select("mutation_id", "e.*"), "stream-batch")
+    only = seen.touched(first)
+    new = stored(first.join(seen.read(n, only), "mutation_id", "left_anti"), "stream-new")
+    seen.write(new.select("mutation_id"), n, only)
     return new
 
 
@@ -66,26 +124,28 @@ def stream_dirty_set(stream: DataFrame, dirty: Table, seen: Table, checkpoint: s
     """Keep the dirty set: the newest seq wins a path, not_before only grows, late events may raise it."""
 
     def each(batch: DataFrame, n: int) -> None:
-        new = _new(batch, seen, n)
-        dirty.write(J.merge_dirty(dirty.read(before=n), J.coalesce_intents(J.intents_for(new))), n)
+        owed = J.coalesce_intents(J.intents_for(_new(batch, seen, n)))
+        only = dirty.touched(owed)
+        dirty.write(J.merge_dirty(dirty.read(n, only), owed), n, only)
 
     return _run(stream, checkpoint, each)
 
 
-def debounced(dirty: Table, now: int, limit: int = 16) -> DataFrame:
+def debounced(dirty: Table, now: int, limit: int | None = 16) -> DataFrame:
     """The paths whose wait is over; the next batch, or a call with a later time, emits the rest."""
     return J.due_paths(dirty.read(), now, limit)
 
 
-def stream_deletions(stream: DataFrame, last: Table, checkpoint: str) -> StreamingQuery:
+def stream_deletions(stream: DataFrame, last: Table, seen: Table, checkpoint: str) -> StreamingQuery:
     """Keep the last event of each path; the deletions are its rows that are deletes with an etag."""
 
     def each(batch: DataFrame, n: int) -> None:
         own = F.struct(F.col("path"), F.col("op"), F.col("etag"))
         left = F.struct(F.col("from_path").alias("path"), F.lit("renamed").alias("op"), F.lit(None).cast("string").alias("etag"))
-        rows = batch.select("seq", "committed_at", F.explode(F.when(F.col("op") == "rename", F.array(left, own)).otherwise(F.array(own))).alias("e")).select("e.path", "e.op", "e.etag", "seq", "committed_at")
-        both = last.read(before=n).unionByName(rows)
-        last.write(both.groupBy("path").agg(F.max_by(F.struct("op", "etag", "seq", "committed_at"), "seq").alias("l")).select("path", "l.*"), n)
+        rows = _new(batch, seen, n).select("seq", "committed_at", F.explode(F.when(F.col("op") == "rename", F.array(left, own)).otherwise(F.array(own))).alias("e")).select("e.path", "e.op", "e.etag", "seq", "committed_at")
+        only = last.touched(rows)
+        both = last.read(n, only).unionByName(rows)
+        last.write(both.groupBy("path").agg(F.max_by(F.struct("op", "etag", "seq", "committed_at"), "seq").alias("l")).select("path", "l.*"), n, only)
 
     return _run(stream, checkpoint, each)
 
@@ -103,13 +163,18 @@ def stream_outbox(stream: DataFrame, send: Callable[[DataFrame, int], None], see
     return _run(stream, checkpoint, each)
 
 
-def stream_index(stream: DataFrame, apply: Callable[[DataFrame, int], None], dirty: Table, seen: Table, checkpoint: str, now: int) -> StreamingQuery:
-    """Fold each batch into the dirty set, then hand the paths that are due to apply, which re-reads the store and publishes."""
+def stream_index(stream: DataFrame, apply: Callable[[DataFrame, int], DataFrame], dirty: Table, seen: Table, checkpoint: str, now: int) -> StreamingQuery:
+    """Fold each batch into the dirty set, hand all paths that are due to apply, and settle what it reports.
+
+    apply(due, n) re-reads the store, publishes, and returns (path, action, target_etag, started_at, ok, error, retry_at). What it did leaves the dirty set, what failed waits.
+    """
 
     def each(batch: DataFrame, n: int) -> None:
-        new = _new(batch, seen, n)
-        merged = J.merge_dirty(dirty.read(before=n), J.coalesce_intents(J.intents_for(new)))
-        dirty.write(merged, n)
-        apply(J.due_paths(dirty.read(), now, 1 << 20), n)
+        owed = J.coalesce_intents(J.intents_for(_new(batch, seen, n)))
+        merged = stored(J.merge_dirty(dirty.read(n), owed), "stream-dirty")
+        due = J.due_paths(merged, now, None)
+        only = sorted({*dirty.touched(owed), *dirty.touched(due)})
+        left = J.settle_intents(merged.where(dirty.bucket().isin(only)), apply(due, n))
+        dirty.write(left, n, only)
 
     return _run(stream, checkpoint, each)
