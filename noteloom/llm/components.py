@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from .common import dropped, written
 
 
-def _with_min(edges: DataFrame) -> DataFrame:
-    """(u, v, m): m is the least of u and all its neighbours. A hub's edges stay on the side that AQE can split."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    return edges.join(least, edges.u == least.w).select("u", "v", "m")
+def _with_min(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, v, m): m is the least of u and all its neighbours; and the written table of least ones. As that is written, the join has an exchange of its own on both sides, and AQE can split a hub's edges."""
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")), "cc-least")
+    return edges.join(least, edges.u == least.w).select("u", "v", "m"), least
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -23,12 +23,14 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     for _ in range(rounds):
         both = now.union(now.select("v", "u"))
-        large = _with_min(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = _with_min(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        met, first = _with_min(both)
+        large = written(met.where("v > u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v").distinct(), "cc-large")
+        small, second = _with_min(large)
         after = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         after = written(after, "cc")
         done = _sums(after) == _sums(now)
-        dropped(now)
+        for old in (now, first, large, second):
+            dropped(old)
         now = after
         if done:
             break

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,21 +29,29 @@ BLOCKS = np.array([0x00000000003FFFFF, 0x000007FFFFC00000, 0xFFFFF80000000000],
 STEP = 1 << 16
 
 
-def fingerprint(text: str | None, words_in_shingle: int = 3) -> int:
-    """The 64 bits as an unsigned number; 0 for a text without words."""
+def shingle_hashes(text: str | None, words_in_shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of the word shingles, repeats included, STEP at a time; of the whole sequence where there are fewer words, none without words."""
     words = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
-    if not words:
-        return 0
-    n = max(1, len(words) - words_in_shingle + 1)
-    counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, STEP):
+    for at in range(0, max(1, len(words) - words_in_shingle + 1) if words else 0, STEP):
         part = words[at : at + STEP + words_in_shingle - 1]
         grams = map(b" ".join, zip(*(part[k:] for k in range(words_in_shingle)))) if len(part) >= words_in_shingle else [b" ".join(part)]
-        h = np.array([xxhash.xxh64_intdigest(g, 42) for g in grams], dtype=">u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        yield np.array([xxhash.xxh64_intdigest(g, 42) for g in grams], dtype=">u8")
+
+
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """The bits that over half of the hashes have set, as an unsigned number; 0 without any."""
+    counts, n = np.zeros(64, dtype=np.int64), 0
+    for h in hashes:
+        counts += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
+def fingerprint(text: str | None, words_in_shingle: int = 3) -> int:
+    """The 64 bits as an unsigned number; 0 for a text without words."""
+    return majority(shingle_hashes(text, words_in_shingle))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long. Null text counts as empty."""
 
@@ -81,13 +90,39 @@ class Forest:
             _, v, at = min(tried)
             self.block_points.append(points)
             self.last.append((np.uint64(v), at))
-        self.slices = {}
+        self.hot: dict[tuple[int, int], tuple] = {}
         for tree in range(3):
             home = self.keys(tree, sample) * np.uint64(2) + self.sides(tree, sample)[0]
             for key, n in Counter(home.tolist()).items():
-                parts = math.ceil(n / len(sample) * total / hot_rows)
-                if n >= 8 and parts > 1:
-                    self.slices[(tree, key)] = parts
+                if n >= 8 and n / len(sample) * total > hot_rows:
+                    self.hot[(tree, key)] = self._split(sample[home == key], total / len(sample), hot_rows, rng)
+
+    def _split(self, x: np.ndarray, each: float, hot_rows: int, rng, depth: int = 0) -> tuple:
+        """Further levels of a hot shard, over all 64 bits: (vantage point, boundary, near, far), down to (slices,) where a sample row stands for `each` rows and boundaries no longer prune."""
+        if len(x) * each <= hot_rows or depth >= 12:
+            return (max(1, math.ceil(len(x) * each / hot_rows)),)
+        tried = []
+        for v in rng.choice(x, min(12, len(x)), replace=False):
+            d = np.bitwise_count(x ^ v).astype(int)
+            at = int(np.median(d))
+            near, far = x[d <= at + self.radius], x[d > at - self.radius]
+            tried.append((max(len(near), len(far)), int(v), at, d))
+        most, v, at, d = min(tried, key=lambda t: t[:3])
+        if most > 0.8 * len(x):
+            return (math.ceil(len(x) * each / hot_rows),)
+        return (np.uint64(v), at, *(self._split(x[side], each, hot_rows, rng, depth + 1) for side in (d <= at, d > at)))
+
+    def _dealt(self, node: tuple, x: np.ndarray, resident: np.ndarray, leaf: int = 1) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(leaf, slices, rows, whether they live there): a row whose ball crosses a boundary is asked of the other side too."""
+        if not len(x):
+            return
+        if len(node) == 1:
+            yield leaf, node[0], x, resident
+            return
+        v, at, near, far = node
+        d = np.bitwise_count(x ^ v).astype(np.int64)
+        for side, home, reach in ((near, d <= at, d <= at + self.radius), (far, d > at, d > at - self.radius)):
+            yield from self._dealt(side, x[reach], (resident & home)[reach], leaf * 2 + (side is far))
 
     def keys(self, tree: int, x: np.ndarray) -> np.ndarray:
         """The rings of x around the block's vantage points, as one number (6 bits a level; 10 levels at most)."""
@@ -103,17 +138,29 @@ class Forest:
         return (d > at).astype(np.uint64), np.where(d <= at, d + self.radius > at, d - self.radius <= at)
 
     def route(self, x: np.ndarray) -> pd.DataFrame:
-        """A row for each shard that x lives in (resident) or must be asked of. A hot shard has slices: each holds all its residents and a part of the queries."""
+        """A row for each shard that x lives in (resident) or must be asked of. A shard that stays hot has slices: each holds all its residents and a part of the queries."""
         out = []
+
+        def add(tree: int, shard: np.ndarray, leaf: int, slices: int, fp: np.ndarray, resident: np.ndarray) -> None:
+            own = (fp.view(np.int64) * np.int64(0x9E3779B97F4A7C1) >> 40) % slices
+            copies = np.where(resident, slices, 1)
+            rep = np.repeat(np.arange(len(fp)), copies)
+            part = np.arange(len(rep)) - np.repeat(np.cumsum(copies) - copies, copies)
+            part = np.where(resident[rep], part, own[rep])
+            out.append(pd.DataFrame({"tree": np.int32(tree), "shard": shard[rep].view(np.int64), "part": leaf * 1_000_000 + part, "fp": fp[rep].view(np.int64), "resident": resident[rep], "query": part == own[rep]}))
+
         for tree in range(3):
             key = self.keys(tree, x) * np.uint64(2)
             side, over = self.sides(tree, x)
-            for shard, fp, resident in ((key + side, x, True), ((key + (np.uint64(1) - side))[over], x[over], False)):
-                parts = np.array([self.slices.get((tree, k), 1) for k in shard.tolist()], dtype=np.int64)
-                own = (fp.view(np.int64) * np.int64(0x9E3779B97F4A7C1) >> 40) % parts
-                rep = np.repeat(np.arange(len(fp)), parts if resident else 1)
-                part = np.arange(len(rep)) - np.repeat(np.cumsum(parts) - parts, parts) if resident else own
-                out.append(pd.DataFrame({"tree": np.int32(tree), "shard": shard[rep].view(np.int64), "part": part.astype(np.int32), "fp": fp[rep].view(np.int64), "resident": resident, "query": part == own[rep]}))
+            shard, fp = np.concatenate([key + side, (key + (np.uint64(1) - side))[over]]), np.concatenate([x, x[over]])
+            resident = np.arange(len(fp)) < len(x)
+            cold = np.ones(len(fp), dtype=bool)
+            for (t, k), node in self.hot.items():
+                if t == tree and (mine := shard == np.uint64(k)).any():
+                    cold &= ~mine
+                    for leaf, slices, part, lives in self._dealt(node, fp[mine], resident[mine]):
+                        add(tree, np.full(len(part), k, dtype=np.uint64), leaf, slices, part, lives)
+            add(tree, shard[cold], 0, 1, fp[cold], resident[cold])
         return pd.concat(out, ignore_index=True)
 
 
@@ -162,12 +209,13 @@ def shard_edges(g: pd.DataFrame, radius: int) -> pd.DataFrame:
     return pd.DataFrame({"u": nodes[moved].view(np.int64), "v": nodes[root[moved]].view(np.int64)})
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, shard_rows: int = 2048, hot_rows: int = 40_000, fit_rows: int = 20_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 2, shard_rows: int = 2048, hot_rows: int = 8192, fit_rows: int = 20_000) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row.
 
     Equal fingerprints are one node, so a group of copies costs one row beyond its fingerprints. fit_rows bounds the sample
     that vantage points and boundaries are fitted on; every fingerprint is routed and searched. Empty and null texts have
-    fingerprint 0. Rows with a null doc_id get their component's id too; an empty table gives an empty result.
+    fingerprint 0. Rows with a null doc_id get their component's id too; rows that repeat a doc_id are rows of their own, each with its text's fingerprint; an empty table
+    gives an empty result. Very long texts are hashed STEP shingles at a time; columns other than doc_id and text are never read, so their names can't clash.
     """
     if radius > 2:
         raise ValueError("three blocks prove a shared block for at most 2 differing bits")
@@ -184,15 +232,12 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shard_rows: int = 2048, ho
         for pdf in batches:
             yield forest.route(pdf["fp"].to_numpy().view(np.uint64))
 
-    routed = nodes.select("fp").mapInPandas(route, "tree int, shard long, part int, fp long, resident boolean, query boolean")
+    routed = nodes.select("fp").mapInPandas(route, "tree int, shard long, part long, fp long, resident boolean, query boolean")
     edges = routed.groupBy("tree", "shard", "part").applyInPandas(lambda g: shard_edges(g, radius), "u long, v long")
     roots = connected_components(edges)
-    found = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    classes = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Both written, so that joins have exchanges of their own on both sides and AQE can split a giant component, or a fingerprint that very many documents share.
+    found = written(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    classes = written(found.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-classes")
     return fps.join(found.join(classes, "root").select("fp", "component_id"), "fp").select("doc_id", named, "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest doc_id of each component; all columns stay. Rows without a doc_id stay as well."""
-    found = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long") == found["__kept"], "left").where(F.col("__kept").isNotNull() | docs["doc_id"].isNull()).select(docs.columns)
