@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noteloom.llm import bpe, components, decontaminate, exact_dedup, line_dedup, pii, quality, secrets, simhash, toxicity
+from noteloom.llm import bpe, components, decontaminate, exact_dedup, line_dedup, pii, quality, secrets, simhash, similar, toxicity
 
 SENTENCES = [f"Sentence number {k} speaks of topic {k * 7 % 13} and of place {k * 5 % 17} at length." for k in range(60)]
 PASSAGE = " ".join(SENTENCES[:6])
@@ -108,11 +108,52 @@ def test_components_of_chains(spark):
     assert got == {k: 100 for k in range(100, 131)} | {5: -3, 9: -3, -3: -3}
 
 
-def test_keep_one_keeps_columns(docs):
-    got = simhash.keep_one(docs)
-    assert got.columns == docs.columns
-    fps = brute_components([(k + 1, brute_fingerprint(t)) for k, t in enumerate(TEXTS)])
-    assert {r.doc_id for r in got.collect()} == set(fps.values())
+def brute_groups(rows, words_in=5, least=0.8):
+    """Smallest id of each document's group: all pairs of five-word shingle sets."""
+    def grams(t):
+        w = words(t)
+        return {" ".join(w[k : k + words_in]) for k in range(len(w) - words_in + 1)} or ({" ".join(w)} if w else set())
+
+    sets = [(i, grams(t)) for i, t in rows]
+    root = {i: i for i, _ in sets}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[n + 1 :]:
+            if (len(a & b) >= least * len(a | b) if a or b else True) and top(i) != top(j):
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    return {i: top(i) for i, _ in sets}
+
+
+@pytest.mark.parametrize("hot_rows", [5, 2048])
+def test_similar_documents(spark, hot_rows):
+    """Chains, edited copies, rows that share an id, and shards that are cut in slices."""
+    rng = np.random.default_rng(21)
+    base = [[f"v{x}" for x in rng.integers(0, 5000, 80)] for _ in range(12)]
+
+    def edited(w, n):
+        w = list(w)
+        for at in rng.choice(len(w), n, replace=False):
+            w[at] = f"e{rng.integers(1 << 30)}"
+        return w
+
+    texts = [" ".join(w) for w in base] + [" ".join(edited(base[k % 3], int(n))) for k, n in enumerate(rng.integers(0, 4, 40))] + [None, "", " ", "a b", "A b", *TEXTS[8:13]]
+    rows = list(enumerate(texts, 1))
+    docs = table(spark, texts).withColumns({c: F.lit("x") for c in CLASHES})
+    want = brute_groups(rows)
+    got = {r.doc_id: r.root for r in similar.similar_groups(docs, hot_rows=hot_rows, anchors=2).collect()}
+    groups = lambda of: sorted(sorted(i for i in of if of[i] == g) for g in set(of.values()))
+    assert groups(got) == groups(want)
+    if hot_rows > 5:
+        kept = similar.keep_one(docs)
+        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(want.values())
+        twice = docs.where("doc_id in (1, 2)").unionByName(docs.where("doc_id = 1")).withColumn("doc_id", F.when(F.col("doc_id") == 1, 7).otherwise(None))
+        assert sorted(map(str, (r.doc_id for r in similar.keep_one(twice).collect()))) == ["7", "None"]
 
 
 def test_bpe_equals_the_library(docs):
@@ -495,7 +536,7 @@ def test_toxicity_on_held_out_rows(spark):
 
 @pytest.mark.parametrize("run", [
     simhash.near_duplicates, exact_dedup.exact_duplicates, line_dedup.line_dedup, lambda d: bpe.encode_decode(d, bpe.default_path()), quality.classify, secrets.secrets, pii.personal_data,
-    lambda d: decontaminate.contamination(d, d.sparkSession.createDataFrame([], "item_id long, text string")), lambda d: toxicity.toxicity(d, d.sparkSession.createDataFrame([], "doc_id long, toxic int")), simhash.keep_one, quality.keep_good,
+    lambda d: decontaminate.contamination(d, d.sparkSession.createDataFrame([], "item_id long, text string")), lambda d: toxicity.toxicity(d, d.sparkSession.createDataFrame([], "doc_id long, toxic int")), similar.keep_one, quality.keep_good,
 ])
 def test_empty_tables_and_null_ids(spark, run):
     empty = table(spark, TEXTS[:1]).limit(0)
@@ -504,4 +545,4 @@ def test_empty_tables_and_null_ids(spark, run):
     got = run(odd)
     ids = sorted((r.doc_id for r in got.collect()), key=repr)
     assert ids in ([7, 8, 8, None, None, None], [7, 8, None, None, None])  # no row goes but a repeated one where that is the point
-    assert len(ids) == 6 or run is simhash.keep_one
+    assert len(ids) == 6 or run is similar.keep_one

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from noteloom.llm import bpe, decontaminate, line_dedup, quality, simhash, url_filter
+from noteloom.llm import bpe, decontaminate, line_dedup, quality, url_filter
 from noteloom.llm.common import table as read
 
 SF = "/root/testdata/sf0.001"
@@ -75,17 +75,20 @@ def plain_pipeline(spark):
         text = "".join(x for k, x in enumerate(lines) if k not in drop) if drop else rows[i]
         if not drop or text.strip(" "):
             out[i] = text
-    fps = [(i, simhash.fingerprint(t)) for i, t in sorted(out.items())]
-    root = {i: i for i, _ in fps}
+    def grams(t):
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split()
+        return {" ".join(w[k : k + 5]) for k in range(len(w) - 4)} or ({" ".join(w)} if w else set())
+
+    sets, root = [(i, grams(t)) for i, t in sorted(out.items())], {i: i for i in out}
 
     def top(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i, a in fps:
-        for j, b in fps:
-            if i < j and (a ^ b).bit_count() <= 2:
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[n + 1 :]:
+            if len(a & b) >= 0.8 * len(a | b):
                 x, y = sorted((top(i), top(j)))
                 root[y] = x
     out = {i: t for i, t in out.items() if top(i) == i}
