@@ -44,35 +44,57 @@ def lexical(url: Column, host: Column, path: Column) -> list[Column]:
     return [F.coalesce(x.cast("double"), F.lit(0.0)).alias(name) for x, name in zip(figures, FEATURES, strict=False)]
 
 
-def judged(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, fit_rows: int = 20_000, trees: int = 10, depth: int = 4) -> DataFrame:
-    """(page_id, host, path, rule, verdict, score) for every row; score is the trees' probability of block.
+FOLDS = 5  # the first is kept apart from the training
+
+
+def scored(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, fit_rows: int = 20_000, trees: int = 10, depth: int = 4) -> DataFrame:
+    """(page_id, host, path, rule, told, held_out, score) for every row: what the rules say, and the trees' probability of block.
 
-    Suffix statistics (the last host label: smoothed share of block, log of its labelled URLs) cover all labelled rows;
-    fit_rows bounds (about) the labelled rows that train the trees. Where labels have one class only, or there are
-    none, undecided URLs get that class, or allow. Null URLs have empty host and path; other columns of pages are left alone.
+    Suffix statistics (the last host label: smoothed share of block, log of its labelled URLs) cover all labelled rows; a labelled row's own fold is left out
+    of its figures, so that no label speaks for itself. fit_rows bounds (about) the labelled rows that train the trees.
     """
     rules = RULES if rules is None else rules
     pages = pages.select(F.col("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"))
     host, path = host_path(F.col("url"))
     parts = pages.withColumn("host", host).withColumn("path", path)
     rule, verdict = decided(F.col("host"), F.col("path"), rules)
-    parts = parts.withColumn("rule", rule).withColumn("told", verdict).withColumn("suffix", F.regexp_extract("host", r"([^.]*)\z", 1))
-    stats = written(parts.where("told is not null").groupBy("suffix").agg(F.count("*").alias("n"), F.sum((F.col("told") == "block").cast("long")).alias("blocked")), "url-suffixes")
-    total = stats.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
-    out = parts.select("page_id", "url", "host", "path", "rule", "told", "suffix")
+    parts = parts.withColumn("rule", rule).withColumn("told", verdict).withColumn("suffix", F.regexp_extract("host", r"([^.]*)\z", 1)).withColumn("fold", F.pmod(F.xxhash64("url", "page_id"), F.lit(FOLDS)).cast("int"))
+    blocked = (F.col("told") == "block").cast("long")
+    tally = lambda x: F.array(*[F.sum(F.when(F.col("fold") == k, x).otherwise(0)).cast("long") for k in range(FOLDS)])
+    stats = written(parts.where("told is not null").groupBy("suffix").agg(tally(F.lit(1)).alias("n"), tally(blocked).alias("b")), "url-suffixes")
+    all_ = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda x, y: x + y)
+    total = stats.agg(F.coalesce(F.sum(all_(F.col("n"))), F.lit(0)), F.coalesce(F.sum(all_(F.col("b"))), F.lit(0))).first()
+    out = parts.select("page_id", "url", "host", "path", "rule", "told", "suffix", "fold")
+    named = ["page_id", "host", "path", "rule", "told", (F.col("fold") == 0).alias("held_out")]
     if not 0 < total[1] < total[0]:
-        other = F.lit("block" if total[1] else "allow")
-        return out.select("page_id", "host", "path", "rule", F.coalesce("told", other).alias("verdict"), F.lit(float(bool(total[1]))).alias("score"))
+        return out.select(*named, F.lit(float(bool(total[1]))).alias("score"))
     base = total[1] / total[0]
-    known = stats.select(F.col("suffix").alias("s"), ((F.col("blocked") + 10 * base) / (F.col("n") + 10)).alias("f_suffix"), F.log1p("n").alias("f_suffix_n"))
-    full = out.join(known, F.col("suffix") == F.col("s"), "left").fillna({"f_suffix": base, "f_suffix_n": 0.0}).select("page_id", "url", "host", "path", "rule", "told", "f_suffix", "f_suffix_n", *lexical(F.col("url"), F.col("host"), F.col("path")))
+    own = lambda c: F.when(F.col("told").isNotNull(), F.get(F.col(c), F.col("fold"))).otherwise(0)
+    full = out.join(stats.withColumnRenamed("suffix", "s"), F.col("suffix") == F.col("s"), "left")
+    full = full.withColumn("__n", F.coalesce(all_(F.col("n")) - own("n"), F.lit(0))).withColumn("__b", F.coalesce(all_(F.col("b")) - own("b"), F.lit(0)))
+    full = full.withColumn("f_suffix", (F.col("__b") + 10 * base) / (F.col("__n") + 10)).withColumn("f_suffix_n", F.log1p("__n"))
+    full = full.select("page_id", "url", "host", "path", "rule", "told", "fold", "f_suffix", "f_suffix_n", *lexical(F.col("url"), F.col("host"), F.col("path")))
     full = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(full)
     share = min(1.0, fit_rows / total[0])
-    sample = full.where(F.col("told").isNotNull() & (F.pmod(F.xxhash64("url", "page_id"), F.lit(1 << 30)) < int(share * (1 << 30))))
+    sample = full.where(F.col("told").isNotNull() & (F.col("fold") > 0) & (F.pmod(F.xxhash64(F.lit(1), "url", "page_id"), F.lit(1 << 30)) < int(share * (1 << 30))))
     sample = written(sample.select("features", (F.col("told") == "block").cast("double").alias("label")), "url-sample")
     if sample.select("label").distinct().count() < 2:
-        return full.select("page_id", "host", "path", "rule", F.coalesce("told", F.lit("block" if base > 0.5 else "allow")).alias("verdict"), F.lit(base).alias("score"))
+        return full.select(*named, F.lit(base).alias("score"))
     model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, stepSize=0.3).fit(sample)
-    scored = model.transform(full).withColumn("score", vector_to_array("probability")[1])
+    return model.transform(full).withColumn("score", vector_to_array("probability")[1]).select(*named, "score")
+
+
+def judged(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, fit_rows: int = 20_000, trees: int = 10, depth: int = 4) -> DataFrame:
+    """(page_id, host, path, rule, verdict, score) for every row: the rule's verdict, else block from a score of 0.5 on.
+
+    Where labels have one class only, undecided URLs get that class; where there are none, allow. Null URLs, and those without ://, have empty host and path; rows alike get the same
+    verdict, each its own row; very long URLs are read whole; an empty table gives an empty one; other columns of pages are never read.
+    """
     other = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
-    return scored.select("page_id", "host", "path", "rule", F.coalesce("told", other).alias("verdict"), "score")
+    return scored(pages, rules, fit_rows, trees, depth).select("page_id", "host", "path", "rule", F.coalesce("told", other).alias("verdict"), "score")
+
+
+def held_out_accuracy(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, **settings) -> DataFrame:
+    """One row: labelled URLs kept apart from the training, and those that the trees judge as the rules do."""
+    right = (F.col("score") >= 0.5) == (F.col("told") == "block")
+    return scored(pages, rules, **settings).where("held_out and told is not null").agg(F.count("*").alias("n"), F.count_if(right).alias("right"))

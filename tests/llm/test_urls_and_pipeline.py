@@ -54,6 +54,19 @@ def test_few_labels(spark, urls):
     assert len(got) == len(urls) and all(r.verdict for r in got)
 
 
+def test_trees_agree_with_the_rules_on_urls_kept_apart(spark):
+    got = url_filter.held_out_accuracy(read(spark, "/root/testdata/sf0.1", "pages")).first()
+    assert got.n > 500 and got.right >= 0.95 * got.n
+
+
+def test_long_and_repeated_urls(spark):
+    long = "http://" + "a" * 50_000 + ".com/de/" + "x/" * 50_000
+    rows = [(1, long), (1, long), (None, "http://a.org/"), (2, None), (3, "no scheme")]
+    got = url_filter.judged(spark.createDataFrame(rows, "page_id long, url string").withColumn("told", F.lit("x")).withColumn("host", F.lit("y"))).collect()
+    assert len(got) == 5 and [len(r.path) for r in got if r.page_id == 1] == [100_004] * 2 and {(r.host, r.path) for r in got if r.page_id in (2, 3)} == {("", "")}
+    assert url_filter.judged(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
 def plain_pipeline(spark):
     """The same decisions, taken one document at a time in plain Python; models are the stages' own."""
     docs = read(spark, SF, "documents")
