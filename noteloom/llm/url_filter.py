@@ -17,7 +17,7 @@ from .spans import entropy
 
 # The rules as the contract fixes them.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-FEATURES = ["f_length", "f_host", "f_path", "f_depth", "f_digits", "f_entropy", "f_params", "f_dots", "f_hyphens", "f_fragment", "f_suffix", "f_suffix_n"]
+FEATURES = ["f_length", "f_host", "f_path", "f_depth", "f_digits", "f_entropy", "f_params", "f_dots", "f_hyphens", "f_fragment", "f_suffix", "f_suffix_n", "f_segment", "f_segment_n"]
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -50,30 +50,31 @@ FOLDS = 5  # the first is kept apart from the training
 def scored(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, fit_rows: int = 20_000, trees: int = 10, depth: int = 4) -> DataFrame:
     """(page_id, host, path, rule, told, held_out, score) for every row: what the rules say, and the trees' probability of block.
 
-    Suffix statistics (the last host label: smoothed share of block, log of its labelled URLs) cover all labelled rows; a labelled row's own fold is left out
-    of its figures, so that no label speaks for itself. fit_rows bounds (about) the labelled rows that train the trees.
+    Suffix statistics (the last host label, and the first path segment: smoothed share of block, log of its labelled URLs) cover all labelled rows; a labelled row's own
+    fold is left out of its figures, so that no label speaks for itself. fit_rows bounds (about) the labelled rows that train the trees.
     """
     rules = RULES if rules is None else rules
     pages = pages.select(F.col("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"))
     host, path = host_path(F.col("url"))
     parts = pages.withColumn("host", host).withColumn("path", path)
     rule, verdict = decided(F.col("host"), F.col("path"), rules)
-    parts = parts.withColumn("rule", rule).withColumn("told", verdict).withColumn("suffix", F.regexp_extract("host", r"([^.]*)\z", 1)).withColumn("fold", F.pmod(F.xxhash64("url", "page_id"), F.lit(FOLDS)).cast("int"))
+    parts = parts.withColumn("rule", rule).withColumn("told", verdict).withColumn("suffix", F.regexp_extract("host", r"([^.]*)\z", 1)).withColumn("segment", F.regexp_extract("path", "^/([^/]*)", 1)).withColumn("fold", F.pmod(F.xxhash64("url", "page_id"), F.lit(FOLDS)).cast("int"))
     blocked = (F.col("told") == "block").cast("long")
     tally = lambda x: F.array(*[F.sum(F.when(F.col("fold") == k, x).otherwise(0)).cast("long") for k in range(FOLDS)])
-    stats = written(parts.where("told is not null").groupBy("suffix").agg(tally(F.lit(1)).alias("n"), tally(blocked).alias("b")), "url-suffixes")
+    stats = {key: written(parts.where("told is not null").groupBy(F.col(key).alias("s")).agg(tally(F.lit(1)).alias("n"), tally(blocked).alias("b")), f"url-{key}") for key in ("suffix", "segment")}
     all_ = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda x, y: x + y)
-    total = stats.agg(F.coalesce(F.sum(all_(F.col("n"))), F.lit(0)), F.coalesce(F.sum(all_(F.col("b"))), F.lit(0))).first()
-    out = parts.select("page_id", "url", "host", "path", "rule", "told", "suffix", "fold")
+    total = stats["suffix"].agg(F.coalesce(F.sum(all_(F.col("n"))), F.lit(0)), F.coalesce(F.sum(all_(F.col("b"))), F.lit(0))).first()
+    full = parts.select("page_id", "url", "host", "path", "rule", "told", "suffix", "segment", "fold")
     named = ["page_id", "host", "path", "rule", "told", (F.col("fold") == 0).alias("held_out")]
     if not 0 < total[1] < total[0]:
-        return out.select(*named, F.lit(float(bool(total[1]))).alias("score"))
+        return full.select(*named, F.lit(float(bool(total[1]))).alias("score"))
     base = total[1] / total[0]
     own = lambda c: F.when(F.col("told").isNotNull(), F.get(F.col(c), F.col("fold"))).otherwise(0)
-    full = out.join(stats.withColumnRenamed("suffix", "s"), F.col("suffix") == F.col("s"), "left")
-    full = full.withColumn("__n", F.coalesce(all_(F.col("n")) - own("n"), F.lit(0))).withColumn("__b", F.coalesce(all_(F.col("b")) - own("b"), F.lit(0)))
-    full = full.withColumn("f_suffix", (F.col("__b") + 10 * base) / (F.col("__n") + 10)).withColumn("f_suffix_n", F.log1p("__n"))
-    full = full.select("page_id", "url", "host", "path", "rule", "told", "fold", "f_suffix", "f_suffix_n", *lexical(F.col("url"), F.col("host"), F.col("path")))
+    for key, known in stats.items():
+        full = full.join(known, F.col(key) == F.col("s"), "left")
+        full = full.withColumn("__n", F.coalesce(all_(F.col("n")) - own("n"), F.lit(0))).withColumn("__b", F.coalesce(all_(F.col("b")) - own("b"), F.lit(0)))
+        full = full.withColumn(f"f_{key}", (F.col("__b") + 10 * base) / (F.col("__n") + 10)).withColumn(f"f_{key}_n", F.log1p("__n")).drop("s", "n", "b", "__n", "__b")
+    full = full.select("page_id", "url", "host", "path", "rule", "told", "fold", *[f"f_{key}{x}" for key in stats for x in ("", "_n")], *lexical(F.col("url"), F.col("host"), F.col("path")))
     full = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(full)
     share = min(1.0, fit_rows / total[0])
     sample = full.where(F.col("told").isNotNull() & (F.col("fold") > 0) & (F.pmod(F.xxhash64(F.lit(1), "url", "page_id"), F.lit(1 << 30)) < int(share * (1 << 30))))
