@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -26,8 +27,39 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own[app]
 
 
+_made: list[str] = []
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df written as Parquet into the shared folder and read back: what several branches of a plan read is computed once."""
+    """df written as Parquet into the shared folder and read back: lineage ends there, and what several branches of a plan read is computed once.
+
+    The tables a session has made go with it, at the latest when Python ends; drop() deletes one before.
+    """
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if not _made:
+        atexit.register(_forget)
+    _made.append(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._noteloom_path = path
+    return out
+
+
+def _delete(jvm, conf, path: str) -> None:
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table made by stored() that nothing reads any more."""
+    path = getattr(df, "_noteloom_path", None)
+    if path:
+        _delete(df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf(), path)
+        _made.remove(path)
+
+
+def _forget() -> None:
+    sc = SparkContext._active_spark_context
+    if sc is not None:
+        for path in _made:
+            _delete(sc._jvm, sc._jsc.hadoopConfiguration(), path)
