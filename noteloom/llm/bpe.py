@@ -171,8 +171,10 @@ def _groups(items: list[str], most: int = 1 << 22):
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]) for every row; null text counts as empty.
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]) for every row; null text counts as empty, and an empty one has no tokens.
 
+    Rows alike each get their row, in no order; an empty table gives an empty one; other columns are never read, so their names can't clash. A very long text is
+    encoded whole in one task, as a batch of its own, with memory in proportion to its pieces. Of pairs of one rank, the leftmost merge first, as in the library.
     tokenizer_path is read on the driver; its content (a few MB whatever the data) goes to the tasks as a broadcast.
     """
     with open(tokenizer_path, encoding="utf-8") as f:

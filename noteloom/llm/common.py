@@ -2,30 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.sources.shared import shared_dir
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends there, and any executor can read it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._noteloom_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete a table made by written() that nothing reads any more."""
-    path = getattr(df, "_noteloom_path", None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+from noteloom.sources.shared import drop as dropped
+from noteloom.sources.shared import stored as written
+
+__all__ = ["IDENTITY", "dropped", "identity", "keyed", "same_identity", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -166,8 +166,12 @@ class ItemIndex:
 
 
     def hits(self, texts: list[str | None]) -> list[list[tuple[int, float]]]:
-        words = [words_of(t) for t in texts]
-        return [self.verified(w, found) if found else [] for w, found in zip(words, self.retrieve(words), strict=True)]
+        """The items that each text holds, with their scores. Some texts are taken at a time: their words are many times as large as they are."""
+        out = []
+        for at in range(0, len(texts), TEXTS):
+            words = [words_of(t) for t in texts[at : at + TEXTS]]
+            out += [self.verified(w, found) if found else [] for w, found in zip(words, self.retrieve(words), strict=True)]
+        return out
 
 
 def indexes(items: DataFrame, threshold: float = 0.6, words: int = 5, overlap: float = 0.8, index_items: int = 20_000, segment: int = 256) -> Iterable[ItemIndex]:
@@ -198,7 +202,7 @@ def indexes(items: DataFrame, threshold: float = 0.6, words: int = 5, overlap: f
         yield ItemIndex(rows, threshold, words, overlap, segment, df=df, count=count, mean=total / max(1, count))
 
 
-STRIPES = 4096
+STRIPES, TEXTS = 4096, 256
 
 
 def contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.6, words: int = 5, overlap: float = 0.8, index_items: int = 20_000) -> DataFrame:

@@ -106,6 +106,8 @@ def exact_duplicates(docs: DataFrame, memory: int = 64 << 20) -> DataFrame:
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. The row with the largest doc_id stays; of rows
     that repeat that doc_id as well, one stays, and a null doc_id is below all others. memory is in bytes, for each task.
+    Empty texts are a group like any other; a text longer than the memory is a bucket of its own, held whole in one task, and only ever once a partition; an empty table gives an
+    empty one; columns other than doc_id and text are never read, so their names can't clash. Rows alike in all columns are told apart by their place in a partition.
     """
 
     def local(batches):

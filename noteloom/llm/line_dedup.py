@@ -24,6 +24,7 @@ from .common import dropped, written
 _digest = xxhash.xxh3_128_digest
 WINDOW = 3
 STEP = 1 << 18
+TEXTS = 512  # so many are cut at a time, as each text gives some hundred rows
 SHORT, WHOLE, NEAR = 5, 9, 4
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 _NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -172,7 +173,7 @@ def windows(docs: DataFrame) -> DataFrame:
     """(id, k, h1, h2, pos, starts): a row for each window of each document, and one more a document that has the places of its lines alone."""
 
     def run(batches):
-        for b in batches:
+        for b in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             raws = [_bytes_of(t) for t in b.column("text").to_pylist()]
             starts = _line_starts(raws)
             hashes = [window_hashes(r, s) for r, s in zip(raws, starts)]

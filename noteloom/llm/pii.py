@@ -135,7 +135,11 @@ def held_out_quality(docs: DataFrame, threshold: float = 0.9, fit_rows: int = 20
     return scored(docs, fit_rows)[1].where("held_out and label is not null").agg(F.count("*").alias("n"), F.count_if(hit).alias("redacted"), F.count_if(hit & (F.col("label") == 1)).alias("right"), F.count_if(F.col("label") == 1).alias("positive"))
 
 
-def digests(found: DataFrame) -> DataFrame:
+def base_digests(found: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, the number of base spans by kind, their digest, and more columns."""
     counts = [count_of(F.col("base"), k).alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
-    likely = F.size("added").cast("long").alias("n_likely")
-    return found.select("doc_id", *counts, likely, F.sha2(joined(F.col("base"), KINDS), 256).alias("base_sha256"), joined(F.col("spans"), KINDS).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base"), KINDS), 256).alias("base_sha256"), *more)
+
+
+def digests(found: DataFrame) -> DataFrame:
+    return base_digests(found, F.size("added").cast("long").alias("n_likely"), joined(F.col("spans"), KINDS).alias("spans"))

@@ -71,7 +71,12 @@ def secrets(docs: DataFrame, owner: Column | None = None, repository: Column | N
     return out.withColumn("added", F.transform(F.filter("found", lambda f: f["live"]), lambda f: f["span"])).withColumn("spans", F.array_sort(F.concat("base", "added")))
 
 
-def digests(found: DataFrame) -> DataFrame:
+def base_digests(found: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, the number of base spans by kind, their digest, and more columns."""
     counts = [count_of(F.col("base"), k).alias(f"n_{name}") for k, name in enumerate(KINDS[:3])]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base"), KINDS), 256).alias("base_sha256"), *more)
+
+
+def digests(found: DataFrame) -> DataFrame:
     verdicts = [F.size(F.filter("found", test)).cast("long").alias(name) for name, test in (("n_live", lambda f: f["live"]), ("n_copied", lambda f: ~f["live"]))]
-    return found.select("doc_id", *counts, *verdicts, F.sha2(joined(F.col("base"), KINDS), 256).alias("base_sha256"), joined(F.col("spans"), KINDS).alias("spans"))
+    return base_digests(found, *verdicts, joined(F.col("spans"), KINDS).alias("spans"))
