@@ -35,6 +35,12 @@ _BYTE = np.arange(1, 257, dtype=np.uint64) * _MIX[0]
 _BYTE = np.where(_BLANK, np.uint64(0), (_BYTE ^ _BYTE >> np.uint64(29)) * _MIX[1])
 _WIDE_BLANKS = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _WIDE_STOPS = re.compile(rb"\xe3\x80\x82|\xef\xbc[\x81\x9f]")
+# Bytes that some such blank or stop begins with; most texts hold none, and a look for them is far quicker than the patterns.
+_BLANK_MARKS, _STOP_MARKS = (b"\xe2\x80", b"\xe2\x81\x9f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe3\x80\x80"), (b"\xe3\x80\x82", b"\xef\xbc\x81", b"\xef\xbc\x9f")
+
+
+def _holds(raw: bytes, marks: tuple[bytes, ...]) -> bool:
+    return any(m[:1] in raw and m in raw for m in marks)  # a single byte is looked for quickest
 
 
 def _chosen(score: np.ndarray, free: np.ndarray) -> np.ndarray:
@@ -64,8 +70,10 @@ def _unit_cuts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Where units begin, in bytes, and whether a line ends with them."""
     stops = np.empty(0, dtype=np.int64)
     if not raw.isascii():
-        raw = _WIDE_BLANKS.sub(lambda m: b" " * len(m[0]), raw)
-        stops = np.array([m.start() for m in _WIDE_STOPS.finditer(raw)], dtype=np.int64)
+        if _holds(raw, _BLANK_MARKS):
+            raw = _WIDE_BLANKS.sub(lambda m: b" " * len(m[0]), raw)
+        if _holds(raw, _STOP_MARKS):
+            stops = np.array([m.start() for m in _WIDE_STOPS.finditer(raw)], dtype=np.int64)
     x = np.frombuffer(raw, dtype=np.uint8)
     blank = _BLANK[x]
     first = ~blank
@@ -152,7 +160,7 @@ def window_hashes(raw: bytes, starts: np.ndarray) -> np.ndarray:
     if n < 1:
         return np.empty((0, 2), np.uint64)
     lines = _slices(raw, starts)
-    if raw.isascii() or not _WIDE_BLANKS.search(raw):
+    if not _holds(raw, _BLANK_MARKS):
         lines = [x.strip(_BLANKS) for x in lines]
     else:
         lines = [_bytes_of(x.decode().strip()) for x in lines]
@@ -196,14 +204,15 @@ def windows(docs: DataFrame) -> DataFrame:
 def covered_lines(docs: DataFrame) -> DataFrame:
     """(id, k, starts, at) for each document: where its lines begin, and the first lines of its windows that repeat an earlier one."""
     # All tables are written: texts are cut and hashed once, and the joins have exchanges of their own on both sides, so that AQE can split a very frequent window's rows.
+    # The smaller sides, which are a fraction of a partition's rows, are hashed: the windows needn't be sorted.
     every = written(windows(docs), "line-hashes")
     own = written(every.where("h1 is null").select(*WHO, "starts", F.lit(None).cast("int").alias("pos")), "line-starts")
     many = written(every.where("h1 is not null").groupBy("h1").count().where("count > 1").select("h1"), "line-repeats")
-    found = written(every.where("h1 is not null").select("h1", "h2", *WHO, "pos").join(many, "h1", "left_semi"), "line-windows").withColumn("place", F.struct(*WHO, "pos")).select("h1", "h2", "place")
+    found = written(every.where("h1 is not null").select("h1", "h2", *WHO, "pos").join(many.hint("shuffle_hash"), "h1", "left_semi"), "line-windows").withColumn("place", F.struct(*WHO, "pos")).select("h1", "h2", "place")
     dropped(every)
     dropped(many)
     first = written(found.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "line-firsts")
-    later = found.join(first, ["h1", "h2"]).where("place > first").select(*[f"place.{c}" for c in WHO], F.lit(None).cast("array<int>").alias("starts"), "place.pos")
+    later = found.join(first.hint("shuffle_hash"), ["h1", "h2"]).where("place > first").select(*[f"place.{c}" for c in WHO], F.lit(None).cast("array<int>").alias("starts"), "place.pos")
     return later.unionByName(own).groupBy(*WHO).agg(F.first("starts", True).alias("starts"), F.collect_set("pos").alias("at"))
 
 
