@@ -60,14 +60,16 @@ class ItemIndex:
         self.qa = {item: question_answer(text) for item, text in items}
         if df is None:
             df, count, mean = Counter(t for _, w in self.parts for t in set(w)), len(self.parts), sum(len(w) for _, w in self.parts) / max(1, len(self.parts))
-        self.vocab = {t: k for k, t in enumerate(sorted({t for _, w in self.parts for t in w}))}
         self.span = max([8, *(len(w) for _, w in self.parts)])
-        idf = {t: math.log(1 + (count - df[t] + 0.5) / (df[t] + 0.5)) for t in self.vocab}
-        self.shares: list[list[tuple[int, float]]] = []
+        scored, top = [], {}
         for _, w in self.parts:
-            score = {t: idf[t] * f * (k1 + 1) / (f + k1 * (1 - b + b * len(w) / mean)) for t, f in Counter(w).items()}
+            score = {t: math.log(1 + (count - df[t] + 0.5) / (df[t] + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * len(w) / mean)) for t, f in Counter(w).items()}
             whole = sum(score.values())
-            self.shares.append(sorted(((self.vocab[t], s / whole) for t, s in score.items()), key=lambda x: (-x[1], x[0])))
+            scored.append({t: s / whole for t, s in score.items()})
+            for t, s in scored[-1].items():
+                top[t] = max(top.get(t, 0.0), s)
+        self.vocab = {t: k for k, t in enumerate(sorted(top, key=lambda t: (top[t], t)))}  # in rising order of the largest impact
+        self.shares: list[list[tuple[int, float]]] = [sorted(((self.vocab[t], s) for t, s in own.items()), key=lambda x: (-x[1], x[0])) for own in scored]
         self.blocks = -(-len(self.parts) // BLOCK)
         tops: list[dict[int, float]] = [{} for _ in self.vocab]
         for k, shares in enumerate(self.shares):
@@ -101,11 +103,10 @@ class ItemIndex:
             own = np.repeat(np.arange(a, z), (end - begin)[a:z])
             term = ids[begin[a] : end[z - 1]]
             hit = term >= 0
-            pair = np.unique(own[hit] * len(self.vocab) + term[hit])
-            stripe, term = pair // len(self.vocab), pair % len(self.vocab)
+            stripe, pair = own[hit], own[hit] * len(self.vocab) + term[hit]
             back = (stripe > a) & (owner[stripe] == owner[np.maximum(stripe - 1, 0)])
-            pair = np.concatenate([pair[stripe < a + STRIPES], pair[back] - len(self.vocab)])
-            for p, block in self._reached(np.unique(pair)):
+            pair = np.sort(np.concatenate([pair[stripe < a + STRIPES], pair[back] - len(self.vocab)]))
+            for p, block in self._reached(pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair):
                 has = set(ids[begin[p] : end[min(p + 1, len(owner) - 1)] if p + 1 < len(owner) and owner[p + 1] == owner[p] else end[p]].tolist())
                 best = out[owner[p]]
                 for item in range(block * BLOCK, min(len(self.parts), (block + 1) * BLOCK)):
@@ -114,16 +115,15 @@ class ItemIndex:
         return out
 
     def _reached(self, pair: np.ndarray) -> Iterable[tuple[int, int]]:
-        """(passage, block) whose bound reaches the threshold, from the distinct (passage, term) pairs."""
+        """(passage, block) whose bound reaches the threshold, from the distinct (passage, term) pairs in order, which is that of rising bounds inside a passage."""
         passage, term = pair // len(self.vocab), pair % len(self.vocab)
         top = self.term_max[term]
-        order = np.lexsort((top, passage))
-        passage, term, top = passage[order], term[order], top[order]
-        each, at = np.unique(passage, return_index=True)
+        at = np.flatnonzero(np.append(True, passage[1:] != passage[:-1])) if len(passage) else passage
+        each, size = passage[at], np.diff(np.append(at, len(passage)))
         sums = np.cumsum(top)
-        inside = sums - np.repeat(sums[at] - top[at], np.diff(np.append(at, len(passage))))
+        inside = sums - np.repeat(sums[at] - top[at], size)
         walked = inside >= self.threshold - 1e-9  # the pivot and what comes after it
-        before = np.bincount(np.searchsorted(each, passage[~walked]), top[~walked], len(each))
+        before = np.bincount(np.repeat(np.arange(len(each)), size)[~walked], top[~walked], len(each))
         key, most = self._posted(passage[walked], term[walked])
         keys, where = np.unique(key, return_inverse=True)
         bound = np.bincount(where, most, len(keys))
