@@ -30,16 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
 _made: list[str] = []
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+def stored(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     """df written as Parquet into the shared folder and read back: lineage ends there, and what several branches of a plan read is computed once.
 
+    by: a column of few values whose rows get folders of their own, so that a question about one value reads its files only.
+
     The tables a session has made go with it, at the latest when Python ends; drop() deletes one before.
     """
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex[:12]}"
     if not _made:
         atexit.register(_forget)
     _made.append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._noteloom_path = path
     return out
