@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, line_dedup, pii, quality, secrets, simhash, toxicity, url_filter
+from . import bpe, collocations, decontaminate, exact_dedup, importance, line_dedup, packing, pii, quality, secrets, simhash, toxicity, url_filter
 from .common import table
 
 
@@ -52,6 +52,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.personal_data(table(spark, sf_dir, "documents")))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.default_path())
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def secret_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base spans of op6 alone, as SQL can tell them too."""
     docs = table(spark, sf_dir, "documents")
@@ -96,5 +108,5 @@ _UNDER = lambda host: f"(host = '{host}' OR ends_with(host, '.{host}'))"  # noqa
 _RULE = lambda what: "CASE " + " ".join(f"WHEN {_UNDER(h)} AND starts_with(path, '{p}') THEN '{v if what else h + p}'" for v, h, p in sorted(url_filter.RULES, key=lambda r: -len(r[1] + r[2]))) + " END"
 _URLS = f"SELECT *, {_RULE(0)} AS rule, {_RULE(1)} AS told FROM (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages) AS p"
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_toxicity, op4_exact, op5_lines, op6_secrets, op7_quality, op8_decontaminate, op9_urls, op10_pii, secret_bases, private_bases, url_rules)}
-ORACLES = {"op4_exact": exact_dedup.ORACLE, "secret_bases": _SECRETS, "private_bases": _PRIVATE, "url_rules": _URLS}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_toxicity, op4_exact, op5_lines, op6_secrets, op7_quality, op8_decontaminate, op9_urls, op10_pii, op11_packing, op12_collocations, op13_resampling, secret_bases, private_bases, url_rules)}
+ORACLES = {"op4_exact": exact_dedup.ORACLE, "op12_collocations": collocations.ORACLE, "secret_bases": _SECRETS, "private_bases": _PRIVATE, "url_rules": _URLS}
