@@ -2,7 +2,7 @@
 
 Candidates are the values that the base patterns caught, and wider tokens: quoted or assigned ones of 16 and more characters, and bare
 random-looking ones of 24 and more. Over the whole corpus, each candidate's hash is counted by distinct owners and distinct repositories.
-What many of them share is an example that was copied around; what one or two have is taken for live, and its place is added as a span.
+What many of them share is an example that was copied around, and so is what looks like one; what else one or two have is taken for live, and its place is added as a span.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import IDENTITY, identity, same_identity, written
-from .spans import NO_SPANS, clear_of, count_of, entropy, joined, matches
+from .spans import NO_SPANS, clear_of, count_of, distinct, entropy, joined, matches, named
 
 KINDS = ["assign", "access", "hex", "token", "live"]
 ASSIGNED, ACCESSED, HEXED, TOKENS, LIVE = range(5)
@@ -21,6 +21,8 @@ ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"[0-9a-f]{32,}+"
 # The wider tokens: after a quote, "=" or ":", and bare.
 TOLD = r"""(?<=["'=:]|[=:]\x20)[A-Za-z0-9+/_=-]{16,}+"""
+#: What an example looks like, however few have it.
+EXAMPLE = r"(?i)example|sample|dummy|placeholder|change[-_]?me|your[_-]|redacted|(?:x{4}|\*{4}|0123456789|123456789|abcdefgh)|(.)\1{7}"
 BARE = r"(?:\G|(?<![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{24,}+"
 
 
@@ -38,19 +40,20 @@ def _values(base: Column) -> Column:
 def wide_tokens(text: Column, least_entropy: float = 3.0) -> Column:
     """Tokens beside the base patterns that mix letters and digits and look random: bits a character, over all characters."""
     mixed = lambda s: s["found"].rlike("[0-9]") & s["found"].rlike("[A-Za-z]") & (entropy(s["found"]) >= least_entropy)
-    told, bare = F.filter(matches(text, TOLD, TOKENS), mixed), F.filter(matches(text, BARE, TOKENS), mixed)
-    return F.array_distinct(F.concat(told, clear_of(bare, told)))
+    bare = F.filter(matches(text, BARE, TOKENS), mixed)
+    return named(F.filter(matches(text, TOLD, TOKENS), mixed), lambda told: F.concat(told, clear_of(bare, told)))
 
 
 def secrets(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, owners: int = 2, repositories: int = 2) -> DataFrame:
     """One row for each row of docs: doc_id, base spans, found (every candidate value: its span, n_owners, n_repositories, live), added spans, all spans.
 
     owner and repository default to the source, and the source with the language; a column that docs lacks counts as null, and null
-    owners count as one. A candidate is live if at most `owners` owners and `repositories` repositories have its value, wherever in the corpus.
+    owners count as one. A candidate is live if at most `owners` owners and `repositories` repositories have its value, wherever in the corpus, and it doesn't look like an
+    example (EXAMPLE: told words, runs of one sign, counting up).
     Live candidates are added: the values of base spans as kind live, wider tokens, which overlap no base span, as kind token.
     Null and empty texts have no spans; rows that repeat a doc_id and text each get all spans; two spans of one value are two candidates.
-    An empty table gives an empty one; columns other than doc_id, text and those of owner and repository are never read. Patterns take time in
-    proportion to a text's length, so very long ones are read whole.
+    An empty table gives an empty one; columns other than doc_id, text and those of owner and repository are never read. Very long texts are read whole: patterns take
+    time in proportion to a text's length, and spans are held against spans by sorting and halving.
     """
     has = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
     owner = has("source") if owner is None else F.coalesce(owner, F.lit(""))
@@ -58,12 +61,14 @@ def secrets(docs: DataFrame, owner: Column | None = None, repository: Column | N
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(*identity(docs), text.alias("text"), owner.alias("owner"), repository.alias("repository"))
     rows = rows.select(*IDENTITY, "owner", "repository", base_spans(F.col("text")).alias("base"), wide_tokens(F.col("text")).alias("wide"))
-    found = written(rows.withColumn("maybe", F.array_distinct(F.concat(_values(F.col("base")), clear_of(F.col("wide"), F.col("base"))))).drop("wide"), "secrets")
+    maybe = named(F.col("base"), lambda base: distinct(F.concat(_values(base), clear_of(F.col("wide"), base))))
+    found = written(rows.withColumn("maybe", maybe).drop("wide"), "secrets")
     each = found.where("size(maybe) > 0").select(*IDENTITY, "owner", "repository", F.explode("maybe").alias("span")).withColumn("hash", F.sha2("span.found", 256))
     once = each.select("hash", "owner", "repository").distinct()
     # Written, so that the join has an exchange of its own on both sides and AQE can split a value that a great many texts hold.
     known = written(once.groupBy("hash").agg(F.count_distinct("owner").alias("n_owners"), F.count_distinct("repository").alias("n_repositories")), "secret-owners")
-    verdict = F.struct("span", "n_owners", "n_repositories", ((F.col("n_owners") <= owners) & (F.col("n_repositories") <= repositories)).alias("live"))
+    live = (F.col("n_owners") <= owners) & (F.col("n_repositories") <= repositories) & ~F.col("span.found").rlike(EXAMPLE)
+    verdict = F.struct("span", "n_owners", "n_repositories", live.alias("live"))
     told = each.join(known, "hash").groupBy(*IDENTITY).agg(F.collect_set(verdict).alias("f")).select(*[F.col(c).alias(f"t_{c}") for c in IDENTITY], F.array_sort("f").alias("found"))
     out = found.drop("owner", "repository", "maybe").join(told, same_identity("t_"), "left")
     nothing = F.array().cast(f"array<struct<span:{NO_SPANS[6:-1]},n_owners:bigint,n_repositories:bigint,live:boolean>>")

@@ -6,6 +6,8 @@ costs time in proportion to its length: runs are possessive, and start where the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,9 +62,54 @@ def luhn(number: Column) -> Column:
     return F.aggregate(F.filter(each, lambda d: d.isNotNull()), F.lit(0), lambda a, d: a + d) % 10 == 0
 
 
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use reads it: lambdas don't share what they are handed as an expression."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _highest(numbers: Column) -> Column:
+    """The largest of each number and those before it, STEP at a time."""
+    none = F.array().cast("array<int>")
+
+    def block(acc: Column, first: Column) -> Column:
+        grown = lambda a, x: F.struct(F.greatest(a["top"], x).alias("top"), F.concat(a["out"], F.array(F.greatest(a["top"], x))).alias("out"))
+        part = F.aggregate(F.slice(numbers, first, F.lit(STEP)), F.struct(acc["top"].alias("top"), none.alias("out")), grown)
+        return F.struct(part["top"].alias("top"), F.concat(acc["out"], F.array(part["out"])).alias("out"))
+
+    start = F.struct(F.lit(-1).alias("top"), F.array().cast("array<array<int>>").alias("out"))
+    return F.flatten(F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(numbers), F.lit(1)), F.lit(STEP)), start, block, lambda acc: acc["out"]))
+
+
+def _below(sorted_: Column, limit: Column) -> Column:
+    """How many of the sorted numbers are below the limit, by halving."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(sorted_).alias("hi"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        up = (acc["lo"] < acc["hi"]) & (F.get(sorted_, mid) < limit)
+        return F.struct(F.when(up, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(up | (acc["lo"] >= acc["hi"]), acc["hi"]).otherwise(mid).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size(sorted_) + F.lit(1.0))).cast("int")), start, halve, lambda acc: acc["lo"])
+
+
 def clear_of(spans: Column, others: Column) -> Column:
-    """The spans that overlap none of the others."""
-    return F.filter(spans, lambda s: ~F.exists(others, lambda o: (s["start"] < o["end"]) & (o["start"] < s["end"])))
+    """The spans that overlap none of the others.
+
+    Others are sorted by start, with the highest end so far beside each. A span is clear if the last of those that start before its end, and all before
+    that one, end by its start. So the time is that of a sort, and a search by halving for each span.
+    """
+
+    def told(own: Column, rest: Column) -> Column:
+        starts = F.transform(rest, lambda o: o["start"])
+        ends = lambda s: named(s, lambda st: named(_highest(F.transform(rest, lambda o: o["end"])), lambda top: F.filter(own, lambda x: named(_below(st, x["end"]), lambda n: (n == 0) | (F.get(top, n - 1) <= x["start"])))))
+        return F.when((F.size(own) == 0) | (F.size(rest) == 0), own).otherwise(ends(starts))
+
+    return named(spans, lambda own: named(F.array_sort(others), lambda rest: told(own, rest)))
+
+
+def distinct(spans: Column) -> Column:
+    """Sorted, without repeats."""
+    return named(F.array_sort(spans), lambda all_: F.filter(all_, lambda s, k: (k == 0) | (s != F.get(all_, k - 1))))
 
 
 def entropy(text: Column) -> Column:
