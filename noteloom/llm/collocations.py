@@ -12,6 +12,7 @@ has to. The array costs `slots` bytes whatever the data; counts themselves stay
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -99,17 +101,17 @@ def counted(w: np.ndarray, words: list[str], lang: str, reached: np.ndarray, ste
         held[at] = code
 
 
-def _scan(shard: DataFrame, reached: np.ndarray, step: int, shards: int, longest: int, most: int = 1 << 23) -> DataFrame:
-    """Counts of one shard's phrases at this step, added up."""
-    sent = shard.sparkSession.sparkContext.broadcast(reached)
+def _scan(shard: DataFrame, sent: Broadcast, step: int, shards: int, longest: int, most: int = 1 << 23) -> DataFrame:
+    """Counts of one shard's phrases at this step. sent: the array of what is reached, compressed."""
 
-    def flushed(lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def flushed(lang: str, texts: list[bytes], reached: np.ndarray) -> Iterator[pa.RecordBatch]:
         for part in _parts(b"\n".join(texts).lower().translate(_ENDS), most):  # lower() of bytes changes A-Z alone
             w, words = words_of(part)
             if words:
-                yield from counted(w, words, lang, sent.value, step, shards, longest)
+                yield from counted(w, words, lang, reached, step, shards, longest)
 
     def run(batches):
+        reached = np.frombuffer(zlib.decompress(sent.value), dtype=np.uint8)
         held: dict[str, list[bytes]] = {}
         size = 0
         for b in batches:
@@ -119,10 +121,10 @@ def _scan(shard: DataFrame, reached: np.ndarray, step: int, shards: int, longest
                 size += len(text)
                 if size > most:
                     for one, texts in held.items():
-                        yield from flushed(one, texts)
+                        yield from flushed(one, texts, reached)
                     held, size = {}, 0
         for one, texts in held.items():
-            yield from flushed(one, texts)
+            yield from flushed(one, texts, reached)
 
     return shard.select("lang", "text").mapInArrow(run, _COUNTS)
 
@@ -161,7 +163,9 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     reached = np.zeros(slots, dtype=np.uint8)
     open_, done, sizes, step, last = spark.createDataFrame([], _COUNTS), [], None, 0, 0
     while step < shards or step < last + shards:
-        total = written(_summed(open_, _scan(table.where(F.col("shard") == step % shards), reached, step, shards, longest)), "phrase-counts")
+        sent = spark.sparkContext.broadcast(zlib.compress(reached.tobytes(), 1))
+        total = written(_summed(open_, _scan(table.where(F.col("shard") == step % shards), sent, step, shards, longest)), "phrase-counts")
+        sent.destroy()  # what was read with it is written
         if step > 0:
             dropped(open_)
         if step == shards - 1:
