@@ -56,12 +56,14 @@ def build_index(objects: DataFrame, indexed_at: int | None = None) -> Index:
 
 
 def index_of(parsed: DataFrame, indexed_at: int | None = None) -> Index:
-    """Child tables carry document_id and nothing of the text; documents folds the searched columns in."""
+    """Child tables carry document_id and nothing of the text; documents folds the searched columns in. parsed may hold the tokens of the ranked columns (tokens), which then aren't cut again."""
     one = F.col("id").alias("document_id")
+    columns = {"title": "title", "headings": "heading_text", "tags": "tag_text", "body": "body"}
+    tokens = [F.col(f"tokens.{n}") if "tokens" in parsed.columns else text.tokenize(F.coalesce(c, F.lit(""))) for n, c in columns.items()]
     documents = parsed.select(
         "id", "key", F.col("etag").alias("indexed_etag"), "content_sha256", "title", keys.content_type(F.col("key")).alias("content_type"), "modified_ms", "size",
         F.lit(INDEX_VERSION).alias("index_version"), F.lit(indexed_at).cast("long").alias("indexed_at"), "body", "heading_text", "tag_text",
-        sum((F.size(text.tokenize(F.coalesce(c, F.lit("")))) for c in ("title", "heading_text", "tag_text", "body")), F.lit(0)).alias("length"),
+        sum(map(F.size, tokens), F.lit(0)).alias("length"),
     )
     headings = parsed.select(one, F.posexplode("headings").alias("ordinal", "h")).select("document_id", "ordinal", "h.level", "h.text", "h.line")
     front = parsed.select(one, F.explode(F.from_json("front", "map<string,string>")).alias("field", "value")).withColumn("value", F.coalesce("value", F.lit("null")))

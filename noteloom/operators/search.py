@@ -6,6 +6,7 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,31 +93,40 @@ def plan_text_query(query: str) -> Plan:
 
 
 def build_postings(index: Index) -> DataFrame:
-    """(document_id, column, token, n, positions): the tokens of one column of a document are grouped inside its row, so nothing is shuffled."""
-    rows = index.documents.select(F.col("id").alias("document_id"), *[text.tokenize(F.coalesce(F.col(c), F.lit(""))).alias(n) for n, c in COLUMNS.items()])
+    """(document_id, column, token, n, positions) of every document."""
+    return postings_of(index.documents.select(F.col("id").alias("document_id"), *tokens_by_column().values()))
+
+
+def tokens_by_column() -> dict[str, Column]:
+    return {n: text.tokenize(F.coalesce(F.col(c), F.lit(""))).alias(n) for n, c in COLUMNS.items()}
+
+
+def postings_of(rows: DataFrame) -> DataFrame:
+    """rows: document_id and an array of tokens for each ranked column. The tokens of one column of a document are grouped inside a batch, so nothing is shuffled."""
     names = list(COLUMNS)
 
     def run(batches):
         for b in batches:
-            ids, out = b.column("document_id").to_pylist(), []
-            for name in names:
-                for i, tokens in zip(ids, b.column(name).to_pylist(), strict=True):
-                    at: dict[str, list[int]] = {}
-                    for k, t in enumerate(tokens):
-                        at.setdefault(t, []).append(k)
-                    out += [(i, name, t, len(p), p) for t, p in at.items()]
-                    if len(out) > 1 << 16:
-                        yield _batch(out)
-                        out = []
-            if out:
-                yield _batch(out)
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                for name in names:
+                    yield _grouped(name, part.column("document_id"), part.column(name))
 
     return rows.mapInArrow(run, "document_id long, column string, token string, n long, positions array<int>")
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32())]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["document_id", "column", "token", "n", "positions"])
+def _grouped(name: str, ids: pa.Array, lists: pa.ListArray) -> pa.RecordBatch:
+    """The postings of one column: places sorted by document and token, cut where either changes."""
+    size = np.diff(lists.offsets.to_numpy())
+    tokens = lists.flatten().dictionary_encode()
+    document, code = np.repeat(np.arange(len(size)), size), tokens.indices.to_numpy().astype(np.int64)
+    place = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+    by = np.lexsort((code, document))
+    document, code = document[by], code[by]
+    new = np.flatnonzero(np.concatenate([np.ones(min(len(by), 1), bool), (document[1:] != document[:-1]) | (code[1:] != code[:-1])]))
+    ends = np.append(new, len(by)).astype(np.int32)
+    cols = [ids.take(pa.array(document[new])), pa.array([name] * len(new), pa.string()), tokens.dictionary.take(pa.array(code[new])), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(place[by].astype(np.int32)))]
+    return pa.RecordBatch.from_arrays(cols, ["document_id", "column", "token", "n", "positions"])
 
 
 def _occurrences(tokens: Column, term: tuple[str, ...]) -> Column:

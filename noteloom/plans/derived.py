@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from noteloom.sources.io import spread
+
 VAULT = """
 SELECT doc_id AS id, key, md5(text) AS etag, CAST(bit_length(text) / 8 AS BIGINT) AS size, 1704067200000 + ((doc_id * 37) % 100000) * 60000 AS modified_ms, text FROM (
 SELECT doc_id, key,
@@ -43,7 +45,7 @@ FROM events
 
 
 def vault(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(VAULT.replace("FROM documents)", "FROM {docs})"), docs=spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return spark.sql(VAULT.replace("FROM documents)", "FROM {docs})"), docs=spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
 
 
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:

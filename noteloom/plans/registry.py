@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +9,8 @@ from pyspark.sql import functions as F
 
 from noteloom.functions import keys
 from noteloom.operators import edits, index, links, search, stats, tags
-from noteloom.sources import io
-from noteloom.sources.shared import shared_dir
+from noteloom.sources import io, segments
+from noteloom.sources.shared import folder
 
 from .derived import BASE, journal, vault
 
@@ -35,14 +34,22 @@ INDEXED_AT = 1704067200000 + 9_000_000_000
 _published: dict[tuple, index.Index] = {}
 
 
+def stamp(spark: SparkSession, sf: str, *tables: str) -> tuple:
+    """What tells whether tables below a folder have changed: session, files, sizes, times of change."""
+    found = []
+    for t in tables:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/{t}.parquet")
+        files = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(at)
+        found += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files]
+    return (spark.sparkContext.applicationId, sf, *sorted(found))
+
+
 def stored_index(spark: SparkSession, sf: str) -> index.Index:
     """The index of the vault below a folder, published on the first question and read by all others of the session; anew when the table's files change."""
-    source = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/documents.parquet")
-    at = source.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(source)
-    stamp = (spark.sparkContext.applicationId, sf, at.getLength(), at.getFileCount())
-    if stamp not in _published:
-        _published[stamp] = io.publish(vault(spark, sf), f"{shared_dir(spark)}/index-{uuid.uuid4().hex[:12]}", "1", INDEXED_AT)
-    return _published[stamp]
+    key = stamp(spark, sf, "documents")
+    if key not in _published:
+        _published[key] = io.publish(vault(spark, sf), folder(spark, "index"), "1", INDEXED_AT)
+    return _published[key]
 
 
 def over_index(name: str, f: Callable[[index.Index], DataFrame], sql: str | None = None) -> None:
@@ -164,8 +171,9 @@ _C = "len(list_filter({c}, lambda x: x = '{t}'))"
 _W = lambda t: "(10.0 * " + _C.format(c="ti", t=t) + " + 4.0 * " + _C.format(c="he", t=t) + " + 2.0 * " + _C.format(c="ta", t=t) + " + " + _C.format(c="bo", t=t) + ")"
 _S = lambda k: f"greatest(ln(((SELECT count(*) FROM w) - (SELECT count(*) FROM w WHERE w{k} > 0) + 0.5) / ((SELECT count(*) FROM w WHERE w{k} > 0) + 0.5)), 1e-6) * w{k} * 2.2 / (w{k} + 1.2 * (0.25 + 0.75 * n / (SELECT avg(n) FROM w)))"
 _ROWS = ", u AS (SELECT id AS document_id, 'title' AS \"column\", ti AS xs FROM t UNION ALL SELECT id, 'headings', he FROM t UNION ALL SELECT id, 'tags', ta FROM t UNION ALL SELECT id, 'body', bo FROM t) "
+_postings = lambda x: x.postings.select("document_id", "column", "token", "n", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 over_index(
-    "build_postings", lambda x: x.postings.select("document_id", "column", "token", "n", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions")),
+    "build_postings", _postings,
     _T + _ROWS + "SELECT document_id, \"column\", token, count(*) AS n, string_agg(CAST(k - 1 AS VARCHAR), ',' ORDER BY k) AS positions FROM (SELECT document_id, \"column\", unnest(xs) AS token, generate_subscripts(xs, 1) AS k FROM u) AS p GROUP BY ALL",
 )
 _WORDS = "list_filter(string_split_regex(coalesce(body, ''), '\\s+'), lambda x: x <> '')"
@@ -177,7 +185,38 @@ def _shown(terms: str) -> str:
 
 
 _BM = f"SELECT key, title, modified_ms, size, len(ti) + len(he) + len(ta) + len(bo) AS n, {_W('part')} AS w0, {_W('alpha')} AS w1, {_W('t3')} AS w2, body FROM t JOIN (SELECT id, size, body FROM documents_) d USING (id)"
-over_index("search_bm25", lambda x: search.search_bm25(x, "part alpha NOT t3", limit=40).withColumn("score", F.round("score", 6)), _T + f", w AS ({_BM}) SELECT key, title, modified_ms, size, round(-({_S(0)} + {_S(1)} + {_S(2)}), 6) AS score, {_shown('part|alpha|t3')} AS snippet FROM w WHERE w0 > 0 AND w1 > 0 AND NOT w2 > 0 ORDER BY ({_S(0)} + {_S(1)} + {_S(2)}) DESC, key LIMIT 40")
+_bm25 = lambda x: search.search_bm25(x, "part alpha NOT t3", limit=40).withColumn("score", F.round("score", 6))
+over_index("search_bm25", _bm25, _T + f", w AS ({_BM}) SELECT key, title, modified_ms, size, round(-({_S(0)} + {_S(1)} + {_S(2)}), 6) AS score, {_shown('part|alpha|t3')} AS snippet FROM w WHERE w0 > 0 AND w1 > 0 AND NOT w2 > 0 ORDER BY ({_S(0)} + {_S(1)} + {_S(2)}) DESC, key LIMIT 40")
+
+
+# The same vault, published in parts: an older state of some notes first, then two batches of changes, which are merged into one segment.
+_SEGMENTED: dict[tuple, str] = {}
+
+
+def segmented(spark: SparkSession, sf: str) -> str:
+    key = stamp(spark, sf, "documents")
+    if key not in _SEGMENTED:
+        now, at = vault(spark, sf), folder(spark, "segments")
+        was = now.where("id % 97 <> 5").withColumn("text", F.when(F.col("id") % 100 == 1, F.concat(F.lit("# Was\n\nan older text #old "), "id")).otherwise(F.col("text")))
+        later_gone = now.where("id % 50 = 3").select((F.col("id") + 10_000_000_000).alias("id"), F.concat(F.lit("gone/"), "key").alias("key"), "etag", "size", "modified_ms", F.lit("part alpha gone").alias("text"))
+        segments.publish_changes(was.unionByName(later_gone), at, indexed_at=INDEXED_AT)
+        segments.publish_changes(now.where("id % 100 = 1"), at, indexed_at=INDEXED_AT)
+        segments.publish_changes(now.where("id % 97 = 5"), at, later_gone.select("id"), INDEXED_AT)
+        segments.merge_segments(spark, at, 2)
+        _SEGMENTED[key] = at
+    return _SEGMENTED[key]
+
+
+def over_segments(name: str, f: Callable[[index.Index], DataFrame], sql: str) -> None:
+    query(name, sql)(lambda spark, sf: f(segments.read_segments(spark, segmented(spark, sf))))
+
+
+over_segments("segment_postings", _postings, ORACLES["build_postings"][len(BASE) :])
+over_segments("segment_search", _bm25, ORACLES["search_bm25"][len(BASE) :])
+over_segments("segment_degrees", links.degrees, "SELECT * FROM degrees")
+query("segment_rows", "SELECT publishes, count(*) AS notes, CAST(sum(id) AS BIGINT) AS ids FROM (SELECT '1-1' AS publishes, id FROM notes WHERE id % 97 <> 5 UNION ALL SELECT '1-1', id + 10000000000 FROM notes WHERE id % 50 = 3 UNION ALL SELECT '2-3', id FROM notes WHERE id % 97 = 5 OR id % 100 = 1) AS s GROUP BY 1")(
+    lambda spark, sf: segments.segment_rows(spark, segmented(spark, sf)).groupBy("publishes").agg(F.count("*").alias("notes"), F.sum("document_id").alias("ids"))
+)
 over_index("search_phrase", lambda x: search.search_phrase(x, "心率 徒步", limit=50), "SELECT key, title, modified_ms, size, CAST(10 + (length(body) - length(replace(body, '心率', ''))) // 2 AS BIGINT) AS score, CASE WHEN instr(body, '心率') > 60 THEN '…' ELSE '' END || substr(body, greatest(1, instr(body, '心率') - 60), 150) AS snippet FROM documents_ WHERE contains(body, '心率') AND contains(body, '徒步') ORDER BY score DESC, modified_ms DESC, key LIMIT 50")
 over_index("search_filename", lambda x: search.search_filename(x, "N17"), "SELECT key, modified_ms FROM notes WHERE contains(lower(key), 'n17') ORDER BY modified_ms DESC, key LIMIT 20")
 _Q = "CASE WHEN stem = 'n1' OR base = 'n1' THEN 'exact' WHEN starts_with(base, 'n1') THEN 'prefix' WHEN contains(base, 'n1') THEN 'substring' WHEN contains(lower(key), 'n1') THEN 'path' END AS quality"

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.functions import keys, text
-from noteloom.operators import audit, index, recovery, vectors
+from noteloom.operators import audit, index, recovery, vector_index, vectors
 from noteloom.operators import journal as J
-from noteloom.sources.shared import shared_dir, stored
+from noteloom.sources.shared import folder, stored
 from noteloom.streaming import journal as streams
 
 from .derived import BASE, JBASE, journal, vault
-from .registry import over_objects, query
+from .registry import over_objects, query, stamp
 
 NOW = 1704067200000 + 4_000_000
 
@@ -204,11 +202,30 @@ def _top_k(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.top_k(e, asked, 10, "vec_id").select("query_id", "vec_id", "rank")
 
 
+_VECTORS: dict[tuple, vector_index.VectorIndex] = {}
+
+
+def _indexed(spark: SparkSession, sf: str) -> tuple[vector_index.VectorIndex, DataFrame]:
+    """The index of the embeddings, built once a session, and every twentieth of them as queries."""
+    e, key = spark.read.parquet(f"{sf}/embeddings.parquet"), stamp(spark, sf, "embeddings")
+    if key not in _VECTORS:
+        _VECTORS[key] = vector_index.build_vector_index(e, "vec_id")
+    return _VECTORS[key], e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
 @query("top_k_twentieth", "SELECT q AS query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM (SELECT q.vec_id AS q, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0) AS t WHERE rank <= 10", "")
 def _top_k_twentieth(spark: SparkSession, sf: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return vectors.top_k(e, asked, 10, "vec_id").select("query_id", "vec_id", "rank")
+    """As top_k, from inverted lists, to the end."""
+    return vector_index.nearest(*_indexed(spark, sf), 10).select("query_id", "vec_id", "rank")
+
+
+@query("vector_recall", " SELECT count(*) FILTER (vec_id % 20 = 0) AS queries, count(*) FILTER (vec_id % 20 = 0) * least(10, count(*)) AS nearest, TRUE AS enough FROM embeddings", "")
+def _recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Queries, their nearest, and whether two thirds of the lists hold over nine tenths of them (the vectors are random, so lists prune little)."""
+    x, asked = _indexed(spark, sf)
+    some = vector_index.nearest(x, asked, 10, probes=2 * len(x.centers) // 3 + 1, exact=False).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    both = vectors.top_k(spark.read.parquet(f"{sf}/embeddings.parquet"), asked, 10, "vec_id").join(some, ["query_id", "vec_id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("nearest"), (F.avg(F.coalesce("hit", F.lit(0))) > 0.9).alias("enough"))
 
 
 # Recovery: a store of versions and deletion records made from the notes
@@ -254,7 +271,7 @@ over_objects("absent_keys", lambda o: recovery.absent_keys(o.select(F.when(F.col
 
 # Streams: the journal, written as files, run through to its end
 def _streamed(spark: SparkSession, sf: str):
-    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    at = folder(spark, "stream")
     journal(spark, sf).repartitionByRange(4, "seq").sortWithinPartitions("seq").write.parquet(f"{at}/in")
     return at, spark.readStream.schema(J.EVENT).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
 

@@ -38,14 +38,38 @@ def journal_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -
     return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df as it is, or dealt anew where its files have fewer splits than the cluster has cores: one file of texts would be parsed by one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def by_token(postings: DataFrame, ways: int = 16) -> DataFrame:
+    """Postings in files by hash of the token, in order of token and document, so that a token reads few row groups. A token's documents are dealt to `ways` files at most, so a
+    frequent one is no single task's."""
+    return postings.repartition(F.xxhash64("token", F.pmod("document_id", F.lit(ways)))).sortWithinPartitions("token", "document_id")
+
+
+def tokenized(parsed: DataFrame) -> DataFrame:
+    """parsed notes with the tokens of their ranked columns, cut once for lengths and postings."""
+    return parsed.withColumn("tokens", F.struct(*search.tokens_by_column().values()))
+
+
+def index_tables(parsed: DataFrame, indexed_at: int | None = None) -> Index:
+    """The index tables of stored parsed notes with tokens, postings too."""
+    index = index_of(parsed, indexed_at)
+    index.postings = search.postings_of(parsed.select(F.col("id").alias("document_id"), "tokens.*"))
+    return index
+
+
 def write_index(index: Index, path: str, revision: str) -> None:
-    """Children first, documents last: a revision exists once its documents do, and readers go through them. Postings lie in order of their tokens, so that a token reads few of their row groups."""
+    """Children first, documents last: a revision exists once its documents do, and readers go through them."""
     for name in TABLES:
         rows = getattr(index, name)
         if rows is None and name == "postings":
             rows = search.build_postings(index)
         if name == "postings":
-            rows = rows.repartitionByRange("token", "document_id").sortWithinPartitions("token", "document_id")
+            rows = by_token(rows)
         rows.write.mode("overwrite").parquet(f"{path}/{name}/revision={revision}")
     index.documents.write.mode("overwrite").parquet(f"{path}/documents/revision={revision}")
 
@@ -53,8 +77,8 @@ def write_index(index: Index, path: str, revision: str) -> None:
 def publish(objects: DataFrame, path: str, revision: str, indexed_at: int | None = None) -> Index:
     """Parse the objects once, store every index table, and return the stored index."""
     spark, parsed = objects.sparkSession, f"{path}/parsed/revision={revision}"
-    parse_documents(objects).drop("text").write.mode("overwrite").parquet(parsed)
-    write_index(index_of(spark.read.parquet(parsed), indexed_at), path, revision)
+    tokenized(parse_documents(objects).drop("text")).write.mode("overwrite").parquet(parsed)
+    write_index(index_tables(spark.read.parquet(parsed), indexed_at), path, revision)
     return read_index(spark, path, revision)
 
 

@@ -30,6 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
 _made: list[str] = []
 
 
+def folder(spark: SparkSession, tag: str) -> str:
+    """A new place in the shared folder, which goes with the session at the latest."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+    if not _made:
+        atexit.register(_forget)
+    _made.append(path)
+    return path
+
+
 def stored(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     """df written as Parquet into the shared folder and read back: lineage ends there, and what several branches of a plan read is computed once.
 
@@ -37,10 +46,7 @@ def stored(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
 
     The tables a session has made go with it, at the latest when Python ends; drop() deletes one before.
     """
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex[:12]}"
-    if not _made:
-        atexit.register(_forget)
-    _made.append(path)
+    path = folder(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._noteloom_path = path
@@ -52,11 +58,20 @@ def _delete(jvm, conf, path: str) -> None:
     at.getFileSystem(conf).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    _delete(spark._jvm, spark._jsparkSession.sessionState().newHadoopConf(), path)
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table made by stored() that nothing reads any more."""
     path = getattr(df, "_noteloom_path", None)
     if path:
-        _delete(df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf(), path)
+        delete(df.sparkSession, path)
         _made.remove(path)
 
 
