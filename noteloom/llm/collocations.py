@@ -1,8 +1,8 @@
 """Phrases that collocate, by dynamic itemset counting over shards of the documents.
 
 Documents are dealt to shards once. The shards are scanned in a cycle, all lengths at a time: a phrase is counted from the step on at which both its subphrases
-(without its last and without its first word) have reached the threshold, and for one full cycle from there, so that every shard is counted once. Its exact
-count may let longer phrases begin in turn. It ends when no phrase is inside its cycle: most phrases begin in the first few shards, so there are far
+(without its last and without its first word) have reached the threshold, and for one full cycle from there, so that every shard is counted once. A phrase reaches it
+early by the count of a single task, or when its cycle ends and its rows are added up: each row is shuffled once. It ends when no phrase is inside its cycle: most phrases begin in the first few shards, so there are far
 fewer scans than one for each length and shard.
 
 What has reached the threshold is told to the tasks by an array of fixed size: the step from which a phrase's hash counts as reached. A place is set once and
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -63,42 +64,50 @@ def words_of(data: bytes) -> tuple[np.ndarray, list[str]]:
     return number[place], [distinct[k] for k in real]
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return pd.factorize(keys)
+def _coded(w: np.ndarray, at: np.ndarray, k: int, words: int) -> np.ndarray:
+    """A number for each phrase of k words that begins at these places, the same for equal ones."""
+    code = w[at]
+    for j in range(1, k):
+        code = pd.factorize(code * words + w[at + j])[0]
+    return code
 
 
 def counted(w: np.ndarray, words: list[str], lang: str, reached: np.ndarray, step: int, shards: int, longest: int) -> Iterator[pa.RecordBatch]:
     """Counts of the phrases that are inside their cycle at this step. reached: by hash, the step from which a phrase is reached, or 0."""
     mask, seed = np.uint64(len(reached) - 1), xxhash.xxh32_intdigest(lang.encode())
     own = np.array([xxhash.xxh3_64_intdigest(x.encode(), seed) for x in words], dtype=np.uint64)
-    hashes, from_ = own, np.zeros(len(words), dtype=np.int32)
-    shape, counts = np.arange(len(words))[:, None], np.bincount(w[w >= 0], minlength=len(words))
-    held = w  # at each place, the number of the phrase of the present length that begins there, or -1
-    last = np.arange(len(words))
-    for k in range(1, longest + 1):
-        now = np.flatnonzero((from_ <= step) & (step < from_ + shards))
-        for at in range(0, len(now), 1 << 16):
-            some = now[at : at + (1 << 16)]
-            phrases = [" ".join(map(words.__getitem__, r)) for r in shape[some].tolist()] if k > 1 else list(map(words.__getitem__, some.tolist()))
-            n = len(some)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(np.full(n, k, np.int32)), pa.array(hashes[some].view(np.int64)), pa.array(phrases, pa.string()), pa.array(from_[some]), pa.array(counts[some].astype(np.int64))], schema=_SCHEMA)
-        if k == longest:
-            return
+
+    def batches(k: int, at: np.ndarray, hashes: np.ndarray, from_: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of the phrases of k words at some places, each once with its count."""
+        code = _coded(w, at, k, len(words))
+        n = int(code.max()) + 1
+        counts, one = np.bincount(code, minlength=n), np.zeros(n, dtype=np.int64)
+        one[code] = np.arange(len(at))
+        for lo in range(0, n, 1 << 16):
+            some = one[lo : lo + (1 << 16)]
+            parts = [map(words.__getitem__, w[at[some] + j].tolist()) for j in range(k)]
+            phrases = list(map(" ".join, zip(*parts, strict=True))) if k > 1 else list(parts[0])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(np.full(len(some), k, np.int32)), pa.array(hashes[some].view(np.int64)), pa.array(phrases, pa.string()), pa.array(from_[some]), pa.array(counts[lo : lo + (1 << 16)].astype(np.int64))], schema=_SCHEMA)
+
+    at = np.flatnonzero(w >= 0)
+    hashes = own[w[at]]
+    if step < shards and len(at):
+        yield from batches(1, at, hashes, np.zeros(len(at), np.int32))
+    last = np.zeros(len(w), dtype=np.uint64)  # each place's word, by its hash
+    last[at] = hashes
+    for k in range(2, longest + 1):
         known = reached[hashes & mask].astype(np.int32)
-        ok = np.zeros(len(held), dtype=bool)
-        ok[held >= 0] = known[held[held >= 0]] > 0
-        at = np.flatnonzero(ok[:-1] & ok[1:])
-        if not len(at):
+        some = np.flatnonzero(known)
+        at, hashes, known = at[some], hashes[some], known[some]
+        next_ = np.flatnonzero(at[1:] == at[:-1] + 1)  # both its subphrases are reached
+        if not len(next_):
             return
-        code, keys = _distinct(held[at] * len(hashes) + held[at + 1])
-        first, second = np.divmod(keys, len(hashes))
-        counts = np.bincount(code, minlength=len(keys))
-        from_ = np.maximum(known[first], known[second])
-        last = last[second]
-        shape = np.column_stack([shape[first], last])
-        hashes = _mixed(hashes[first] * _ODD + own[last])
-        held = np.full(len(held), -1, dtype=np.int64)
-        held[at] = code
+        from_ = np.maximum(known[next_], known[next_ + 1])
+        at = at[next_]
+        hashes = _mixed(hashes[next_] * _ODD + last[at + k - 1])
+        now = np.flatnonzero(step < from_ + shards)
+        if len(now):
+            yield from batches(k, at[now], hashes[now], from_[now])
 
 
 def _scan(shard: DataFrame, sent: Broadcast, step: int, shards: int, longest: int, most: int = 1 << 23) -> DataFrame:
@@ -129,13 +138,6 @@ def _scan(shard: DataFrame, sent: Broadcast, step: int, shards: int, longest: in
     return shard.select("lang", "text").mapInArrow(run, _COUNTS)
 
 
-def _summed(*tables: DataFrame) -> DataFrame:
-    rows = tables[0]
-    for t in tables[1:]:
-        rows = rows.unionByName(t)
-    return rows.groupBy("lang", "k", "h", "phrase").agg(F.min("act").alias("act"), F.sum("c").alias("c"))
-
-
 def _newly(rows: DataFrame, reached: np.ndarray, step: int) -> bool:
     """Set the places of rows' hashes that aren't set yet. What comes to the driver is a bitmap: slots / 8 bytes at most."""
     slot = F.col("h").bitwiseAND(F.lit(len(reached) - 1)) + 1
@@ -161,30 +163,29 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     dealt = docs.select(F.coalesce(F.col("`lang`").cast("string"), F.lit("und")).alias("lang"), F.col("`text`").alias("text"), F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"))
     table = written(dealt.where("text <> ''"), "phrase-shards", "shard")
     reached = np.zeros(slots, dtype=np.uint8)
-    open_, done, sizes, step, last = spark.createDataFrame([], _COUNTS), [], None, 0, 0
+    counts: list[DataFrame] = []  # of the steps of one cycle; a phrase's rows lie under the step it began at
+    done, sizes, step, last = [], None, 0, 0
     while step < shards or step < last + shards:
         sent = spark.sparkContext.broadcast(zlib.compress(reached.tobytes(), 1))
-        total = written(_summed(open_, _scan(table.where(F.col("shard") == step % shards), sent, step, shards, longest)), "phrase-counts")
+        counts.append(written(_scan(table.where(F.col("shard") == step % shards), sent, step, shards, longest), "phrase-counts", "act"))
         sent.destroy()  # what was read with it is written
-        if step > 0:
-            dropped(open_)
-        if step == shards - 1:
-            sizes = written(total.where("k = 1").groupBy("lang").agg(F.sum("c").alias("n")), "phrase-words")
-        often = total.where(F.col("c") >= least)
-        if _newly(often.where(F.col("k") < longest), reached, step + 1):
-            last = step + 1
-        ended = F.col("act") + shards - 1 <= step
+        # Reached by the count of one task alone: less than its count, so it holds; all others are told when their cycle ends.
+        new = _newly(counts[-1].where((F.col("c") >= least) & (F.col("k") < longest)), reached, step + 1)
         if step >= shards - 1:
-            done.append(written(often.where(ended).select("lang", "k", "phrase", "c"), "phrases"))
-        open_, kept = total.where(~ended), total
-        open_._noteloom_path = getattr(kept, "_noteloom_path", None)  # the table goes when what reads it goes
+            began = step - shards + 1
+            ended = reduce(DataFrame.unionByName, [t.where(F.col("act") == began) for t in counts])
+            if began == 0:
+                sizes = written(ended.where("k = 1").groupBy("lang").agg(F.sum("c").alias("n")), "phrase-words")
+            total = ended.groupBy("lang", "k", "h", "phrase").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+            done.append(written(total, "phrases"))
+            new |= _newly(done[-1].where(F.col("k") < longest), reached, step + 1)
+            dropped(counts.pop(0))
+        if new:
+            last = step + 1
         step += 1
-    dropped(open_)
-    dropped(table)
-    found = done[0]
-    for d in done[1:]:
-        found = found.unionByName(d)
-    return found, sizes
+    for t in (*counts, table):
+        dropped(t)
+    return reduce(DataFrame.unionByName, done).drop("h"), sizes
 
 
 def _cut(k: int) -> list[Column]:
