@@ -124,6 +124,8 @@ def _asked(queries: DataFrame, index: VectorIndex, probes: int, rest: bool) -> D
 
     def run(batches):
         centers, far, blocks = sent.value
+        if not len(centers):
+            return
         norms = (centers**2).sum(axis=1)
         for b in batches:
             x = _vectors(b.column("unit"))
