@@ -110,7 +110,7 @@ def counted(w: np.ndarray, words: list[str], lang: str, reached: np.ndarray, ste
             yield from batches(k, at[now], hashes[now], from_[now])
 
 
-def _scan(shard: DataFrame, sent: Broadcast, step: int, shards: int, longest: int, most: int = 1 << 23) -> DataFrame:
+def _scan(shard: DataFrame, sent: Broadcast, step: int, shards: int, longest: int, most: int = 12 << 20) -> DataFrame:
     """Counts of one shard's phrases at this step. sent: the array of what is reached, compressed."""
 
     def flushed(lang: str, texts: list[bytes], reached: np.ndarray) -> Iterator[pa.RecordBatch]:
