@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from noteloom.functions import keys, text
 from noteloom.operators import audit, index, recovery, vector_index, vectors
 from noteloom.operators import journal as J
+from noteloom.sources import io, segments
 from noteloom.sources.shared import folder, stored
 from noteloom.streaming import journal as streams
 
-from .derived import BASE, JBASE, journal, vault
+from .derived import BASE, JBASE, VAULT, journal, vault
 from .registry import over_objects, query, stamp
 
 NOW = 1704067200000 + 4_000_000
@@ -270,10 +271,10 @@ over_objects("absent_keys", lambda o: recovery.absent_keys(o.select(F.when(F.col
 
 
 # Streams: the journal, written as files, run through to its end
-def _streamed(spark: SparkSession, sf: str):
+def _streamed(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
     at = folder(spark, "stream")
     journal(spark, sf).repartitionByRange(4, "seq").sortWithinPartitions("seq").write.parquet(f"{at}/in")
-    return at, spark.readStream.schema(J.EVENT).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+    return at, io.journal_stream(spark, f"{at}/in", 2)
 
 
 def _finished(q) -> None:
@@ -282,67 +283,80 @@ def _finished(q) -> None:
         raise q.exception()
 
 
-_ONCE = JBASE.replace("WITH journal AS (SELECT * FROM (", "WITH journal AS (SELECT * FROM (").rsplit(") AS j)", 1)[0] + ") AS j QUALIFY row_number() OVER (PARTITION BY mutation_id ORDER BY seq) = 1)"
+def _changes(spark: SparkSession, sf: str, f, schema: str) -> DataFrame:
+    """What f makes of the journal's stream, as files."""
+    at, stream = _streamed(spark, sf)
+    _finished(streams.written_to(f(stream), f"{at}/out", f"{at}/checkpoint"))
+    return spark.read.schema(schema).parquet(f"{at}/out")
 
 
-def _kept_dirty(spark: SparkSession, sf: str) -> streams.Table:
-    at, stream = _streamed(spark, sf)
-    dirty, seen = streams.dirty_table(spark, f"{at}/dirty"), streams.seen_table(spark, f"{at}/seen")
-    _finished(streams.stream_dirty_set(stream, dirty, seen, f"{at}/checkpoint"))
-    return dirty
+_ONCE = JBASE.rsplit(") AS j)", 1)[0] + ") AS j QUALIFY row_number() OVER (PARTITION BY mutation_id ORDER BY seq) = 1)"
+_LATEST = "(SELECT max(committed_at) FROM journal)"  # where the time of the events stands at the end
+
+
+query("read_journal", " SELECT source, op, count(*) AS facts, min(seq) AS first_seq, max(seq) AS last_seq, CAST(sum(size) AS BIGINT) AS bytes FROM journal GROUP BY 1, 2", JBASE)(
+    lambda spark, sf: io.read_journal(spark, f"{_streamed(spark, sf)[0]}/in").groupBy("source", "op").agg(F.count("*").alias("facts"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.sum("size").alias("bytes"))
+)
 
 
-@query("stream_dirty_set", _DIRTY + " SELECT path, action, target_etag, source, not_before, updated_at, seq FROM dirty", _ONCE)
+@query("stream_dirty_set", _DIRTY + " SELECT path, action, target_etag, source, not_before, first_dirty_at, updated_at, seq FROM dirty", _ONCE)
 def _stream_dirty(spark: SparkSession, sf: str) -> DataFrame:
-    return _kept_dirty(spark, sf).read().select("path", "action", "target_etag", "source", "not_before", "updated_at", "seq")
+    return streams.current_dirty(_changes(spark, sf, streams.stream_dirty_set, streams.DIRTY)).select("path", "action", "target_etag", "source", "not_before", "first_dirty_at", "updated_at", "seq")
 
 
-@query("stream_debounce", _DIRTY + f" SELECT path, action, not_before <= {NOW} AS emitted FROM dirty", _ONCE)
+@query("stream_debounce", _DIRTY + f" SELECT path, action, not_before < {_LATEST} AS emitted FROM dirty", _ONCE)
 def _stream_debounce(spark: SparkSession, sf: str) -> DataFrame:
-    dirty = _kept_dirty(spark, sf)
-    first = streams.debounced(dirty, NOW, None).select("path", "action", F.lit(True).alias("emitted"))
-    later = streams.debounced(dirty, 1 << 60, None).join(first.select("path"), "path", "left_anti").select("path", "action", F.lit(False))
-    return first.union(later)
+    """Each path in its last state, and whether its timer has gone off by the time of the last event."""
+    return streams.current_dirty(_changes(spark, sf, streams.stream_dirty_set, streams.DIRTY)).select("path", "action", F.col("told").alias("emitted"))
 
 
-@query("stream_index", _DIRTY + f" SELECT path, action, target_etag, seq, CASE WHEN not_before <= {NOW} THEN {NOW + 1} ELSE not_before END AS not_before FROM dirty WHERE not_before > {NOW} OR contains(path, '9.')", _ONCE)
+@query(
+    "stream_index",
+    ", objects AS (SELECT * FROM (" + VAULT + ") AS v)" + _DIRTY + f" SELECT dirty.path, action, dirty.seq, CASE WHEN not_before >= {_LATEST} THEN 0 WHEN contains(path, '9.') THEN 2 ELSE 1 END AS attempts, CASE WHEN not_before < {_LATEST} THEN o.etag END AS indexed_etag FROM dirty LEFT JOIN (SELECT key, etag FROM objects) o ON o.key = dirty.path",
+    _ONCE,
+)
 def _stream_index(spark: SparkSession, sf: str) -> DataFrame:
-    """What is left of the dirty set when all that was due was worked; paths with a 9 before the dot fail."""
+    """Each path in its last state: how often it was worked on by the time of the last event, and what the index holds of it then. Paths with a 9 before the dot fail the first time."""
     at, stream = _streamed(spark, sf)
-    o = stored(vault(spark, sf).select("key", "etag"), "listing")
-    dirty, seen = streams.dirty_table(spark, f"{at}/dirty"), streams.seen_table(spark, f"{at}/seen")
+    objects, columns = stored(vault(spark, sf), "listing"), "path string, seq long"
 
     def apply(due: DataFrame, n: int) -> DataFrame:
-        done = audit.apply_index_intents(due, o, drifted(vault(spark, sf)))
-        done.write.mode("overwrite").parquet(f"{at}/outcomes/batch={n}")
-        bad = F.col("path").contains("9.")
-        return due.select("path", "action", "target_etag", F.lit(NOW).cast("long").alias("started_at"), (~bad).alias("ok"), F.when(bad, "no answer").alias("error"), F.lit(NOW + 1).cast("long").alias("retry_at"))
+        bad = F.col("path").contains("9.") & (F.col("attempts") == 0)
+        due.select("path", "seq").write.mode("overwrite").parquet(f"{at}/worked/batch-{n}")
+        there = objects.join(due.where(~bad).select("path").distinct(), F.col("key") == F.col("path"), "left_semi")
+        segments.publish_changes(there, f"{at}/index", indexed_at=NOW)
+        return due.select("path", "seq", (~bad).alias("ok"), (F.col("not_before") + 1).alias("retry_at"))
+
+    _finished(streams.stream_index(stream, apply, f"{at}/retries", f"{at}/checkpoint", lambda: NOW))
+    streams.work(spark.createDataFrame([], streams.DIRTY), apply, f"{at}/retries", 1_000_000, 1 << 60)  # what failed in the last batch is tried again
+    worked = spark.read.schema(columns).option("recursiveFileLookup", "true").parquet(f"{at}/worked").groupBy("path", "seq").agg(F.count("*").cast("int").alias("attempts"))
+    final = streams.current_dirty(_dirty_changes(spark, at)).select("path", "action", "seq", "told")
+    indexed = segments.read_segments(spark, f"{at}/index").documents.select(F.col("key").alias("path"), "indexed_etag")
+    rows = final.join(worked, ["path", "seq"], "left").join(indexed, "path", "left")
+    return rows.select("path", "action", "seq", F.coalesce("attempts", F.lit(0)).alias("attempts"), F.when(F.col("told"), F.col("indexed_etag")).alias("indexed_etag"))
+
 
-    _finished(streams.stream_index(stream, apply, dirty, seen, f"{at}/checkpoint", NOW))
-    return dirty.read().select("path", "action", "target_etag", "seq", "not_before")
+def _dirty_changes(spark: SparkSession, at: str) -> DataFrame:
+    """The changes of the dirty set of the same files."""
+    _finished(streams.written_to(streams.stream_dirty_set(io.journal_stream(spark, f"{at}/in", 2)), f"{at}/dirty", f"{at}/dirty-checkpoint"))
+    return spark.read.schema(streams.DIRTY).parquet(f"{at}/dirty")
 
 
 @query("stream_deletions", _LAST.format(1 << 60) + " SELECT * FROM d", _ONCE)
 def _stream_deletions(spark: SparkSession, sf: str) -> DataFrame:
-    at, stream = _streamed(spark, sf)
-    last, seen = streams.last_table(spark, f"{at}/last"), streams.seen_table(spark, f"{at}/seen")
-    _finished(streams.stream_deletions(stream, last, seen, f"{at}/checkpoint"))
-    return streams.current_deletions(last)
+    return streams.current_deletions(_changes(spark, sf, streams.stream_deletions, streams.DELETION))
 
 
 @query("stream_outbox", " SELECT seq, mutation_id, CASE WHEN op = 'delete' THEN 'delete' ELSE 'put' END AS change, path, CASE WHEN op <> 'delete' THEN etag END AS etag FROM journal", _ONCE)
 def _stream_outbox(spark: SparkSession, sf: str) -> DataFrame:
     at, stream = _streamed(spark, sf)
-    seen = streams.seen_table(spark, f"{at}/seen")
-    _finished(streams.stream_outbox(stream, lambda df, n: df.write.mode("overwrite").parquet(f"{at}/sent/batch={n}"), seen, f"{at}/checkpoint"))
+    _finished(streams.stream_outbox(stream, lambda df, n: df.write.mode("overwrite").parquet(f"{at}/sent/batch={n}"), f"{at}/checkpoint"))
     return spark.read.schema(streams.OUTBOX).parquet(f"{at}/sent").select("seq", "mutation_id", "change", "path", "etag")
 
 
-@query("stream_dedupe", " SELECT mutation_id, count(*) AS rows FROM journal GROUP BY 1", _ONCE)
+@query("stream_dedupe", " SELECT mutation_id, seq, source, op, path FROM journal", _ONCE)
 def _stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    at, stream = _streamed(spark, sf)
-    _finished(streams.stream_dedupe(stream).writeStream.option("checkpointLocation", f"{at}/checkpoint").option("path", f"{at}/out").trigger(availableNow=True).start())
-    return spark.read.schema(J.EVENT).parquet(f"{at}/out").groupBy("mutation_id").agg(F.count("*").alias("rows"))
+    return _changes(spark, sf, streams.stream_dedupe, J.EVENT).select("mutation_id", "seq", "source", "op", "path")
 
 
 __all__ = ["BASE"]

@@ -46,8 +46,15 @@ def stored(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
 
     The tables a session has made go with it, at the latest when Python ends; drop() deletes one before.
     """
-    path = folder(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
+    path, conf, name = folder(df.sparkSession, tag), df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name, None)
+    try:
+        if by:  # a task keeps a file open for each of the few values, and doesn't sort its rows by them
+            conf.set(name, "64")
+        df.write.option("compression", "zstd").parquet(path, partitionBy=by)
+    finally:
+        if by:
+            conf.set(name, before) if before is not None else conf.unset(name)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._noteloom_path = path
     return out

@@ -1,180 +1,170 @@
-"""The journal as a stream. Order is seq, idempotence is by mutation id; state lives in tables that each micro-batch replaces."""
+"""The journal as a stream. Order is seq, idempotence is by mutation id; what must be remembered is Spark's own keyed state, with its timers.
+
+Each function gives a streaming DataFrame of changes, to be written by any sink; `written_to` runs one to the end of its input into files. Folding the changes
+(`current_dirty`, `current_deletions`) gives the present table, at any time. For large state set spark.sql.streaming.stateStore.providerClass to the RocksDB provider.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from noteloom.operators import journal as J
-from noteloom.sources.shared import stored
+from noteloom.sources.shared import drop, stored
+
+WORK = "path string, action string, target_etag string, source string, not_before long, updated_at long, seq long, attempts int, retry_at long"
+_KEPT = "action string, target_etag string, source string, not_before long, first_dirty_at long, updated_at long, seq long, part int, version long, told boolean"
+DIRTY = "path string, kind string, action string, target_etag string, source string, not_before long, first_dirty_at long, updated_at long, seq long, part int, version long"
+DELETION = "path string, change string, etag string, seq long, committed_at long, version long"
+OUTBOX = "seq long, mutation_id string, change string, path string, etag string"
 
 
-def stream_dedupe(events: DataFrame, keep: str = "1 hour") -> DataFrame:
-    """Repeats of a mutation id within the watermark go; memory is bounded by it. The exact form, over all time, is fold()."""
+def stream_dedupe(events: DataFrame, keep: str | None = None) -> DataFrame:
+    """Repeats of a mutation id go: for ever, as the journal never forgets; with `keep`, those within that time, and memory is bounded by it. Of repeats in one batch the one read first stays."""
+    if keep is None:
+        return events.dropDuplicates(["mutation_id"])
     timed = events.withColumn("__at", F.timestamp_millis("committed_at")).withWatermark("__at", keep)
     return timed.dropDuplicatesWithinWatermark(["mutation_id"]).drop("__at")
 
 
-class Table:
-    """State in Parquet, in buckets by the hash of a key. A batch writes only the buckets it touches, as version n of them; a repeated batch changes nothing.
-
-    Kept tables hold a bucket's newest version before the batch; append tables hold all versions of it, and are written together every COMPACT batches.
+def _none(x):
+    return None if x is None or x != x else x
+
+
+def _dirty() -> Callable:
+    """One path's intents: the newest (seq, part) has its say, not_before only grows, a timer tells when the wait is over."""
+    names, shown = ([c.split(" ")[0] for c in x.split(", ")] for x in (_KEPT, DIRTY))
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        old = dict(zip(names, state.get, strict=True)) if state.exists else None
+        row = lambda kind, s: pd.DataFrame([{"path": key[0], "kind": kind, **{c: s[c] for c in shown[2:]}}])[shown]
+        if state.hasTimedOut:
+            old["told"] = True
+            state.update(tuple(old[c] for c in names))
+            yield row("due", old)
+            return
+        rows = pd.concat(list(batches)).sort_values(["seq", "part"], kind="stable")
+        first, last = rows.iloc[0], rows.iloc[-1]
+        place, wait = (int(last["seq"]), int(last["part"])), int(rows["not_before"].max())
+        s = dict(old) if old else {"not_before": wait, "first_dirty_at": int(first["at"]), "version": 0, "told": False}
+        if old is None or place > (old["seq"], old["part"]):
+            s |= {"action": last["action"], "target_etag": _none(last["target_etag"]), "source": last["source"], "updated_at": int(last["at"]), "seq": place[0], "part": place[1], "told": False}
+        if wait > s["not_before"]:
+            s |= {"not_before": wait, "told": False}
+        s["first_dirty_at"], s["version"] = min(s["first_dirty_at"], int(first["at"])), s["version"] + 1
+        over = not s["told"] and s["not_before"] < state.getCurrentWatermarkMs()
+        s["told"] |= over
+        state.update(tuple(s[c] for c in names))
+        if not s["told"]:
+            state.setTimeoutTimestamp(s["not_before"])
+        yield row("dirty", s)
+        if over:
+            yield row("due", s)
+
+    return follow
+
+
+def stream_dirty_set(events: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """Changes of the dirty set (DIRTY): a row of kind dirty for each new state of a path, and one of kind due when its wait is over.
+
+    Timers go by the time of the events, which stands at the newest one less `late`, so the same events give the same rows whenever they are run. One of a smaller
+    seq may raise not_before, and changes nothing else; Spark drops an event that is later than `late`.
     """
-
-    COMPACT = 32
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, buckets: int = 32, append: bool = False):
-        self.spark, self.path, self.schema, self.key, self.buckets, self.append = spark, path.rstrip("/"), schema, key, buckets, append
-        self.names = spark.createDataFrame([], schema).columns
-        self.fs = self._at("").getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-    def _at(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-
-    def _listed(self, name: str) -> list[str]:
-        at = self._at(name)
-        return [s.getPath().getName() for s in self.fs.listStatus(at)] if self.fs.exists(at) else []
-
-    def _versions(self, before: int | None = None) -> dict[int, list[int]]:
-        """Finished versions and the buckets each one has written, newest first."""
-        found = sorted((int(n[2:]) for n in self._listed("") if n.startswith("v=")), reverse=True)
-        within = {v: self._listed(f"v={v}") for v in found if before is None or v < before}
-        return {v: [int(n[7:]) for n in names if n.startswith("touched")] for v, names in within.items() if "finished" in names}
-
-    def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
-
-    def touched(self, rows: DataFrame) -> list[int]:
-        """The buckets of some rows; at most as many numbers as there are buckets."""
-        return sorted(r[0] for r in rows.select(self.bucket()).distinct().collect())
-
-    def read(self, before: int | None = None, only: list[int] | None = None) -> DataFrame:
-        paths, known = [], set()
-        for v, own in self._versions(before).items():
-            whole = "base" in self._listed(f"v={v}")
-            for k in own:
-                if k not in known and (only is None or k in only):
-                    if self.fs.exists(self._at(f"v={v}/bucket={k}")):
-                        paths.append(f"{self.path}/v={v}/bucket={k}")
-                    known |= set() if self.append else {k}
-            if self.append and whole:
-                break
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
-
-    def write(self, rows: DataFrame, version: int, only: list[int]) -> None:
-        """rows: all that these buckets hold from now on; of an append table, what is new in them."""
-        base = self.append and version % self.COMPACT == 0
-        if base:
-            rows, only = self.read(before=version).unionByName(rows.select(*self.names)), list(range(self.buckets))
-        rows.select(*self.names, self.bucket().alias("bucket")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v={version}")
-        for name in [*(f"touched{k}" for k in only), *(["base"] if base else []), "finished"]:
-            self.fs.create(self._at(f"v={version}/{name}"), True).close()
-        self._clean(version)
-
-    def _clean(self, version: int) -> None:
-        """Versions go that neither this batch nor a repeat of it can read."""
-        newest: dict[int, int] = {}
-        for v, own in self._versions(version).items():
-            used = [k for k in own if newest.get(k, 0) < 1]
-            for k in own:
-                newest[k] = newest.get(k, 0) + 1
-            if not used and not self.append:
-                self.fs.delete(self._at(f"v={v}"), True)
-        if self.append:
-            bases = [v for v in self._versions(version) if "base" in self._listed(f"v={v}")]
-            for v in self._versions(bases[0]) if bases else []:
-                self.fs.delete(self._at(f"v={v}"), True)
-
-
-SEEN = "mutation_id string"
-DIRTY = "path string, action string, target_etag string, source string, not_before long, first_dirty_at long, updated_at long, seq long, attempts int, last_error string"
-LAST = "path string, op string, etag string, seq long, committed_at long"
-OUTBOX = "seq long, mutation_id string, change string, path string, etag string"
-
-
-def seen_table(spark: SparkSession, path: str) -> Table:
-    return Table(spark, path, SEEN, "mutation_id", append=True)
-
-
-def dirty_table(spark: SparkSession, path: str) -> Table:
-    return Table(spark, path, DIRTY, "path")
+    timed = J.intents_for(stream_dedupe(events)).withColumn("__t", F.timestamp_millis("at")).withWatermark("__t", late)
+    return timed.groupBy("path").applyInPandasWithState(_dirty(), DIRTY, _KEPT, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def last_table(spark: SparkSession, path: str) -> Table:
-    return Table(spark, path, LAST, "path")
+def stream_debounce(events: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """The paths whose wait is over, each when its timer says so: 30 s after the last obsidian put."""
+    return stream_dirty_set(events, late).where("kind = 'due'")
 
 
-def _new(batch: DataFrame, seen: Table, n: int) -> DataFrame:
-    """The batch's first fact of each id that no earlier batch had; the new ids are appended to those seen. Only ids of the touched buckets are read."""
-    first = stored(batch.groupBy("mutation_id").agg(F.min_by(F.struct(*[c for c in batch.columns if c != "mutation_id"]), "seq").alias("e")).select("mutation_id", "e.*"), "stream-batch")
-    only = seen.touched(first)
-    new = stored(first.join(seen.read(n, only), "mutation_id", "left_anti"), "stream-new")
-    seen.write(new.select("mutation_id"), n, only)
-    return new
+def current_dirty(changes: DataFrame) -> DataFrame:
+    """The dirty set that the changes so far make, with told: whether its wait is over."""
+    newest = changes.groupBy("path").agg(F.max_by(F.struct(*[c for c in changes.columns if c not in ("path", "kind")]), "version").alias("s"), F.max(F.when(F.col("kind") == "due", F.col("version"))).alias("due"))
+    return newest.select("path", "s.*", F.coalesce(F.col("due") == F.col("s.version"), F.lit(False)).alias("told"))
 
 
-def _run(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, n: each(df, n + 1)).start()
+def _last_event(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One path's last event; what changes is whether it is a deletion, and which."""
+    old = state.get if state.exists else None
+    last = pd.concat(list(batches)).sort_values(["seq", "part"], kind="stable").iloc[-1]
+    if old and (int(last["seq"]), int(last["part"])) <= (old[2], old[3]):
+        return
+    new = [last["op"], _none(last["etag"]), int(last["seq"]), int(last["part"]), int(last["committed_at"])]
+    gone = lambda e: e is not None and e[0] == "delete" and e[1] is not None
+    version, out = old[5] if old else 0, []
+    for change, e in (("retract", old), ("insert", new)):
+        if gone(e):
+            version += 1
+            out.append((key[0], change, e[1], e[2], e[4], version))
+    state.update((*new, version))
+    if out:
+        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in DELETION.split(", ")])
 
 
-def stream_dirty_set(stream: DataFrame, dirty: Table, seen: Table, checkpoint: str) -> StreamingQuery:
-    """Keep the dirty set: the newest seq wins a path, not_before only grows, late events may raise it."""
+def stream_deletions(events: DataFrame) -> DataFrame:
+    """Changes of the deletion index (DELETION): inserts, and retractions of what no longer holds. A rename away is an event of its source."""
+    own = F.struct(F.col("path"), F.col("op"), F.col("etag"), F.lit(1).alias("part"))
+    left = F.struct(F.col("from_path").alias("path"), F.lit("renamed").alias("op"), F.lit(None).cast("string").alias("etag"), F.lit(0).alias("part"))
+    each = stream_dedupe(events).select("seq", "committed_at", F.explode(F.when(F.col("op") == "rename", F.array(left, own)).otherwise(F.array(own))).alias("e"))
+    kept = "op string, etag string, seq long, part int, committed_at long, version long"
+    return each.select("e.*", "seq", "committed_at").groupBy("path").applyInPandasWithState(_last_event, DELETION, kept, "append", GroupStateTimeout.NoTimeout)
 
-    def each(batch: DataFrame, n: int) -> None:
-        owed = J.coalesce_intents(J.intents_for(_new(batch, seen, n)))
-        only = dirty.touched(owed)
-        dirty.write(J.merge_dirty(dirty.read(n, only), owed), n, only)
 
-    return _run(stream, checkpoint, each)
+def current_deletions(changes: DataFrame) -> DataFrame:
+    """The deletion index that the changes so far make."""
+    last = changes.groupBy("path").agg(F.max_by(F.struct("change", "etag", "seq", "committed_at"), "version").alias("l"))
+    return last.where("l.change = 'insert'").select("path", "l.etag", "l.seq", "l.committed_at")
 
 
-def debounced(dirty: Table, now: int, limit: int | None = 16) -> DataFrame:
-    """The paths whose wait is over; the next batch, or a call with a later time, emits the rest."""
-    return J.due_paths(dirty.read(), now, limit)
+def written_to(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Run to the end of what is there, into Parquet files; a restart goes on behind what was written."""
+    return changes.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_deletions(stream: DataFrame, last: Table, seen: Table, checkpoint: str) -> StreamingQuery:
-    """Keep the last event of each path; the deletions are its rows that are deletes with an etag."""
-
-    def each(batch: DataFrame, n: int) -> None:
-        own = F.struct(F.col("path"), F.col("op"), F.col("etag"))
-        left = F.struct(F.col("from_path").alias("path"), F.lit("renamed").alias("op"), F.lit(None).cast("string").alias("etag"))
-        rows = _new(batch, seen, n).select("seq", "committed_at", F.explode(F.when(F.col("op") == "rename", F.array(left, own)).otherwise(F.array(own))).alias("e")).select("e.path", "e.op", "e.etag", "seq", "committed_at")
-        only = last.touched(rows)
-        both = last.read(n, only).unionByName(rows)
-        last.write(both.groupBy("path").agg(F.max_by(F.struct("op", "etag", "seq", "committed_at"), "seq").alias("l")).select("path", "l.*"), n, only)
-
-    return _run(stream, checkpoint, each)
-
-
-def current_deletions(last: Table) -> DataFrame:
-    return last.read().where("op = 'delete' and etag is not null").select("path", "etag", "seq", "committed_at")
-
-
-def stream_outbox(stream: DataFrame, send: Callable[[DataFrame, int], None], seen: Table, checkpoint: str) -> StreamingQuery:
+def stream_outbox(events: DataFrame, send: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Deliver changes at least once, in order of seq inside a batch; batch number and mutation id make a repeat known."""
+    once = J.gateway_changes(stream_dedupe(events))
+    return once.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, n: send(df.orderBy("seq"), n)).start()
 
-    def each(batch: DataFrame, n: int) -> None:
-        send(J.gateway_changes(_new(batch, seen, n)).orderBy("seq"), n)
 
-    return _run(stream, checkpoint, each)
+def put_off(spark: SparkSession, retries: str, before: int | None = None) -> DataFrame:
+    """What failed and waits, as of the last piece of work (before one of a number)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(retries)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    numbers = [int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(at)] if fs.exists(at) else []
+    last = max((n for n in numbers if before is None or n < before), default=None)
+    return spark.createDataFrame([], WORK) if last is None else spark.read.schema(WORK).parquet(f"{retries}/batch={last}")
 
 
-def stream_index(stream: DataFrame, apply: Callable[[DataFrame, int], DataFrame], dirty: Table, seen: Table, checkpoint: str, now: int) -> StreamingQuery:
-    """Fold each batch into the dirty set, hand all paths that are due to apply, and settle what it reports.
+def work(due: DataFrame, apply: Callable[[DataFrame, int], DataFrame], retries: str, n: int, now: int) -> None:
+    """One piece of work: what is due, and what failed before and may be tried again, unless a newer state of its path is due.
 
-    apply(due, n) re-reads the store, publishes, and returns (path, action, target_etag, started_at, ok, error, retry_at). What it did leaves the dirty set, what failed waits.
+    What fails now is put off until retry_at. The list of what waits is written anew under the number n, so a repeated piece of work starts where it started.
     """
-
-    def each(batch: DataFrame, n: int) -> None:
-        owed = J.coalesce_intents(J.intents_for(_new(batch, seen, n)))
-        merged = stored(J.merge_dirty(dirty.read(n), owed), "stream-dirty")
-        due = J.due_paths(merged, now, None)
-        only = sorted({*dirty.touched(owed), *dirty.touched(due)})
-        left = J.settle_intents(merged.where(dirty.bucket().isin(only)), apply(due, n))
-        dirty.write(left, n, only)
-
-    return _run(stream, checkpoint, each)
+    spark = due.sparkSession
+    fresh = due.select("path", "action", "target_etag", "source", "not_before", "updated_at", "seq", F.lit(0).alias("attempts"), F.lit(None).cast("long").alias("retry_at"))
+    newest = fresh.groupBy("path").agg(F.max("seq").alias("__seq"))
+    waiting = put_off(spark, retries, n).join(newest, "path", "left").where("__seq is null or __seq < seq").drop("__seq")
+    todo = stored(fresh.unionByName(waiting.where(F.col("retry_at") <= now)), "stream-work")
+    told = stored(apply(todo.drop("retry_at"), n).select("path", "seq", "ok", F.col("retry_at").alias("__retry")), "stream-told")
+    failed = todo.join(told.where("not ok"), ["path", "seq"]).select(*[c for c in todo.columns if c not in ("attempts", "retry_at")], (F.col("attempts") + 1).alias("attempts"), F.col("__retry").alias("retry_at"))
+    failed.unionByName(waiting.where(F.col("retry_at") > now)).select(*[c.split(" ")[0] for c in WORK.split(", ")]).write.mode("overwrite").parquet(f"{retries}/batch={n}")
+    drop(todo)
+    drop(told)
+
+
+def stream_index(events: DataFrame, apply: Callable[[DataFrame, int], DataFrame], retries: str, checkpoint: str, now: Callable[[], int], late: str = "0 seconds") -> StreamingQuery:
+    """Hand the paths whose wait is over to apply, batch by batch, with what failed before and may be tried again at now() (epoch ms).
+
+    apply(due, n) re-reads the store, publishes, and returns (path, seq, ok, retry_at); a batch may be repeated after a loss, under its number. `work` does the same
+    between batches, for what waits alone.
+    """
+    due = stream_debounce(events, late)
+    return due.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, n: work(df, apply, retries, n, now())).start()
