@@ -167,7 +167,21 @@ over_objects("publish_vectors", lambda o: _published(o)[1].drop("last_error", "u
 over_objects("publish_ledger", lambda o: _placed(_published(o)[0]), _LEDGER + f"SELECT {_PLACE} FROM ledger WHERE document_id % 5 <> 0 UNION ALL SELECT {_PLACE} FROM chunks WHERE document_id % 5 = 0")
 over_objects("vector_health", lambda o: vectors.vector_health((x := _ledger(o))[0], x[2], x[1]), _LEDGER + f"SELECT count(*) FILTER (id % 31 <> 0) AS tracked, count(*) FILTER (id % 31 <> 0 AND id % 17 <> 0 AND id % 37 <> 0) AS ready, count(*) FILTER (id % 31 <> 0 AND id % 17 = 0) AS pending, count(*) FILTER (id % 31 <> 0 AND id % 17 <> 0 AND id % 37 = 0) AS failed, count(*) FILTER ({_STALE}) AS outdated, (SELECT count(*) FROM ledger) AS ledger_chunks, 'model timed out on ' || arg_max(id, (id * 7 % 1000) * 1000000 + id) FILTER (id % 31 <> 0 AND id % 17 <> 0 AND id % 37 = 0) AS last_error FROM notes")
 over_objects("accept_hits", lambda o: vectors.accept_hits((x := _ledger(o))[1].select("chunk_id"), x[1], x[2], x[0], "p").select("document_id", "ordinal", "chunk_id", "key", "title"), _LEDGER + f"SELECT document_id, ordinal, chunk_id, d.key, d.title FROM ledger l JOIN documents_ d ON d.id = l.document_id WHERE starts_with(lower(d.key), 'p') AND NOT {_STALE.replace('id %', 'd.id %')} AND d.id % 29 <> 0")
-over_objects("embed", lambda o: vectors.embed(_chunked(o)[1]).select("chunk_id", F.sha2(F.array_join(F.col("embedding").cast("array<string>"), ","), 256).alias("sha")))
+def _embedded(o: DataFrame) -> DataFrame:
+    """What SQL can tell of each chunk's vector: how many places aren't 0, their sum, and their sum by place."""
+    v = vectors.embed(_chunked(o)[1]).select("chunk_id", F.col("embedding").cast("array<int>").alias("e"))
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b)
+    return v.select("chunk_id", F.size(F.filter("e", lambda x: x != 0)).alias("places"), total(F.transform("e", lambda x: x.cast("long"))).alias("total"), total(F.transform("e", lambda x, k: x.cast("long") * k)).alias("by_place"))
+
+
+_FNV = lambda codes: f"list_reduce({codes}, lambda h, c: (xor(h, c) * 16777619) % 4294967296)"
+_CODES = "list_concat([CAST(2166136261 AS UBIGINT)], list_transform(range(1, length({0}) + 1), lambda i: CAST(unicode(substr({0}, i, 1)) AS UBIGINT)))"
+_EMBEDDED = f""", said AS (SELECT chunk_id, text, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+|[㐀-鿿]')) AS t FROM chunks),
+tokens_ AS (SELECT t, {_FNV(_CODES.format('t'))} AS h, {_FNV("list_concat(" + _CODES.format('t') + ", CAST([0, 115, 105, 103, 110] AS UBIGINT[]))")} AS s FROM (SELECT DISTINCT t FROM said) AS d),
+places AS (SELECT chunk_id, CAST(h % 1024 AS BIGINT) AS place, CAST(sum(CASE WHEN s % 2 = 1 THEN -1 ELSE 1 END) AS BIGINT) AS v FROM said JOIN tokens_ USING (t) GROUP BY 1, 2 HAVING sum(CASE WHEN s % 2 = 1 THEN -1 ELSE 1 END) <> 0),
+whole AS (SELECT chunk_id, place, v FROM places UNION ALL SELECT chunk_id, CAST({_FNV(_CODES.format('text'))} % 1024 AS BIGINT), 1 FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM places))
+SELECT chunk_id, CAST(count(*) AS INTEGER) AS places, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * place) AS BIGINT) AS by_place FROM whole GROUP BY chunk_id"""
+over_objects("embed", _embedded, _CH.rstrip() + _EMBEDDED)
 
 
 def _semantic(o: DataFrame) -> DataFrame:
