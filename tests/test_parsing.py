@@ -2,8 +2,6 @@
 
 import re
 
-import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
