@@ -2,7 +2,7 @@
 
 Documents are dealt to shards once. The shards are scanned in a cycle, all lengths at a time: a phrase is counted from the step on at which both its subphrases
 (without its last and without its first word) have reached the threshold, and for one full cycle from there, so that every shard is counted once. A phrase reaches it
-early by the count of a single task, or when its cycle ends and its rows are added up: each row is shuffled once. It ends when no phrase is inside its cycle: most phrases begin in the first few shards, so there are far
+early by the count of a single task, or when its cycle ends and its rows are added up, by hash first and then, of the few that can reach it, by phrase. It ends when no phrase is inside its cycle: most phrases begin in the first few shards, so there are far
 fewer scans than one for each length and shard.
 
 What has reached the threshold is told to the tasks by an array of fixed size: the step from which a phrase's hash counts as reached. A place is set once and
@@ -176,7 +176,9 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
             ended = reduce(DataFrame.unionByName, [t.where(F.col("act") == began) for t in counts])
             if began == 0:
                 sizes = written(ended.where("k = 1").groupBy("lang").agg(F.sum("c").alias("n")), "phrase-words")
-            total = ended.groupBy("lang", "k", "h", "phrase").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+            # First by hash alone, two numbers a row: what shares a hash has no more than the sum, so what is below the threshold goes unseen.
+            may = ended.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("h")
+            total = ended.join(may, "h", "left_semi").groupBy("lang", "k", "h", "phrase").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
             done.append(written(total, "phrases"))
             new |= _newly(done[-1].where(F.col("k") < longest), reached, step + 1)
             dropped(counts.pop(0))
