@@ -40,7 +40,7 @@ def parse_documents(objects: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """The index tables of one state of the vault. postings: (document_id, column, token, n, positions), where they are stored."""
+    """The index tables of one state of the vault. Where they are stored: postings and grams (document_id, column, token, n, positions), names (document_id, gram, key, modified_ms)."""
 
     documents: DataFrame
     headings: DataFrame
@@ -48,6 +48,8 @@ class Index:
     tags: DataFrame
     links: DataFrame
     postings: DataFrame | None = None
+    grams: DataFrame | None = None
+    names: DataFrame | None = None
 
 
 def build_index(objects: DataFrame, indexed_at: int | None = None) -> Index:

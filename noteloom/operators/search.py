@@ -20,6 +20,7 @@ WEIGHTS = {"title": 10.0, "headings": 4.0, "tags": 2.0, "body": 1.0}
 COLUMNS = {"title": "title", "headings": "heading_text", "tags": "tag_text", "body": "body"}
 TIERS = {"exact": 0, "prefix": 1, "substring": 3, "path": 4}
 CONTENT_TIER = 2
+GRAM = 3
 _SEGMENT = re.compile(rf"([{text.CJK}]+)|([A-Za-z0-9_]+)")
 
 
@@ -116,25 +117,83 @@ def postings_of(rows: DataFrame) -> DataFrame:
 
 
 def _grouped(name: str, ids: pa.Array, lists: pa.ListArray) -> pa.RecordBatch:
-    """The postings of one column: places sorted by document and token, cut where either changes."""
+    """The postings of one column of some documents."""
     size = np.diff(lists.offsets.to_numpy())
     tokens = lists.flatten().dictionary_encode()
     document, code = np.repeat(np.arange(len(size)), size), tokens.indices.to_numpy().astype(np.int64)
-    place = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+    return _cut(name, ids, document, code, np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size), tokens.dictionary)
+
+
+def _cut(name: str, ids: pa.Array, document: np.ndarray, code: np.ndarray, place: np.ndarray, tokens: pa.Array) -> pa.RecordBatch:
+    """Places, rising in each document, sorted by document and token and cut where either changes."""
     by = np.lexsort((code, document))
     document, code = document[by], code[by]
     new = np.flatnonzero(np.concatenate([np.ones(min(len(by), 1), bool), (document[1:] != document[:-1]) | (code[1:] != code[:-1])]))
     ends = np.append(new, len(by)).astype(np.int32)
-    cols = [ids.take(pa.array(document[new])), pa.array([name] * len(new), pa.string()), tokens.dictionary.take(pa.array(code[new])), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(place[by].astype(np.int32)))]
+    cols = [ids.take(pa.array(document[new])), pa.array([name] * len(new), pa.string()), tokens.take(pa.array(code[new])), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(place[by].astype(np.int32)))]
     return pa.RecordBatch.from_arrays(cols, ["document_id", "column", "token", "n", "positions"])
 
 
-def _occurrences(tokens: Column, term: tuple[str, ...]) -> Column:
-    """How often a phrase of tokens stands in an array."""
-    if len(term) == 1:
-        return F.size(F.filter(tokens, lambda t: t == term[0]))
-    hit = lambda t, k: (t == term[0]) & (F.slice(tokens, k + 1, len(term)) == F.array(*map(F.lit, term)))
-    return F.size(F.filter(tokens, hit))
+def grams_of(documents: DataFrame) -> DataFrame:
+    """Postings of CJK bigrams in the ranked columns of documents (id, title, ...): (document_id, column, token, n, positions).
+
+    Each CJK character has one: with the CJK character after it, or alone where none follows. positions count characters from 0, so a run of
+    characters stands where its bigrams do, each at its distance. Nothing is shuffled; null columns are empty.
+    """
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                for name in COLUMNS:
+                    yield _bigrams(name, part.column("id"), part.column(name))
+
+    rows = documents.select("id", *[F.coalesce(c, F.lit("")).alias(n) for n, c in COLUMNS.items()])
+    return rows.mapInArrow(run, "document_id long, column string, token string, n long, positions array<int>")
+
+
+def _bigrams(name: str, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    """One column's bigrams, for all texts of a batch at once."""
+    strings = texts.to_pylist()
+    size = np.fromiter(map(len, strings), np.int64, len(strings))
+    chars = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    is_cjk = (chars >= ord(text.CJK[0])) & (chars <= ord(text.CJK[-1]))
+    at = np.flatnonzero(is_cjk)
+    ends = np.cumsum(size)
+    document = np.searchsorted(ends, at, "right")
+    follows = at + 1 < ends[document]
+    follows[follows] = is_cjk[at[follows] + 1]
+    second = np.where(follows, chars[np.minimum(at + 1, max(len(chars) - 1, 0))], 0) if len(at) else at
+    pairs, code = np.unique(chars[at] << 16 | second, return_inverse=True)
+    tokens = pa.array([chr(p >> 16) + (chr(p & 0xFFFF) if p & 0xFFFF else "") for p in pairs.tolist()], pa.string())
+    return _cut(name, ids, document, code, at - (ends - size)[document], tokens)
+
+
+def names_of(documents: DataFrame) -> DataFrame:
+    """(document_id, gram, key, modified_ms): the distinct three-character pieces of each key, A-Z folded, one from every place; those at the end are shorter.
+
+    Rows hold what questions about names return, so that documents aren't read for them.
+    """
+    low = keys.ascii_fold(F.col("key"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda k: F.substring(low, k, F.lit(GRAM))))
+    return documents.select(F.col("id").alias("document_id"), F.explode(grams).alias("gram"), "key", "modified_ms")
+
+
+def names_holding(index: Index, part: str) -> DataFrame:
+    """(key, modified_ms) of the notes whose key contains a part, whatever the case of A-Z.
+
+    Parts of three characters and more read the rows of their rarest piece, shorter ones those whose piece begins so: both are filters on the sorted gram column.
+    """
+    if not part:
+        return index.documents.select("key", "modified_ms")
+    names, low = names_of(index.documents) if index.names is None else index.names, part.translate(str.maketrans(keys.UPPER, keys.LOWER))
+    if len(low) < GRAM:
+        return names.where(F.col("gram").startswith(low)).select("document_id", "key", "modified_ms").distinct().select("key", "modified_ms")
+    grams = sorted({low[k : k + GRAM] for k in range(len(low) - GRAM + 1)})
+    if len(grams) > 1:  # one row a piece of the question
+        found = {r.gram: r["count"] for r in names.where(F.col("gram").isin(grams)).groupBy("gram").count().collect()}
+        grams.sort(key=lambda g: found.get(g, 0))
+    return names.where((F.col("gram") == grams[0]) & keys.contains(F.col("key"), part)).select("key", "modified_ms")
 
 
 def _counts(postings: DataFrame, terms: list[tuple[str, ...]]) -> DataFrame:
@@ -180,28 +239,69 @@ def search_bm25(index: Index, query: str, prefix: str = "", limit: int = 20, k1:
         idf = F.greatest(F.log((F.col("docs") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5)), F.lit(1e-6))
         score = score + idf * F.col(f"w{k}") * (k1 + 1) / (F.col(f"w{k}") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     best = hits.select("document_id", "key", "title", "modified_ms", "size", (-score).alias("score")).orderBy("score", "key").limit(limit)
-    bodies = index.documents.select(F.col("id").alias("document_id"), F.coalesce("body", F.lit("")).alias("body"))
     shown = term_snippet(F.col("body"), [t[0] for t in terms])
-    return bodies.join(F.broadcast(best), "document_id").select("key", "title", "modified_ms", "size", "score", shown.alias("snippet")).orderBy("score", "key")
+    return _with_bodies(index, best, limit).select("key", "title", "modified_ms", "size", "score", shown.alias("snippet")).orderBy("score", "key")
+
+
+def _with_bodies(index: Index, best: DataFrame, limit: int) -> DataFrame:
+    """best, of at most `limit` rows, with their bodies. The rows are fetched first, and their ids reach the scan of the documents as a filter, so other bodies aren't
+    read. Over 1000 rows, which are no page of results any more, stay in Spark and are joined."""
+    bodies = index.documents.select(F.col("id").alias("document_id"), F.coalesce("body", F.lit("")).alias("body"))
+    if limit <= 1000:
+        rows = best.collect()
+        best, bodies = best.sparkSession.createDataFrame(rows, best.schema), bodies.where(F.col("document_id").isin([r.document_id for r in rows]))
+    return bodies.join(best, "document_id")
+
+
+def _runs(grams: DataFrame, runs: list[str], anchor: str) -> DataFrame:
+    """Of the documents that hold every run somewhere: document_id, the ranked columns that hold the anchor (a boolean each), and times: how often the body does, without overlaps.
+
+    A run is where its bigrams are, each at its distance; only their rows are read.
+    """
+    pieces = {r: {k: r[k : k + 2] for k in sorted({*range(0, len(r) - 1, 2), len(r) - 2})} for r in runs if len(r) > 1}
+    tokens, single = sorted({t for p in pieces.values() for t in p.values()}), sorted({r for r in runs if len(r) == 1})
+    wanted = reduce(lambda a, b: a | b, [F.col("token").startswith(c) for c in single], F.col("token").isin(tokens))
+    nowhere = F.array().cast("array<int>")
+    of = {t: F.coalesce(F.max(F.when(F.col("token") == t, F.col("positions"))), nowhere).alias(f"t{k}") for k, t in enumerate(tokens)}
+    alone = {c: F.flatten(F.collect_list(F.when(F.col("token").startswith(c), F.col("positions")))).alias(f"c{k}") for k, c in enumerate(single)}
+    by_column = grams.where(wanted).groupBy("document_id", "column").agg(*of.values(), *alone.values())
+
+    def places(r: str) -> Column:
+        if r in alone:
+            return F.col(f"c{single.index(r)}")
+        start = lambda t, k: F.transform(f"t{tokens.index(t)}", lambda p: p - k)
+        return reduce(F.array_intersect, [start(t, k) for k, t in pieces[r].items()])
+
+    step = lambda a, p: F.when(p >= a["next"], F.struct((a["n"] + 1).alias("n"), (p + len(anchor)).alias("next"))).otherwise(a)
+    times = F.aggregate(F.array_sort("a"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("next")), step, lambda a: a["n"])
+    found = by_column.select("document_id", "column", places(anchor).alias("a"), *[(F.size(places(r)) > 0).alias(f"r{k}") for k, r in enumerate(runs)])
+    holds = lambda c: F.max((F.col("column") == c) & (F.size("a") > 0)).alias(f"{c}_")
+    by_document = found.groupBy("document_id").agg(*[F.max(f"r{k}").alias(f"r{k}") for k in range(len(runs))], *map(holds, COLUMNS), F.max(F.when(F.col("column") == "body", times)).alias("times"))
+    return by_document.where(reduce(lambda a, b: a & b, [F.col(f"r{k}") for k in range(len(runs))])).select("document_id", *[f"{c}_" for c in COLUMNS], F.coalesce("times", F.lit(0)).alias("times"))
 
 
 def search_phrase(index: Index, query: str, prefix: str = "", limit: int = 20) -> DataFrame:
-    """(key, title, modified_ms, size, score, snippet) for CJK queries: every run is a substring somewhere; words of other scripts must match too."""
+    """(key, title, modified_ms, size, score, snippet) for CJK queries: every run is a substring somewhere; words of other scripts must match too.
+
+    Runs are found in the bigrams' places and words in the postings. Bodies are read for the results alone.
+    """
     plan = plan_text_query(query)
     if not plan.runs:
         raise ValueError("a phrase search needs a CJK run")
-    docs = index.documents.where(keys.has_prefix(F.col("key"), prefix))
-    title, heads, tags, body = (F.coalesce(F.col(c), F.lit("")) for c in COLUMNS.values())
-    for run in plan.runs:
-        docs = docs.where(title.contains(run) | heads.contains(run) | tags.contains(run) | body.contains(run))
-    if plan.parts:
-        tokens = {n: text.tokenize(F.coalesce(F.col(c), F.lit(""))) for n, c in COLUMNS.items()}
-        docs = docs.where(plan.predicate(lambda t: sum((_occurrences(x, t) for x in tokens.values()), F.lit(0)) > 0))
-    a = plan.anchor
-    at = lambda x, points: F.when(x.contains(a), points).otherwise(0)
-    times = (F.length(body) - F.length(F.replace(body, F.lit(a), F.lit("")))).cast("int") / len(a)
-    score = at(title, 100) + at(heads, 40) + at(tags, 30) + at(body, 10) + times.cast("int")
-    return docs.select("key", "title", "modified_ms", "size", score.cast("long").alias("score"), phrase_snippet(body, a).alias("snippet")).orderBy(F.desc("score"), F.desc("modified_ms"), "key").limit(limit)
+    grams = grams_of(index.documents) if index.grams is None else index.grams
+    hits = _runs(grams, list(dict.fromkeys(plan.runs)), plan.anchor).join(_of_prefix(index, prefix), "document_id")
+    terms = plan.terms()
+    if terms:
+        postings = build_postings(index) if index.postings is None else index.postings
+        hits = hits.join(_counts(postings, terms), "document_id", "left")
+        place = {t: k for k, t in enumerate(terms)}
+        hits = hits.where(plan.predicate(lambda t: F.coalesce(F.col(f"w{place[t]}"), F.lit(0.0)) > 0 if t in place else F.lit(False)))
+    points = {"title": 100, "headings": 40, "tags": 30, "body": 10}
+    score = reduce(lambda a, b: a + b, [F.when(F.col(f"{c}_"), p).otherwise(0) for c, p in points.items()]) + F.col("times")
+    hits = hits.select("document_id", "key", "title", "modified_ms", "size", score.cast("long").alias("score"))
+    order = [F.desc("score"), F.desc("modified_ms"), F.asc("key")]
+    shown = phrase_snippet(F.col("body"), plan.anchor)
+    return _with_bodies(index, hits.orderBy(*order).limit(limit), limit).select("key", "title", "modified_ms", "size", "score", shown.alias("snippet")).orderBy(*order)
 
 
 def phrase_snippet(body: Column, phrase: str) -> Column:
@@ -220,7 +320,8 @@ def term_snippet(body: Column, terms: list[str], width: int = 12) -> Column:
 
 
 def search_filename(index: Index, query: str, prefix: str = "", limit: int = 20) -> DataFrame:
-    return index.documents.where(keys.contains(F.col("key"), query) & keys.has_prefix(F.col("key"), prefix)).select("key", "modified_ms").orderBy(F.desc("modified_ms"), "key").limit(limit)
+    """(key, modified_ms) of the notes whose key contains the query, newest first."""
+    return names_holding(index, query).where(keys.has_prefix(F.col("key"), prefix)).orderBy(F.desc("modified_ms"), "key").limit(limit)
 
 
 def name_quality(key: Column, query: str) -> Column:

@@ -10,7 +10,7 @@ from noteloom.operators import search
 from noteloom.operators.index import Index, index_of, parse_documents
 from noteloom.operators.journal import EVENT
 
-TABLES = ["headings", "front", "tags", "links", "postings"]
+TABLES = ["headings", "front", "tags", "links", "postings", "grams", "names"]
 
 
 def read_objects(spark: SparkSession, path: str) -> DataFrame:
@@ -44,10 +44,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def by_token(postings: DataFrame, ways: int = 16) -> DataFrame:
-    """Postings in files by hash of the token, in order of token and document, so that a token reads few row groups. A token's documents are dealt to `ways` files at most, so a
-    frequent one is no single task's."""
-    return postings.repartition(F.xxhash64("token", F.pmod("document_id", F.lit(ways)))).sortWithinPartitions("token", "document_id")
+def laid_out(name: str, rows: DataFrame, ways: int = 16) -> DataFrame:
+    """Postings, grams and names in files by hash of the token, in order of token and document, so that a token reads few row groups. A token's documents are dealt to `ways` files at
+    most, so a frequent one is no single task's. Documents are in order of id in each file."""
+    if name == "documents":
+        return rows.sortWithinPartitions("id")
+    token = {"postings": "token", "grams": "token", "names": "gram"}.get(name)
+    return rows if token is None else rows.repartition(F.xxhash64(token, F.pmod("document_id", F.lit(ways)))).sortWithinPartitions(token, "document_id")
+
+
+def store(name: str, rows: DataFrame, path: str) -> None:
+    """One index table. Documents carry a Bloom filter of their ids, so a question for few of them passes by the row groups without any."""
+    out = laid_out(name, rows).write.mode("overwrite")
+    if name == "documents":
+        out = out.option("parquet.bloom.filter.enabled#id", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+    out.parquet(path)
 
 
 def tokenized(parsed: DataFrame) -> DataFrame:
@@ -56,22 +67,19 @@ def tokenized(parsed: DataFrame) -> DataFrame:
 
 
 def index_tables(parsed: DataFrame, indexed_at: int | None = None) -> Index:
-    """The index tables of stored parsed notes with tokens, postings too."""
+    """The index tables of stored parsed notes with tokens, all of them."""
     index = index_of(parsed, indexed_at)
     index.postings = search.postings_of(parsed.select(F.col("id").alias("document_id"), "tokens.*"))
+    index.grams, index.names = search.grams_of(parsed), search.names_of(parsed)
     return index
 
 
 def write_index(index: Index, path: str, revision: str) -> None:
     """Children first, documents last: a revision exists once its documents do, and readers go through them."""
-    for name in TABLES:
+    made = {"postings": search.build_postings, "grams": lambda x: search.grams_of(x.documents), "names": lambda x: search.names_of(x.documents)}
+    for name in (*TABLES, "documents"):
         rows = getattr(index, name)
-        if rows is None and name == "postings":
-            rows = search.build_postings(index)
-        if name == "postings":
-            rows = by_token(rows)
-        rows.write.mode("overwrite").parquet(f"{path}/{name}/revision={revision}")
-    index.documents.write.mode("overwrite").parquet(f"{path}/documents/revision={revision}")
+        store(name, made[name](index) if rows is None else rows, f"{path}/{name}/revision={revision}")
 
 
 def publish(objects: DataFrame, path: str, revision: str, indexed_at: int | None = None) -> Index:

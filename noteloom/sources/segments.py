@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from noteloom.operators.index import Index, parse_documents
 
-from .io import TABLES, by_token, index_tables, tokenized
+from .io import TABLES, index_tables, store, tokenized
 from .shared import delete, exists
 
 OBJECT = "id long, key string, etag string, size long, modified_ms long, text string"
@@ -69,7 +69,7 @@ def _alive(spark: SparkSession, path: str, of: list[Segment], later: list[Segmen
 def _write(spark: SparkSession, path: str, tables: dict[str, DataFrame], gone: DataFrame, id_: int, first: int, upto: int, fanout: int) -> Segment:
     """Tables first, the commit last: what broke off before it is written over by the next publish of that number."""
     for name, rows in ({n: tables[n] for n in TABLES} | {"gone": gone, "documents": tables["documents"]}).items():
-        (by_token(rows) if name == "postings" else rows).write.mode("overwrite").parquet(f"{path}/{name}/segment={id_}")
+        store(name, rows, f"{path}/{name}/segment={id_}")
     notes = spark.read.schema("id long").parquet(f"{path}/documents/segment={id_}").count()
     made = Segment(id_, first, upto, int(math.log(max(1, notes), fanout) + 1e-9), notes)
     spark.createDataFrame([(made.id, made.first, made.upto, made.tier, made.notes)], COMMIT).coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/commit={id_}")

@@ -193,3 +193,64 @@ def test_files_and_index_tables(spark, tmp_path):
     io.write_index(index.build_index(o), str(tmp_path / "ix"), "r1")
     x = io.read_index(spark, str(tmp_path / "ix"), "r1")
     assert x.documents.first().title == "Title" and x.tags.first().tag == "t" and x.links.first().to_key == "b"
+
+
+RUN_TEXTS = ["心率心率心率", "心心心心", "𠀀心率 x 心", "今天查看心率的工具。心率", "# 心率训练\n\n正文心率 monitor", "麦理浩径徒步记录", "", "率心", "日志 #标签/心率", "心\n率", "latin only monitor", "心率 a_b", "b a 心率"]
+
+
+def _phrase_rows(rows, query):
+    """Substring search by the plain way, over rows of documents."""
+    plan, out = search.plan_text_query(query), []
+    for r in rows:
+        texts = [r.title or "", r.heading_text or "", r.tag_text or "", r.body or ""]
+        if not all(any(run in t for t in texts) for run in plan.runs):
+            continue
+        if "monitor" in plan.parts and not any("monitor" in t for t in texts):
+            continue
+        if "a_b" in plan.parts and "a_b" not in texts[3]:
+            continue
+        out.append((r.key, sum(p for p, t in zip((100, 40, 30, 10), texts) if plan.anchor in t) + texts[3].count(plan.anchor)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_phrases_equal_a_plain_search(spark, tmp_path, stored):
+    o = objects(spark, {f"n{k}.md": t for k, t in enumerate(RUN_TEXTS)} | {"心率/名.md": "x"})
+    x = io.publish(o, str(tmp_path), "1") if stored else index.build_index(o)
+    rows = x.documents.collect()
+    for q in ["心", "心率", "心心", "心心心", "率心率", "心率 monitor", "麦理浩径 徒步", "心率 a_b", "名", "查看心率的工具", "无"]:
+        got = search.search_phrase(x, q, limit=2000 if q == "心" else 100).collect()
+        assert sorted((r.key, r.score) for r in got) == _phrase_rows(rows, q), q
+        assert all(r.snippet == search_snippet(next(d.body for d in rows if d.key == r.key), search.plan_text_query(q).anchor) for r in got)
+    assert search.search_phrase(x, "心率", prefix="N4").count() == 1  # and an operator that dangles is dropped:
+    assert [[r.key for r in search.search_phrase(x, q).collect()] for q in ("心率 NOT monitor", "心率 zz OR x NOT monitor")] == [["n4.md"], ["n2.md"]]
+
+
+def search_snippet(body, phrase):
+    at = body.find(phrase) + 1
+    start = max(1, at - 60)
+    return ("…" if at > 60 else "") + body[start - 1 : start + 149]
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_names_equal_a_plain_search(spark, tmp_path, stored):
+    names = ["Daily/2026-06-18.md", "daily/aaa.md", "日志/心率.md", "x.md", "aAaA.md", "a%b_c.md", "p/Ünder.md"]
+    o = objects(spark, {k: "x" for k in names})
+    x = io.publish(o, str(tmp_path), "1") if stored else index.build_index(o)
+    low = lambda s: "".join(c.lower() if c.isascii() else c for c in s)
+    for q in ["", "d", "DA", "aaa", "aaaa", "2026-06-18", "心", "心率.md", "%", "_c.", "nothing", ".md", "Ünd", "ünd", "daily/2026-06-18.mdx"]:
+        assert sorted(r.key for r in search.search_filename(x, q).collect()) == sorted(k for k in names if low(q) in low(k)), q
+    assert [r.key for r in search.search_filename(x, "aaa", prefix="DAILY").collect()] == ["daily/aaa.md"]
+
+
+def test_searches_read_their_index(spark, tmp_path):
+    """Filters reach the files of grams and names; a phrase search reads bodies by id alone."""
+    x = io.publish(objects(spark, {f"n{k}.md": t for k, t in enumerate(RUN_TEXTS)}), str(tmp_path), "1")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    names = plan(search.search_filename(x, "n12.md"))
+    assert "PushedFilters: [IsNotNull(gram), EqualTo(gram," in names and "documents" not in names
+    assert "StringStartsWith(gram,n1)" in plan(search.search_filename(x, "n1"))
+    phrase = plan(search.search_phrase(x, "心率"))
+    assert "body" in phrase and "In(id, [" in phrase
+    hits = plan(search._runs(x.grams, ["心率", "心"], "心率"))
+    assert "EqualTo(token,心率)" in hits and "StringStartsWith(token,心)" in hits
