@@ -311,12 +311,26 @@ def phrase_snippet(body: Column, phrase: str) -> Column:
 
 
 def term_snippet(body: Column, terms: list[str], width: int = 12) -> Column:
-    """Some `width` words of the body around the first that begins as a term does, with ellipses where text is cut off."""
+    """The `width` words of the body that show most, with ellipses where text is cut off.
+
+    A word matches a term that it begins with, signs before it aside. Of the windows that begin with a match, the best holds most different terms,
+    then most matches, and is the first of equals; what room is left after its last match is shared with the words before. Without a match: the first words.
+    """
     words = F.filter(F.split(body, r"\s+"), lambda w: w != "")
-    first = F.array_position(F.transform(words, lambda w: F.lower(w).rlike("^[^a-z0-9]*(?:" + "|".join(map(re.escape, map(str.lower, terms))) + ")\\b")), True).cast("int")
-    start = F.greatest(first - width // 2, F.lit(1))
-    cut = F.array_join(F.slice(words, start, F.lit(width)), " ")
-    return F.concat(F.when(start > 1, "…").otherwise(""), cut, F.when(F.size(words) > start + width - 1, "…").otherwise(""))
+    which = "^[^a-z0-9]*(" + "|".join(map(re.escape, map(str.lower, terms))) + ")\\b"
+    matches = lambda ws: F.filter(F.transform(ws, lambda w, k: F.struct((k + 1).alias("at"), F.regexp_extract(F.lower(w), which, 1).alias("term"))), lambda h: h["term"] != "")
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), 0)  # noqa: E731  (evaluated once, however often f names it)
+
+    def window(hits: Column, h: Column, j: Column) -> Column:
+        near = F.filter(F.slice(hits, j + 1, F.lit(width)), lambda x: x["at"] < h["at"] + width)
+        return bound(near, lambda n: F.struct(F.size(F.array_distinct(n["term"])).alias("terms"), F.size(n).alias("matches"), (-h["at"]).alias("at"), F.element_at(n, -1)["at"].alias("last")))
+
+    def cut(ws: Column) -> Column:
+        best = bound(matches(ws), lambda hits: F.array_max(F.transform(hits, lambda h, j: window(hits, h, j))))
+        start = bound(best, lambda b: F.greatest(F.lit(1), F.coalesce(-b["at"] - F.floor((width - (b["last"] + b["at"] + 1)) / 2).cast("int"), F.lit(1))))
+        return bound(start, lambda s: F.concat(F.when(s > 1, "…").otherwise(""), F.array_join(F.slice(ws, s, F.lit(width)), " "), F.when(F.size(ws) > s + width - 1, "…").otherwise("")))
+
+    return bound(words, cut)
 
 
 def search_filename(index: Index, query: str, prefix: str = "", limit: int = 20) -> DataFrame:

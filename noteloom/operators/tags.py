@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom.functions import keys
@@ -52,5 +52,21 @@ def tag_suggest(index: Index, tag: str, limit: int = 10) -> DataFrame:
     return near.select("tag").orderBy("tag").limit(limit).join(exists, how="left").select("tag", F.coalesce("tag_exists", F.lit(False)).alias("tag_exists"))
 
 
+def tag_suggestions(index: Index, limit: int = 10) -> DataFrame:
+    """(tag, suggested): for every tag the first `limit` of all tags that contain it or are contained in it, whatever the case of A-Z.
+
+    A tag is looked for among those that hold its rarest piece of three characters (one of fewer is its own piece), and compared there.
+    """
+    low, piece = keys.ascii_fold(F.col("tag")), lambda n: F.when(F.length("low") >= n, F.transform(F.sequence(F.lit(1), F.length("low") - (n - 1)), lambda k: F.substring("low", k, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    held = index.tags.select("tag").distinct().withColumn("low", low).withColumn("piece", F.explode(F.array_distinct(F.concat(piece(1), piece(2), piece(3)))))
+    own = held.where(F.length("piece") == F.least(F.length("low"), F.lit(3)))
+    counted = own.join(held.groupBy("piece").agg(F.count("*").alias("n")), "piece")
+    rarest = counted.groupBy(F.col("tag").alias("part"), F.col("low").alias("part_low")).agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
+    pairs = held.join(rarest, "piece").where((F.col("tag") != F.col("part")) & F.col("low").contains(F.col("part_low"))).select("tag", "part", (F.col("low") == F.col("part_low")).alias("same"))
+    both = pairs.select("tag", F.col("part").alias("suggested")).unionByName(pairs.where(~F.col("same")).select(F.col("part").alias("tag"), F.col("tag").alias("suggested")))
+    first = F.row_number().over(Window.partitionBy("tag").orderBy("suggested"))
+    return both.withColumn("__k", first).where(F.col("__k") <= limit).drop("__k")
+
+
 def complete_tags(index: Index, fragment: str, limit: int = 50) -> DataFrame:
     return tag_list(index, contains=fragment, limit=limit).select("tag")

@@ -116,6 +116,7 @@ over_index("tag_list_filtered", lambda x: tags.tag_list(x, ["body"], "p", "T", 5
 over_index("tag_documents", lambda x: tags.tag_documents(x, "t3"), f"SELECT n.key, n.modified_ms, {_SUMS} FROM tags JOIN notes n ON n.id = document_id WHERE tag = 't3' GROUP BY 1, 2 ORDER BY n.modified_ms DESC, n.key LIMIT 100")
 over_index("tag_descendants", lambda x: tags.tag_documents(x, "area", "descendants"), f"SELECT n.key, n.modified_ms, {_SUMS} FROM tags JOIN notes n ON n.id = document_id WHERE tag = 'area' OR starts_with(lower(tag), 'area/') GROUP BY 1, 2 ORDER BY n.modified_ms DESC, n.key LIMIT 100")
 over_index("tag_suggest", lambda x: tags.tag_suggest(x, "area/a1/x"), "SELECT DISTINCT tag, FALSE AS tag_exists FROM tags WHERE contains('area/a1/x', lower(tag)) OR contains(lower(tag), 'area/a1/x') ORDER BY tag LIMIT 10")
+over_index("tag_suggestions", tags.tag_suggestions, "SELECT tag, suggested FROM (SELECT a.tag, b.tag AS suggested, row_number() OVER (PARTITION BY a.tag ORDER BY b.tag) AS k FROM (SELECT DISTINCT tag FROM tags) a JOIN (SELECT DISTINCT tag FROM tags) b ON a.tag <> b.tag AND (contains(lower(a.tag), lower(b.tag)) OR contains(lower(b.tag), lower(a.tag)))) AS s WHERE k <= 10")
 over_index("complete_tags", lambda x: tags.complete_tags(x, "A"), "SELECT DISTINCT tag FROM tags WHERE contains(lower(tag), 'a') ORDER BY tag LIMIT 50")
 
 # Links
@@ -180,8 +181,11 @@ _WORDS = "list_filter(string_split_regex(coalesce(body, ''), '\\s+'), lambda x:
 
 
 def _shown(terms: str) -> str:
-    """The snippet of `body` as a scalar subquery."""
-    return f"(SELECT CASE WHEN s > 1 THEN '…' ELSE '' END || array_to_string(ws[s:s + 11], ' ') || CASE WHEN len(ws) > s + 11 THEN '…' ELSE '' END FROM (SELECT ws, greatest(coalesce(list_position(list_transform(ws, lambda x: regexp_matches(lower(x), '^[^a-z0-9]*(?:{terms})\\b')), TRUE), 0) - 6, 1) AS s FROM (SELECT {_WORDS} AS ws) AS y) AS z)"
+    """The snippet of `body` as a scalar subquery: of the windows of 12 words that begin with a match, most terms, most matches, the first."""
+    return f"""(SELECT CASE WHEN s > 1 THEN '…' ELSE '' END || array_to_string(ws[s:s + 11], ' ') || CASE WHEN len(ws) > s + 11 THEN '…' ELSE '' END FROM (
+  SELECT ws, CASE WHEN len(vs) = 0 THEN 1 ELSE greatest(1, vs[1].a - (12 - (vs[1].z - vs[1].a + 1)) // 2) END AS s FROM (
+  SELECT ws, list_sort(list_transform(hs, lambda p: struct_pack(d := -len(list_distinct(list_filter(ts[p:p + 11], lambda x: x <> ''))), n := -len(list_filter(ts[p:p + 11], lambda x: x <> '')), a := p, z := list_max(list_filter(hs, lambda q: q < p + 12))))) AS vs FROM (
+  SELECT ws, ts, list_filter(range(1, len(ts) + 1), lambda k: ts[k] <> '') AS hs FROM (SELECT ws, list_transform(ws, lambda x: regexp_extract(lower(x), '^[^a-z0-9]*({terms})\\b', 1)) AS ts FROM (SELECT {_WORDS} AS ws) AS y) AS u) AS v) AS w_) AS z_)"""
 
 
 _BM = f"SELECT key, title, modified_ms, size, len(ti) + len(he) + len(ta) + len(bo) AS n, {_W('part')} AS w0, {_W('alpha')} AS w1, {_W('t3')} AS w2, body FROM t JOIN (SELECT id, size, body FROM documents_) d USING (id)"
