@@ -95,19 +95,20 @@ def counted(w: np.ndarray, words: list[str], lang: str, reached: np.ndarray, ste
         yield from batches(1, at, hashes, np.zeros(len(at), np.int32))
     last = np.zeros(len(w), dtype=np.uint64)  # each place's word, by its hash
     last[at] = hashes
+    since = np.zeros(len(at), np.int32)  # the step from which a phrase is counted; its place may be another's, and set before that
     for k in range(2, longest + 1):
         known = reached[hashes & mask].astype(np.int32)
         some = np.flatnonzero(known)
-        at, hashes, known = at[some], hashes[some], known[some]
+        at, hashes, known = at[some], hashes[some], np.maximum(known[some], since[some])
         next_ = np.flatnonzero(at[1:] == at[:-1] + 1)  # both its subphrases are reached
         if not len(next_):
             return
-        from_ = np.maximum(known[next_], known[next_ + 1])
+        since = np.maximum(known[next_], known[next_ + 1])
         at = at[next_]
         hashes = _mixed(hashes[next_] * _ODD + last[at + k - 1])
-        now = np.flatnonzero(step < from_ + shards)
+        now = np.flatnonzero(step < since + shards)
         if len(now):
-            yield from batches(k, at[now], hashes[now], from_[now])
+            yield from batches(k, at[now], hashes[now], since[now])
 
 
 def _scan(shard: DataFrame, sent: Broadcast, step: int, shards: int, longest: int, most: int = 12 << 20) -> DataFrame:

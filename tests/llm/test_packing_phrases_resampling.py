@@ -155,6 +155,20 @@ def test_phrases_with_a_full_array(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == brute_phrases([("en", t) for t in texts], 4, 40)
 
 
+def test_phrases_whose_places_are_set_early_by_others(spark):
+    """A phrase's place is taken by another before its own words are reached: it is still counted over a full cycle, from where it is first seen."""
+    rng, texts = np.random.default_rng(1), []
+    p = 1 / np.arange(1, 3001)
+    for _ in range(300):
+        words = [f"w{k}" for k in rng.choice(3000, 120, p=p / p.sum())]
+        for _ in range(6):
+            k, at = int(rng.integers(0, 1500)), int(rng.integers(0, 115))
+            words[at:at] = [f"{x}{k}" for x in "qrstu"]
+        texts.append(" ".join(words))
+    got = collocations.collocations(table(spark, texts, langs=["en", "de"] * 150), least=3, first=100_000, shards=4, slots=1 << 15)
+    assert sorted(map(tuple, got.collect())) == brute_phrases(list(zip(["en", "de"] * 150, texts, strict=True)), 3, 100_000)
+
+
 def test_phrases_of_a_table(spark):
     c = duckdb.connect()
     c.execute(f"create view documents as select * from '{SF}/documents.parquet'")
