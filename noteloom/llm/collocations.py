@@ -2,8 +2,11 @@
 
 Documents are dealt to shards once. The shards are scanned in a cycle, all lengths at a time: a phrase is counted from the step on at which both its subphrases
 (without its last and without its first word) have reached the threshold, and for one full cycle from there, so that every shard is counted once. A phrase reaches it
-early by the count of a single task, or when its cycle ends and its rows are added up: each row is shuffled once. It ends when no phrase is inside its cycle: most phrases begin in the first few shards, so there are far
-fewer scans than one for each length and shard.
+early by the count of a single task, or when its cycle ends and its rows are added up. It ends when no phrase is inside its cycle: most phrases begin in the first few
+shards, so there are far fewer scans than one for each length and shard.
+
+Most of what is counted is rare, so it is counted by hash: two numbers a row, no text. What has reached the threshold by its hash is counted by its words for one more
+cycle from there, in the same scans; these counts alone make the result, so phrases that share a hash can't change it.
 
 What has reached the threshold is told to the tasks by an array of fixed size: the step from which a phrase's hash counts as reached. A place is set once and
 never changed, so what shares a place with another begins early at the worst: it is counted over a full cycle all the same, and falls under the threshold if it
@@ -29,8 +32,9 @@ from .common import dropped, written
 
 LONGEST, LEAST, FIRST, SHARDS, SLOTS = 5, 100, 2000, 4, 1 << 24
 _ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b".......... ")
-_COUNTS = "lang string, k int, h long, phrase string, act int, c long"
-_SCHEMA = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("h", pa.int64()), ("phrase", pa.string()), ("act", pa.int32()), ("c", pa.int64())])
+NAMED = -1  # instead of the step at which a phrase began: a row counted by its words; those of k = 0 count a language's words
+_COUNTS = "act int, h long, lang string, k int, phrase string, c long"
+_SCHEMA = pa.schema([("act", pa.int32()), ("h", pa.int64()), ("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("c", pa.int64())])
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,11 +61,9 @@ def words_of(data: bytes) -> tuple[np.ndarray, list[str]]:
     spaced = data.replace(b".", b" . ")
     text = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(spaced)], dtype=np.int64)), pa.py_buffer(spaced)])
     coded = pc.ascii_split_whitespace(text).flatten().dictionary_encode()
-    distinct, place = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-    number = np.full(len(distinct), -1, dtype=np.int64)
-    real = [k for k, w in enumerate(distinct) if w not in (".", "")]
-    number[real] = np.arange(len(real))
-    return number[place], [distinct[k] for k in real]
+    distinct, place = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy()
+    real = (distinct != ".") & (distinct != "")
+    return np.where(real, np.cumsum(real) - 1, -1)[place], distinct[real].tolist()
 
 
 def _coded(w: np.ndarray, at: np.ndarray, k: int, words: int) -> np.ndarray:
@@ -72,43 +74,58 @@ def _coded(w: np.ndarray, at: np.ndarray, k: int, words: int) -> np.ndarray:
     return code
 
 
+def _by_hash(hashes: np.ndarray, began: int) -> pa.RecordBatch:
+    """Each hash once, with its count."""
+    x = np.sort(hashes)
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+    n, none = len(first), (lambda t: pa.nulls(len(first), t))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, began, np.int32)), pa.array(x[first].view(np.int64)), none(pa.string()), none(pa.int32()), none(pa.string()), pa.array(np.diff(np.append(first, len(x))))], schema=_SCHEMA)
+
+
+def _by_words(lang: str, k: int, phrases: list[str], counts: np.ndarray) -> pa.RecordBatch:
+    n = len(phrases)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, NAMED, np.int32)), pa.nulls(n, pa.int64()), pa.array([lang] * n, pa.string()), pa.array(np.full(n, k, np.int32)), pa.array(phrases, pa.string()), pa.array(counts.astype(np.int64))], schema=_SCHEMA)
+
+
 def counted(w: np.ndarray, words: list[str], lang: str, reached: np.ndarray, step: int, shards: int, longest: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases that are inside their cycle at this step. reached: by hash, the step from which a phrase is reached, or 0."""
+    """Counts of the phrases that are inside a cycle at this step: by hash those that aren't reached, by words those that are. reached: by hash, the step from which a phrase is reached, or 0."""
     mask, seed = np.uint64(len(reached) - 1), xxhash.xxh32_intdigest(lang.encode())
     own = np.array([xxhash.xxh3_64_intdigest(x.encode(), seed) for x in words], dtype=np.uint64)
 
-    def batches(k: int, at: np.ndarray, hashes: np.ndarray, from_: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def named(k: int, at: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Of the phrases of k words at some places, each once with its count."""
         code = _coded(w, at, k, len(words))
-        n = int(code.max()) + 1
-        counts, one = np.bincount(code, minlength=n), np.zeros(n, dtype=np.int64)
-        one[code] = np.arange(len(at))
-        for lo in range(0, n, 1 << 16):
-            some = one[lo : lo + (1 << 16)]
-            parts = [map(words.__getitem__, w[at[some] + j].tolist()) for j in range(k)]
-            phrases = list(map(" ".join, zip(*parts, strict=True))) if k > 1 else list(parts[0])
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(np.full(len(some), k, np.int32)), pa.array(hashes[some].view(np.int64)), pa.array(phrases, pa.string()), pa.array(from_[some]), pa.array(counts[lo : lo + (1 << 16)].astype(np.int64))], schema=_SCHEMA)
+        counts, one = np.bincount(code), np.zeros(int(code.max()) + 1, dtype=np.int64)
+        one[code] = at
+        there = np.flatnonzero(counts)
+        for lo in range(0, len(there), 1 << 16):
+            some = there[lo : lo + (1 << 16)]
+            parts = [map(words.__getitem__, w[one[some] + j].tolist()) for j in range(k)]
+            yield _by_words(lang, k, list(map(" ".join, zip(*parts, strict=True))), counts[some])
 
     at = np.flatnonzero(w >= 0)
     hashes = own[w[at]]
-    if step < shards and len(at):
-        yield from batches(1, at, hashes, np.zeros(len(at), np.int32))
     last = np.zeros(len(w), dtype=np.uint64)  # each place's word, by its hash
     last[at] = hashes
+    if step < shards:
+        yield _by_words(lang, 0, [""], np.array([len(at)]))
     since = np.zeros(len(at), np.int32)  # the step from which a phrase is counted; its place may be another's, and set before that
-    for k in range(2, longest + 1):
+    for k in range(1, longest + 1):
         known = reached[hashes & mask].astype(np.int32)
+        open_ = (known == 0) & (step < since + shards)
+        for began in np.unique(since[open_]).tolist():
+            yield _by_hash(hashes[open_ & (since == began)], began)
         some = np.flatnonzero(known)
         at, hashes, known = at[some], hashes[some], np.maximum(known[some], since[some])
+        now = at[step < known + shards]
+        if len(now):
+            yield from named(k, now)
         next_ = np.flatnonzero(at[1:] == at[:-1] + 1)  # both its subphrases are reached
         if not len(next_):
             return
         since = np.maximum(known[next_], known[next_ + 1])
         at = at[next_]
-        hashes = _mixed(hashes[next_] * _ODD + last[at + k - 1])
-        now = np.flatnonzero(step < since + shards)
-        if len(now):
-            yield from batches(k, at[now], hashes[now], since[now])
+        hashes = _mixed(hashes[next_] * _ODD + last[at + k])
 
 
 def _scan(shard: DataFrame, sent: Broadcast, step: int, shards: int, longest: int, most: int = 12 << 20) -> DataFrame:
@@ -164,29 +181,25 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     dealt = docs.select(F.coalesce(F.col("`lang`").cast("string"), F.lit("und")).alias("lang"), F.col("`text`").alias("text"), F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"))
     table = written(dealt.where("text <> ''"), "phrase-shards", "shard")
     reached = np.zeros(slots, dtype=np.uint8)
-    counts: list[DataFrame] = []  # of the steps of one cycle; a phrase's rows lie under the step it began at
-    done, sizes, step, last = [], None, 0, 0
+    counts: list[DataFrame] = []  # a table for each step; what is counted by hash lies under the step it began at
+    step = last = 0
     while step < shards or step < last + shards:
         sent = spark.sparkContext.broadcast(zlib.compress(reached.tobytes(), 1))
         counts.append(written(_scan(table.where(F.col("shard") == step % shards), sent, step, shards, longest), "phrase-counts", "act"))
         sent.destroy()  # what was read with it is written
         # Reached by the count of one task alone: less than its count, so it holds; all others are told when their cycle ends.
-        new = _newly(counts[-1].where((F.col("c") >= least) & (F.col("k") < longest)), reached, step + 1)
+        found = counts[-1].where((F.col("act") != NAMED) & (F.col("c") >= least)).select("h")
         if step >= shards - 1:
-            began = step - shards + 1
-            ended = reduce(DataFrame.unionByName, [t.where(F.col("act") == began) for t in counts])
-            if began == 0:
-                sizes = written(ended.where("k = 1").groupBy("lang").agg(F.sum("c").alias("n")), "phrase-words")
-            total = ended.groupBy("lang", "k", "h", "phrase").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-            done.append(written(total, "phrases"))
-            new |= _newly(done[-1].where(F.col("k") < longest), reached, step + 1)
-            dropped(counts.pop(0))
-        if new:
+            ended = reduce(DataFrame.unionByName, [t.where(F.col("act") == step - shards + 1).select("h", "c") for t in counts[-shards:]])
+            found = found.unionByName(ended.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("h"))
+        if _newly(found, reached, step + 1):
             last = step + 1
         step += 1
+    named = reduce(DataFrame.unionByName, [t.where(F.col("act") == NAMED).select("lang", "k", "phrase", "c") for t in counts])
+    total = written(named.groupBy("lang", "k", "phrase").agg(F.sum("c").alias("c")).where((F.col("k") == 0) | (F.col("c") >= least)), "phrases")
     for t in (*counts, table):
         dropped(t)
-    return reduce(DataFrame.unionByName, done).drop("h"), sizes
+    return total.where("k > 0"), total.where("k = 0").select("lang", F.col("c").alias("n"))
 
 
 def _cut(k: int) -> list[Column]:
