@@ -176,6 +176,20 @@ def test_phrases_of_a_table(spark):
     assert collocations.collocations(table(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_phrases_are_counted_by_words_only_once_reached():
+    """Rows of what isn't reached hold a hash and a count; each word is there once, one way or the other."""
+    w, words = collocations.words_of(b"a b a c.b a")
+    reached = np.zeros(1 << 15, dtype=np.uint8)
+    rows = [r for b in collocations.counted(w, words, "en", reached, 0, 4, 5) for r in b.to_pylist()]
+    assert [(r["k"], r["c"]) for r in rows if r["act"] == collocations.NAMED] == [(0, 6)]
+    left = [r for r in rows if r["act"] == 0]
+    assert sorted(r["c"] for r in left) == [1, 2, 3] and all(r["phrase"] is None and r["lang"] is None for r in left)
+    reached[[r["h"] & (len(reached) - 1) for r in left if r["c"] > 1]] = 1
+    rows = [r for b in collocations.counted(w, words, "en", reached, 1, 4, 5) for r in b.to_pylist()]
+    assert sorted((r["phrase"], r["c"]) for r in rows if r["k"] == 1) == [("a", 3), ("b", 2)]
+    assert sorted((r["act"], r["c"]) for r in rows if r["h"] is not None) == [(0, 1), (1, 1), (1, 2)]
+
+
 def test_long_pieces_are_cut_at_their_ends():
     data = b"aa bb.cc dd." + b"e" * 40 + b".f"
     assert b"".join(collocations._parts(data, 8)) == data and all(p.endswith(b".") for p in list(collocations._parts(data, 8))[:-1])
