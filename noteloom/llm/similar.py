@@ -1,8 +1,16 @@
-"""Near-duplicates by word shingles of a similarity (Jaccard), with SimHash fingerprints searched inside shards.
+"""Near-duplicates by word shingles of a similarity (Jaccard), with SimHash fingerprints in vantage-point shards.
 
 At a similarity of 0.8 two 64-bit fingerprints differ in some 10 bits (arccos 0.89 / pi of them), and unrelated ones in 32 with a spread of 4: no vantage-point tree
-over all fingerprints can prune at such a radius. So bands of min-hashes choose the shards here (12 bands of 4: a pair at 0.8 shares one with probability
-0.998), and fingerprints of one shard are searched by Hamming distance. Equal sets of shingles are one node from the start.
+over whole fingerprints can prune at such a radius. So the trees stand on the sets themselves, whose distance is the number of shingles that only one of two has, and on
+fingerprints of parts of them, where the bound is tight:
+
+* The first level's vantage point is the empty set: a set's distance from it is its size. Rings are powers of two; a set whose ball reaches a larger ring is also asked
+  there, as a guest. Inside a ring the similarity bounds by how many shingles two linked sets differ.
+* Below, there is one tree for each block of shingle hashes, with more blocks than shingles may differ, so two linked sets agree wholly in at least one that isn't empty.
+  Its levels measure the Hamming distance of the block's own SimHash to vantage points; the bound is 0 there, and prunes every ring but one.
+
+This is a proof, not a probability: of the first `differ` + 1 blocks of a set that aren't empty, one agrees. Equal sets of shingles are one node from the start. Fingerprints of
+whole documents are searched by Hamming distance in each shard.
 
 Two rounds find all links. The first proposes few pairs, nearest first, that connect what is near, and confirms each by its shingles: groups of copies become one
 component at little cost. The second proposes every other pair of a shard within the radius whose ends the first has left in different components, and whose sizes
@@ -21,13 +29,13 @@ from pyspark.sql import functions as F
 
 from .common import IDENTITY, dropped, identity, same_identity, written
 from .components import connected_components
-from .simhash import _root, majority, shingle_hashes
+from .simhash import _root, _uneven, majority, shingle_hashes
 
-BANDS, ROWS, RADIUS = 12, 4, 22
-AGREE = 27  # of BANDS * ROWS min-hashes; at a similarity of 0.8 some 38 agree, with a spread of 2.8
+HASHES, RADIUS, LEVELS = 48, 22, 14
+AGREE = 27  # of HASHES min-hashes; at a similarity of 0.8 some 38 agree, with a spread of 2.8
+STEP = 1 << 16
 _rng = np.random.default_rng(17)
-_TIMES, _PLUS = (_rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
-_FOLD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
+_TIMES, _PLUS = (_rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -36,36 +44,129 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 
 
 def least_hashes(own: np.ndarray) -> np.ndarray:
-    """The least value of each of BANDS * ROWS hash functions over the set."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    """The least value of each of HASHES hash functions over the set."""
+    least = np.full(HASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(own), 4096):
         mixed = own[at : at + 4096] * _TIMES[:, None] + _PLUS[:, None]
         least = np.minimum(least, (mixed ^ mixed >> np.uint64(32)).min(axis=1))
     return least
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    """One number a band, from its ROWS least hashes. An empty set has its own."""
-    x = (least.reshape(BANDS, ROWS) * _FOLD).sum(axis=1, dtype=np.uint64)
-    return x ^ x >> np.uint64(29)
+def block_fingerprints(hashes: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """SimHash of each block, which is n hashes from start on: bits are counted for all blocks at once, in planes of binary digits."""
+    planes = [np.zeros(len(n), dtype=np.uint64) for _ in range(int(n.max(initial=0)).bit_length())]
+    for p in range(int(n.max(initial=0))):
+        on = np.flatnonzero(n > p)
+        carry = hashes[start[on] + p]
+        for plane in planes:
+            had = plane[on]
+            plane[on], carry = had ^ carry, had & carry
+    over, equal = np.zeros(len(n), dtype=np.uint64), np.full(len(n), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for j in reversed(range(len(planes))):
+        half = (-(n // 2 >> j & 1)).astype(np.int64).view(np.uint64)
+        over |= equal & planes[j] & ~half
+        equal &= ~(planes[j] ^ half)
+    return over
+
+
+def shown_blocks(own: np.ndarray, size: np.ndarray, similarity: float, up: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, ring, block, fingerprint) of the blocks by which sets are found in the ring `up` above their own; own holds the sets one after another.
+
+    Those are a set's first blocks that aren't empty, one more than the shingles by which it may differ from any partner there. Of two linked sets, the one that is done with
+    fewer blocks agrees with the other in one of them. A set without so many shows all blocks, empty ones too.
+    """
+    ring = np.frexp(size.astype(np.float64))[1].astype(np.int64) - 1 + up
+    low = np.int64(1) << np.maximum(ring, 0)
+    reach, share = np.floor(size / similarity + 1e-9).astype(np.int64), (1 - similarity) / (1 + similarity)
+    differ = np.floor((size + np.minimum(reach, 2 * low - 1)) * share + 1e-9).astype(np.int64)
+    blocks = np.ceil(4.5 * share * low).astype(np.int64) + 2
+    here = (size > 0) & (reach >= low) & (differ > 0)  # sets that may not differ are one node
+    row = np.repeat(np.arange(len(size)), size)
+    own, row = own[here[row]], row[here[row]]
+    place = row << 32 | ((own * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % blocks[row])
+    order = np.argsort(place, kind="stable")
+    place, own = place[order], own[order]
+    start = np.flatnonzero(np.diff(place, prepend=-1))
+    n, of = np.diff(start, append=len(place)), place[start] >> 32
+    have = np.bincount(of, minlength=len(size))
+    shown = np.arange(len(of)) - (np.cumsum(have) - have)[of] <= differ[of]
+    row, block, fp = of[shown], (place[start] & 0xFFFFFFFF)[shown], block_fingerprints(own, start[shown], n[shown])
+    for k in np.flatnonzero(here & (have <= differ)):
+        empty = np.setdiff1d(np.arange(blocks[k]), block[row == k])
+        row, block, fp = np.append(row, np.full(len(empty), k)), np.append(block, empty), np.append(fp, np.zeros(len(empty), dtype=np.uint64))
+    return row, ring[row], block, fp
+
+
+def shard_keys(ring: np.ndarray, block: np.ndarray, fp: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """One number for the tree and the rings around its vantage points."""
+    out = (ring << 48 | block).view(np.uint64)
+    for v in points:
+        out = out * np.uint64(65) + np.bitwise_count(fp ^ v)
+    return out.view(np.int64)
+
+
+def routed(sets: list[np.ndarray], similarity: float, points: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each set, the shards it lives in and those of larger rings that it is asked of."""
+    homes, guests, at = [], [], 0
+    while at < len(sets):
+        part, n = [], 0
+        while at < len(sets) and (not part or n + len(sets[at]) <= STEP):
+            part.append(sets[at])
+            n += len(sets[at])
+            at += 1
+        own, size, found, up = np.concatenate(part), np.array([len(x) for x in part], dtype=np.int64), [], 0
+        # A ball reaches size / similarity, and each ring is twice as far as the one before.
+        while up == 0 or similarity * 2 ** (up - 1) < 1:
+            row, *tree = shown_blocks(own, size, similarity, up)
+            found.append((row, shard_keys(*tree, points)))
+            up += 1
+        for to, parts in ((homes, found[:1]), (guests, found[1:])):
+            row, key = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(row, kind="stable")
+            to.extend(np.split(key[order], np.cumsum(np.bincount(row, minlength=len(part)))[:-1]))
+    return homes, guests
+
+
+def vantage_points(docs: DataFrame, words: int, similarity: float, fit_rows: int) -> np.ndarray:
+    """LEVELS vantage points that spread a sample of block fingerprints well: up to 32 blocks of each of fit_rows documents. All documents are routed."""
+
+    def run(batches):
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                x = shingle_set(t, words)
+                fps = shown_blocks(x, np.array([len(x)]), similarity)[3][:32]
+                yield pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64))], ["fp"])
+
+    taken = docs.where(docs["doc_id"].isNotNull() & docs["text"].isNotNull()).select("text").limit(fit_rows).mapInArrow(run, "fp long").collect()
+    rng = np.random.default_rng(7)
+    # Where the sample is small, some points are drawn.
+    sample = np.concatenate([np.array([r[0] for r in taken], dtype=np.int64).view(np.uint64), rng.integers(0, 1 << 63, 64, dtype=np.uint64)])
+    points, keys = [], np.zeros(len(sample), dtype=np.int64)
+    for _ in range(LEVELS):
+        tried = [(_uneven(keys * 65 + np.bitwise_count(sample ^ v)), int(v)) for v in rng.choice(sample, 6, replace=False) if v not in points]
+        points.append(np.uint64(min(tried)[1]))
+        keys = np.unique(keys * 65 + np.bitwise_count(sample ^ points[-1]), return_inverse=True)[1]
+    return np.array(points)
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)], dtype=np.int32)), pa.array(np.concatenate([*parts, np.empty(0, np.int64)])))
 
 
-def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(n, doc_id, k1, k2, s1, s2, fp, size, mins, bands) of each row with an id: a number of the row, its identity, 128 bits of its shingles, fingerprint, number of shingles, a byte of each least hash, band keys."""
+def sketches(docs: DataFrame, words: int, similarity: float, points: np.ndarray) -> DataFrame:
+    """(n, doc_id, k1, k2, s1, s2, fp, size, mins, homes, guests) of each row with an id: a number of the row, its identity, 128 bits of its shingles, fingerprint, number of shingles, a byte of each least hash, shards (see routed)."""
 
     def run(batches):
         for b in batches:
             sets = [shingle_set(t, words) for t in b.column("text").to_pylist()]
             digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), dtype="<i8").reshape(-1, 2)
             fps = np.array([majority([x] if len(x) else []) for x in sets], dtype=np.uint64).view(np.int64)
-            least = [least_hashes(x) for x in sets]
-            bands = np.concatenate([*map(band_keys, least), np.empty(0, np.uint64)]).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(bands))
-            cols = [*(b.column(c) for c in ["n", *IDENTITY]), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(fps), pa.array([len(x) for x in sets], pa.int64()), pa.array([(x >> np.uint64(7)).astype(np.uint8).tobytes() for x in least], pa.binary()), lists]
-            yield pa.RecordBatch.from_arrays(cols, ["n", *IDENTITY, "s1", "s2", "fp", "size", "mins", "bands"])
+            mins = [(least_hashes(x) >> np.uint64(7)).astype(np.uint8).tobytes() for x in sets]
+            cols = [*(b.column(c) for c in ["n", *IDENTITY]), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(fps), pa.array([len(x) for x in sets], pa.int64()), pa.array(mins, pa.binary()), *map(_lists, routed(sets, similarity, points))]
+            yield pa.RecordBatch.from_arrays(cols, ["n", *IDENTITY, "s1", "s2", "fp", "size", "mins", "homes", "guests"])
 
     rows = docs.where(docs["doc_id"].isNotNull()).select(F.monotonically_increasing_id().alias("n"), *identity(docs), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "n long, doc_id long, k1 long, k2 long, s1 long, s2 long, fp long, size long, mins binary, bands array<long>")
+    return rows.mapInArrow(run, "n long, doc_id long, k1 long, k2 long, s1 long, s2 long, fp long, size long, mins binary, homes array<long>, guests array<long>")
 
 
 def pairs_within(fp: np.ndarray, query: np.ndarray, radius: int = RADIUS, nearest: int = 2) -> list[tuple[int, int]]:
@@ -136,11 +237,11 @@ def _grouped(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[dic
 
 
 def _searched(rows: DataFrame, radius: int) -> DataFrame:
-    """(u, v) of every shard of rows (band, key, slice, node, fp, query)."""
+    """(u, v) of every shard of rows (shard, slice, node, fp, query)."""
 
     def run(batches):
         us, vs = [], []
-        for g in _grouped(batches, ["band", "key", "slice"]):
+        for g in _grouped(batches, ["shard", "slice"]):
             node, first = np.unique(g["node"], return_index=True)
             if len(node) < 2:
                 continue
@@ -153,15 +254,15 @@ def _searched(rows: DataFrame, radius: int) -> DataFrame:
                 us, vs = [], []
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    by = ["band", "key", "slice"]
-    return rows.repartition(*by).sortWithinPartitions(*by).select("band", "key", "slice", "node", "fp", F.col("query").cast("int").alias("query")).mapInArrow(run, "u long, v long").distinct()
+    by = ["shard", "slice"]
+    return rows.repartition(*by).sortWithinPartitions(*by).select(*by, "node", "fp", F.col("query").cast("int").alias("query")).mapInArrow(run, "u long, v long").distinct()
 
 
 def _across(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """(u, v) of pairs_across in every shard of rows (band, key, slice, node, fp, query, home, root, size, mins)."""
+    """(u, v) of pairs_across in every shard of rows (shard, slice, node, fp, query, home, root, size, mins)."""
 
     def run(batches):
-        for g in _grouped(batches, ["band", "key", "slice"]):
+        for g in _grouped(batches, ["shard", "slice"]):
             node, first = np.unique(g["node"], return_index=True)
             root = g["root"][first]
             if len(node) < 2 or (root == root[0]).all():
@@ -172,7 +273,7 @@ def _across(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
                 u, v = np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    by, cols = ["band", "key", "slice"], ["band", "key", "slice", "node", "fp", "root", "size", "mins"]
+    by, cols = ["shard", "slice"], ["shard", "slice", "node", "fp", "root", "size", "mins"]
     return rows.repartition(*by).sortWithinPartitions(*by).select(*cols, F.col("query").cast("int").alias("query"), F.col("home").cast("int").alias("home")).mapInArrow(run, "u long, v long").distinct()
 
 
@@ -194,34 +295,37 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, rows: DataFrame, words: int, s
     return both.where(shared >= similarity * (F.size("a") + F.size("b") - shared) - F.lit(1e-9)).select("u", "v")
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS, hot_rows: int = 2048, anchors: int = 32) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS, hot_rows: int = 2048, anchors: int = 32, fit_rows: int = 256) -> DataFrame:
     """(doc_id, k1, k2, n, root) of every row with an id: rows of one root are linked by a chain of documents of that similarity.
 
-    A shard of over hot_rows nodes is dealt in slices, which hold some anchors of it in common; in the second round, what isn't in the shard's largest component asks
-    all of its slices, so no two of a shard go unseen and a shard's size changes only how many pairs the first round proposes. Texts without words are one group. Very
-    long texts are read whole; null texts count as empty.
+    Vantage points are fitted on fit_rows documents, and every document is routed. A shard of over hot_rows nodes is dealt in slices, which hold some anchors of it in common; in the second round,
+    what isn't in the shard's largest component asks all of its slices, so no two of a shard go unseen and a shard's size changes only how many pairs the first round proposes. Texts without words are
+    one group. Very long texts are read whole; null texts count as empty. Below a similarity of some 0.7, most sets show empty blocks too, and shards grow.
     """
-    rows = written(sketches(docs, words), "similar-sketches")
+    rows = written(sketches(docs, words, similarity, vantage_points(docs, words, similarity, fit_rows)), "similar-sketches")
     classes = written(rows.groupBy("s1", "s2").agg(F.min("n").alias("node")), "similar-classes")
-    nodes = rows.join(classes.select(F.col("node").alias("n")), "n", "left_semi").select(F.col("n").alias("node"), "fp", F.posexplode("bands").alias("band", "key"))
-    shards = written(nodes.groupBy("band", "key").agg(F.count("*").alias("many")).where("many > 1"), "similar-shards")
-    members = written(nodes.join(shards, ["band", "key"]).withColumn("slices", F.ceil(F.col("many") / hot_rows).cast("int")).withColumn("slice", F.pmod(F.xxhash64("node", "band"), F.col("slices")).cast("int")), "similar-members")
+    one = written(rows.join(classes.select(F.col("node").alias("n")), "n", "left_semi").select(F.col("n").alias("node"), "fp", "homes", "guests"), "similar-nodes")
+    lives, asks = (one.select("node", "fp", F.explode(c).alias("shard"), F.lit(c == "guests").alias("guest")) for c in ("homes", "guests"))
+    nodes = lives.unionByName(asks)
+    shards = written(nodes.groupBy("shard").agg(F.count("*").alias("many"), F.min("guest").alias("guests_only")).where("many > 1 and not guests_only").drop("guests_only"), "similar-shards")
+    members = written(nodes.join(shards, "shard").withColumn("slices", F.ceil(F.col("many") / hot_rows).cast("int")).withColumn("slice", F.pmod(F.xxhash64("node", "shard"), F.col("slices")).cast("int")), "similar-members")
     every = lambda: F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
     hot = members.where("slices > 1")
-    some = hot.groupBy("band", "key", "slices", F.pmod(F.xxhash64("node"), F.lit(anchors)).alias("a")).agg(F.min(F.struct("node", "fp")).alias("m"))
-    asked = members.withColumn("query", F.lit(True)).select("node", "fp", "band", "key", "slice", "query").unionByName(some.select("m.node", "m.fp", "band", "key", every().alias("slice"), F.lit(True).alias("query")))
+    some = hot.groupBy("shard", "slices", F.pmod(F.xxhash64("node"), F.lit(anchors)).alias("a")).agg(F.min(F.struct("node", "fp")).alias("m"))
+    asked = members.withColumn("query", ~F.col("guest")).select("node", "fp", "shard", "slice", "query").unionByName(some.select("m.node", "m.fp", "shard", every().alias("slice"), F.lit(True).alias("query")))
     tried = written(_searched(asked, radius), "similar-pairs")
     edges = written(_confirmed(tried, docs, rows, words, similarity), "similar-edges")
     roots = written(connected_components(edges), "similar-roots").withColumnRenamed("node", "r")
     # Shards of two have shown all they hold; of the others, those that still are of more than one component.
     placed = members.where("many > 2").join(roots, F.col("node") == F.col("r"), "left").withColumn("root", F.coalesce("root", "node")).drop("r")
-    apart = placed.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", "key")
+    apart = placed.groupBy("shard").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shard")
     told = rows.select(F.col("n").alias("node"), "size", "mins")
-    open_ = written(placed.join(apart, ["band", "key"], "left_semi").join(told, "node").select("node", "fp", "band", "key", "slice", "slices", "root", "size", "mins"), "similar-open")
-    largest = open_.where("slices > 1").groupBy("band", "key", "root").agg(F.count("*").alias("c")).groupBy("band", "key").agg(F.max_by("root", F.struct("c", "root")).alias("largest"))
-    outside = open_.where("slices > 1").join(largest, ["band", "key"]).where("root <> largest").drop("largest")
+    open_ = written(placed.join(apart, "shard", "left_semi").join(told, "node").select("node", "fp", "shard", "slice", "slices", "guest", "root", "size", "mins"), "similar-open")
+    largest = open_.where("slices > 1").groupBy("shard", "root").agg(F.count("*").alias("c")).groupBy("shard").agg(F.max_by("root", F.struct("c", "root")).alias("largest"))
+    outside = open_.where("slices > 1").join(largest, "shard").where("root <> largest").drop("largest")
     visits = outside.withColumn("slice", every()).withColumns({"query": F.lit(True), "home": F.lit(False)})
-    again = open_.withColumns({"query": F.col("slices") == 1, "home": F.lit(True)}).unionByName(visits).drop("slices")
+    # Two guests of a shard have met in a smaller ring.
+    again = open_.withColumns({"query": F.col("slices") == 1, "home": ~F.col("guest") | (F.col("slices") > 1)}).unionByName(visits).drop("slices", "guest")
     more = written(_across(again, radius, similarity).join(tried, ["u", "v"], "left_anti"), "similar-more-pairs")
     edges = edges.unionByName(_confirmed(more, docs, rows, words, similarity))
     roots = written(connected_components(edges), "similar-roots")

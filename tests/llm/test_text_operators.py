@@ -178,6 +178,36 @@ def test_similar_documents_of_one_template(spark, hot_rows):
     assert groups(got) == groups(want) and 6 <= 36 - len(groups(want)) < 30
 
 
+def test_linked_sets_share_a_shard():
+    """The proof of the vantage points: of sets that are as unlike as links may be, one lives in a shard that the other lives in or is asked of."""
+    rng = np.random.default_rng(8)
+    points = rng.integers(0, 1 << 63, 14, dtype=np.uint64)
+    for least in (0.6, 0.8, 0.9):
+        sets = []
+        for k in range(1500):
+            a = int(rng.integers(1, 60 if k % 3 else 700))
+            b = int(rng.integers(a, int(a / least + 1e-9) + 1))
+            both = int(np.ceil(least / (1 + least) * (a + b) - 1e-9))
+            x = rng.permutation(np.unique(rng.integers(0, 1 << 63, 2 * (a + b), dtype=np.uint64)))[: a + b - both]
+            sets += [np.sort(x[:a]), np.sort(np.concatenate([x[:both], x[a:]]))]
+        homes, guests = ([set(x.tolist()) for x in of] for of in similar.routed(sets, least, points))
+        for k in range(0, len(sets), 2):
+            assert homes[k] & (homes[k + 1] | guests[k + 1]) or guests[k] & homes[k + 1] or np.array_equal(sets[k], sets[k + 1])
+    h = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
+    start, n = np.array([0, 1, 3, 10, 50]), np.array([1, 2, 7, 40, 450])
+    assert similar.block_fingerprints(h, start, n).tolist() == [simhash.majority([h[a : a + k]]) for a, k in zip(start, n, strict=True)]
+
+
+def test_links_without_a_common_band(spark):
+    """Pairs at 0.815 of which no 4 of 48 min-hashes agree in any of 12 bands; shards made of such bands lost all of them."""
+    texts = []
+    for seed in (2340, 4598, 4610, 4812, 5041, 5508):
+        w = [f"s{seed}w{k}" for k in range(63)]
+        texts += [" ".join(w), " ".join([*w[:20], f"s{seed}x", *w[21:62], f"s{seed}y"])]
+    got = {r.doc_id: r.root for r in similar.similar_groups(table(spark, texts)).collect()}
+    assert len(set(got.values())) == 6 and all(got[k] == got[k + 1] for k in range(1, 13, 2))
+
+
 def test_pairs_behind_decoys():
     """a and c are 8 bits apart, with two nearer nodes between them: the second round proposes (a, c) whatever became of the others."""
     rng = np.random.default_rng(3)
